@@ -1,0 +1,135 @@
+"""Operator 8: personal data by patterns, checksums and context words.
+
+Patterns propose spans; validators (the Luhn sum of cards, the mod-97 sum of account numbers, ranges
+of address parts, digit counts) confirm them; words near a span raise or lower its score.  A confirmed
+base span (email, ip, card, phone) stays whatever its score; an added kind needs ``least``.
+
+Cases: a null text is empty; spans are in code points, ends exclusive; spans of different kinds may
+overlap; repeated rows are scanned each; an empty table gives an empty result; other columns are not
+read.  The scans are linear in the text: no pattern is retried inside a run that it failed on.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from bitballot.llm._common import map_texts
+
+BASE = ("email", "ip", "card", "phone")
+ADDED = ("iban", "ssn")
+#: Account number lengths by country.
+IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+#: Words near a span that speak for its kind.
+CONTEXT = {
+    "email": {"email", "mail", "contact", "write"},
+    "ip": {"ip", "address", "host", "server"},
+    "card": {"card", "credit", "visa", "payment"},
+    "phone": {"phone", "call", "tel", "mobile", "telefon"},
+    "iban": {"iban", "account", "bank", "konto", "compte", "cuenta"},
+    "ssn": {"ssn", "social", "security"},
+}
+#: Words that speak against personal data.
+AGAINST = {"example", "version", "isbn", "sample", "test"}
+START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3}
+
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,40}")
+SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+DIGIT = re.compile("[0-9]")
+WORD = re.compile(r"[^\W\d_]+")
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def mod97(account: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+
+
+def emails(text: str):
+    """Each @ closes at most one address: the run of local characters before it, after the last match."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        end = at + 1
+        if at > done and text[at - 1] in LOCAL and (m := HOST.match(text, at)):
+            start = at - 1
+            while start > done and text[start - 1] in LOCAL:
+                start -= 1
+            yield start, m.end()
+            done = end = m.end()
+        at = text.find("@", end)
+
+
+def accounts(text: str):
+    for m in IBAN.finditer(text):
+        need, got = IBAN_LENGTHS.get(m[0][:2], 0), ""
+        for i, c in enumerate(m[0]):
+            got += c if c != " " else ""
+            if need and len(got) == need:
+                after = text[m.start() + i + 1 : m.start() + i + 2]
+                if not (after.isascii() and after.isalnum()) and mod97(got):
+                    yield m.start(), m.start() + i + 1
+                break
+
+
+def score(text: str, kind: str, start: int, end: int, reach: int = 48) -> float:
+    """START of the kind, 0.3 more with a word for it within ``reach`` code points, 0.3 less with one against."""
+    near = {w.lower() for w in WORD.findall(text[max(0, start - reach) : start] + " " + text[end : end + reach])}
+    return round(min(1.0, max(0.0, START[kind] + 0.3 * bool(near & CONTEXT[kind]) - 0.3 * bool(near & AGAINST))), 2)
+
+
+def find(text: str | None, least: float = 0.5) -> list[tuple[str, int, int, float]]:
+    """(kind, start, end, score) by kind, then start."""
+    found: list[tuple[str, int, int]] = []
+    if text:
+        found += [("email", a, b) for a, b in emails(text)]
+        if DIGIT.search(text):
+            found += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+            for m in CARD.finditer(text):
+                digits = m[0].replace(" ", "").replace("-", "")
+                if 16 <= len(digits) <= 19 and luhn(digits):
+                    found.append(("card", *m.span()))
+            found += [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= sum(c in "0123456789" for c in m[0]) <= 15]
+            found += [("iban", a, b) for a, b in accounts(text)]
+            found += [("ssn", *m.span()) for m in SSN.finditer(text)]
+    scored = [(k, a, b, score(text, k, a, b)) for k, a, b in found]
+    return [x for x in scored if x[0] in BASE or x[3] >= least]
+
+
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, top_score double"
+
+
+def scan(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): counts of base kinds, digest of base spans, all spans, highest score (0 without spans)."""
+
+    def start():
+        import pyarrow as pa
+
+        def work(part):
+            rows = []
+            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                spans = find(text, least)
+                named = [(k, f"{k}:{a}:{b}") for k, a, b, _ in spans]
+                digest = hashlib.sha256(",".join(s for k, s in named if k in BASE).encode()).hexdigest()
+                rows.append((doc_id, *(sum(k == b for k, _ in named) for b in BASE), digest, ",".join(s for _, s in named), max((x[3] for x in spans), default=0.0)))
+            types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64()]
+            names = [c.split()[0] for c in SCHEMA.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names)
+
+        return work
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_texts(rows, start, SCHEMA)
