@@ -84,31 +84,32 @@ def windows(array: str, length: Column | int) -> Column:
 
 def hits(docs: DataFrame, items: DataFrame, scratch: Scratch, span: int = 10, k: int = 6) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of ``docs`` (doc_id, text)."""
-    item_words = items.select(F.col("item_id").cast("string").alias("item_id"), words().alias("w")).where("size(w) > 0 and item_id is not null")
+    # the outer forms of explode keep the optimiser from computing the arrays a second time, in a filter on their size
+    item_words = scratch.save(items.select(F.col("item_id").cast("string").alias("item_id"), words().alias("w")), "bench-words").where("size(w) > 0 and item_id is not null")
     length = F.least(F.size("w"), F.lit(span))
-    known = item_words.select("item_id", length.alias("len"), F.explode(windows("w", length)).alias("window")).distinct()
+    known = item_words.select("item_id", length.alias("len"), F.explode_outer(windows("w", length)).alias("window")).distinct()
     known = scratch.save(known, "bench-windows")
     lengths = [r[0] for r in known.where(F.col("len") < span).select("len").distinct().orderBy("len").collect()]  # at most span - 1 of them
-    prints = fingerprints(item_words.where(F.size("w") >= span).select(F.transform("w", lambda x: F.lower(x)).alias("f")), "f", k, span).select(F.explode("f").alias("f"), F.lit(span).alias("len"))
+    prints = fingerprints(item_words.where(F.size("w") >= span).select(F.transform("w", lambda x: F.lower(x)).alias("f")), "f", k, span).select(F.explode_outer("f").alias("f"), F.lit(span).alias("len"))
     for n in lengths:  # an item of n words is one n-gram
         short = combined(item_words.where(F.size("w") == n).select(F.transform("w", lambda x: F.xxhash64(F.lower(x))).alias("f")), "f", n, lambda a, b: F.xxhash64(a, b))
-        prints = prints.unionByName(short.select(F.explode("f").alias("f"), F.lit(n).alias("len")))
+        prints = prints.unionByName(short.select(F.explode_outer("f").alias("f"), F.lit(n).alias("len")))
     prints = small(scratch.save(prints.distinct(), "bench-prints"))
 
     key = F.xxhash64(F.lit(1), "doc_id", "text").alias("rid")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", key)
     coarse = texts.select("rid", coarse_words().alias("f"))
-    parts = [fingerprints(coarse, "f", k, span).select("rid", F.explode("f").alias("f"), F.lit(span).alias("len"))]
+    parts = [fingerprints(coarse, "f", k, span).select("rid", F.explode_outer("f").alias("f"), F.lit(span).alias("len"))]
     for n in lengths:
         grams = combined(coarse.withColumn("f", F.transform("f", lambda w: F.xxhash64(w))), "f", n, lambda a, b: F.xxhash64(a, b))
-        parts.append(grams.select("rid", F.explode(F.array_distinct("f")).alias("f"), F.lit(n).alias("len")))
+        parts.append(grams.select("rid", F.explode_outer(F.array_distinct("f")).alias("f"), F.lit(n).alias("len")))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
     candidates = scratch.save(found.join(prints, ["f", "len"], "left_semi").select("rid").distinct(), "bench-candidates")
 
     chosen = texts.join(small(candidates), "rid", "left_semi").select("rid", words().alias("w"))
-    where = [chosen.select("rid", F.lit(n).alias("len"), F.posexplode(windows("w", n)).alias("pos", "window")) for n in [*lengths, span]]
+    where = [chosen.select("rid", F.lit(n).alias("len"), F.posexplode_outer(windows("w", n)).alias("pos", "window")) for n in [*lengths, span]]
     at = where[0]
     for p in where[1:]:
         at = at.unionByName(p)
