@@ -133,8 +133,8 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(transl
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 known AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, w[p : p + least(len(w), 10) - 1] AS s FROM b, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS t(p) WHERE len(w) > 0),
 lengths AS (SELECT DISTINCT n FROM known),
-at AS (SELECT rid, p, n, w[p : p + n - 1] AS s FROM d, lengths, unnest(range(1, len(w) - n + 2)) AS t(p)),
-hit AS (SELECT rid, p, at.n, item_id FROM at JOIN known USING (s)),
+place AS (SELECT rid, p, n, w[p : p + n - 1] AS s FROM d, lengths, unnest(range(1, len(w) - n + 2)) AS t(p)),
+hit AS (SELECT rid, p, place.n, item_id FROM place JOIN known USING (s)),
 words AS (SELECT rid, count(DISTINCT q) AS n_hit FROM hit, unnest(range(p, p + n)) AS t(q) GROUP BY rid),
 named AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS i FROM hit GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(i, '')) AS items_sha256, coalesce(n_hit > 0, false) AS contaminated

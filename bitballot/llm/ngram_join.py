@@ -210,7 +210,9 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80) -> Da
     groups = scratch.save(posted.join(common, "token", "left_semi").dropDuplicates(["token", "id"]), "groups")
     scratch.drop("prefixes")
     member = small(scratch.save(groups.select(F.col("id").alias("doc_id")).distinct(), "members"))
-    known = scratch.save(sets(texts.join(member, "doc_id", "left_semi"), k).join(small(classes.select("cls", "id")), ["cls", "id"], "left_semi").dropDuplicates(["id"]), "sets")
+    known = scratch.save(sets(texts.join(member, "doc_id", "left_semi"), k).join(small(classes.select("cls", "id")), ["cls", "id"], "left_semi"), "sets")
+    twice = small(scratch.save(rows.groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id"), "twice"))  # repeated rows alone meet in a shuffle
+    known = known.join(twice, "id", "left_anti").unionByName(known.join(twice, "id", "left_semi").dropDuplicates(["id"]))
 
     # 1. the least member of each group against the others
     least = groups.groupBy("token").agg(F.min(F.struct("id", "n")).alias("p")).select("token", F.col("p.id").alias("a"), F.col("p.n").alias("an"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitballot.llm import decontamination, language_id, licenses, mixing, pii, quality, sharding, token_counts
+from bitballot.llm import decontamination, language_id, licenses, mixing, ngram_join, pii, quality, sharding, token_counts
 from bitballot.llm._common import Scratch, table
 
 
@@ -38,6 +38,10 @@ def quality_model(spark: SparkSession, sf_dir: str) -> dict:
     return quality.fit(docs.where(~language_id.held_out(F.col("doc_id"), 3, 1)).join(labels, "doc_id"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), Scratch(spark), k=4, percent=85)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.shard(table(spark, sf_dir, "documents"), 24, Scratch(spark))
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -55,5 +59,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark)).drop("rid")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_token_counts, op4_mixing, op5_quality, op7_sharding, op8_pii, op9_licenses, op10_decontamination)}
-SQL = {"op4_mixing": mixing.SQL, "op10_decontamination": decontamination.SQL}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_token_counts, op4_mixing, op5_quality, op6_ngram_join, op7_sharding, op8_pii, op9_licenses, op10_decontamination)}
+SQL = {"op4_mixing": mixing.SQL, "op6_ngram_join": ngram_join.SQL, "op10_decontamination": decontamination.SQL}
