@@ -82,6 +82,11 @@ def windows(array: str, length: Column | int) -> Column:
     return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.concat_ws(" ", F.slice(array, i + 1, length)))).otherwise(F.array().cast("array<string>"))
 
 
+def key() -> Column:
+    """Names a row by its number and text; repeated rows share it and their result."""
+    return F.xxhash64(F.lit(1), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def hits(docs: DataFrame, items: DataFrame, scratch: Scratch, span: int = 10, k: int = 6) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of ``docs`` (doc_id, text)."""
     # the outer forms of explode keep the optimiser from computing the arrays a second time, in a filter on their size
@@ -96,8 +101,7 @@ def hits(docs: DataFrame, items: DataFrame, scratch: Scratch, span: int = 10, k:
         prints = prints.unionByName(short.select(F.explode_outer("f").alias("f"), F.lit(n).alias("len")))
     prints = small(scratch.save(prints.distinct(), "bench-prints"))
 
-    key = F.xxhash64(F.lit(1), "doc_id", "text").alias("rid")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", key)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", key())
     coarse = texts.select("rid", coarse_words().alias("f"))
     parts = [fingerprints(coarse, "f", k, span).select("rid", F.explode_outer("f").alias("f"), F.lit(span).alias("len"))]
     for n in lengths:
@@ -128,6 +132,12 @@ def hits(docs: DataFrame, items: DataFrame, scratch: Scratch, span: int = 10, k:
         F.sha2(F.coalesce("i", F.lit("")).cast("binary"), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
 
 
+def clean(docs: DataFrame, items: DataFrame, scratch: Scratch, span: int = 10, k: int = 6) -> DataFrame:
+    """The rows of ``docs``, all columns, without a hit."""
+    hit = scratch.save(hits(docs, items, scratch, span, k).where("contaminated").select(F.col("rid").alias("_rid")).distinct(), "contaminated")
+    return docs.join(small(hit), key() == F.col("_rid"), "left_anti")
+
+
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

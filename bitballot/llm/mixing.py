@@ -9,7 +9,8 @@ document at most.  The cut is found by two histograms of u (within a source the
 is one number there), so no task holds a source; only the last narrow bin is ranked.
 
 Cases: a null text has size 0; documents without words take 0 words (and the certain copies); the null
-source is one source, last by order; equal documents share u by doc_id and text and are cut between by number;
+source is one source, last by order; rows repeated as a whole are taken
+or left together;
 an empty table gives an empty result; other columns are not read.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bitballot.llm._common import Scratch
+from bitballot.llm._common import Scratch, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A bin of the first histogram of u, of 13 hexadecimal digits, has this many values; one of the second, that many.
@@ -49,54 +50,77 @@ def targets(sources: DataFrame, most: float = 3.0) -> DataFrame:
     return s.select("source", "source_size", "weight", target.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, scratch: Scratch, most: float = 3.0, weights: DataFrame | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for each row of ``docs`` (doc_id, text, source).
+def uniform(doc_id: str = "doc_id", text: str = "text"):
+    """52 bits by hash of a document's number and text: rows repeated as a whole share them."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("mix"), F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))).cast("binary")), 1, 13), 16, 10).cast("long")
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), uniform().alias("u"))
+
+
+def same(a: str, b: str = "_s"):
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def plan(rows: DataFrame, scratch: Scratch, most: float = 3.0, weights: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of ``sized`` rows: one row per source (_s, source_size, target, _certain, _left, low, high), and the documents (doc_id, u) taken from the bins that are cut.
 
     ``weights`` (source, weight) defaults to 1, 2, 3 repeating over the sources by code point, null last.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(text)).cast("binary")), 1, 13), 16, 10).cast("long").alias("u"),
-    )
-    rows = scratch.save(rows, "mix-rows")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     if weights is None:
-        ranked = sums.withColumn("weight", (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % 3 + 1)
+        weighed = sums.withColumn("weight", (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % 3 + 1)
     else:
-        ranked = sums.join(weights.select(F.col("source").alias("_s"), "weight"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    plan = targets(ranked, most)
-    plan = plan.withColumn("_rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    plan = plan.withColumn("_certain", F.least(F.floor("_rate"), F.lit(int(most))).cast("long"))
-    plan = plan.withColumn("_left", F.col("target") - F.col("_certain") * F.col("source_size"))
-    plan = scratch.save(plan.coalesce(1), "mix-plan")
+        weighed = sums.join(weights.select(F.col("source").alias("_s"), "weight"), same("source")).drop("_s")
+    p = targets(weighed, most)
+    p = p.withColumn("_rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    p = p.withColumn("_certain", F.least(F.floor("_rate"), F.lit(int(most))).cast("long"))
+    p = p.withColumn("_left", F.col("target") - F.col("_certain") * F.col("source_size")).withColumnRenamed("source", "_s")
+    p = scratch.save(p.drop("_rate", "weight").coalesce(1), "mix-plan")
 
     # u / (1 - u) rises with u and p is the same for all of a source, so Pareto's order within it is that of u
-    first, second = HASH // BINS, HASH // BINS // BINS
-    cut = plan.select("source", F.col("_left").alias("left"), F.lit(0).cast("long").alias("low"), F.lit(HASH).cast("long").alias("high"))
-    for width, name in ((first, "mix-cut-1"), (second, "mix-cut-2")):
-        inside = rows.join(F.broadcast(cut.select(F.col("source").alias("_s"), "low", "high")), F.col("source").eqNullSafe(F.col("_s")) & (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
-        bins = inside.groupBy("source", F.expr(f"u div {width}").alias("bin")).agg(F.sum("size").alias("words"))
+    cut = p.select("_s", F.col("_left").alias("left"), F.lit(0).cast("long").alias("low"), F.lit(HASH).cast("long").alias("high"))
+    for i, width in enumerate((HASH // BINS, HASH // BINS // BINS)):
+        inside = rows.join(F.broadcast(cut), same("source") & (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
+        bins = inside.groupBy("source", F.expr(f"u div {width}").alias("bin")).agg(F.sum("size").alias("words"), F.first("left").alias("left"))
         bins = bins.withColumn("before", F.sum("words").over(W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)) - F.col("words"))
-        found = bins.join(F.broadcast(cut.select(F.col("source").alias("_s"), "left")), F.col("source").eqNullSafe(F.col("_s")))
-        found = found.where((F.col("before") <= F.col("left")) & (F.col("before") + F.col("words") > F.col("left")))
-        found = found.select("source", (F.col("left") - F.col("before")).alias("left"), (F.col("bin") * width).alias("low"), ((F.col("bin") + 1) * width).alias("high"))
+        found = bins.where((F.col("before") <= F.col("left")) & (F.col("before") + F.col("words") > F.col("left")))
+        found = found.select("source", (F.col("left") - F.col("before")).alias("l"), (F.col("bin") * width).alias("a"), ((F.col("bin") + 1) * width).alias("b"))
         # where all bins fit, all are taken
-        cut = scratch.save(cut.select(F.col("source").alias("_s")).join(found, F.col("_s").eqNullSafe(F.col("source")), "left").select(
-            F.col("_s").alias("source"), F.coalesce("left", F.lit(0.0)).alias("left"), F.coalesce("low", F.lit(HASH)).cast("long").alias("low"), F.coalesce("high", F.lit(HASH)).cast("long").alias("high")).coalesce(1), name)
-
-    edge = plan.join(cut.select(F.col("source").alias("_s"), "left", "low", "high"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "weight")
-    edge = edge.withColumnRenamed("source", "_s")
-    joined = rows.join(F.broadcast(edge), F.col("source").eqNullSafe(F.col("_s")))
-    ranked = joined.where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
-    before = F.sum("size").over(W.partitionBy("source", "low").orderBy("u", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-    ranked = ranked.withColumn("extra", (before + F.col("size") / 2 <= F.col("left")).cast("long"))
-    rest = joined.where((F.col("u") < F.col("low")) | (F.col("u") >= F.col("high"))).withColumn("extra", (F.col("u") < F.col("low")).cast("long"))
-    # a fraction of nothing takes nobody, nor does a source that is all certain
-    both = ranked.unionByName(rest).withColumn("copies", F.when(F.col("_left") > 0, F.col("extra")).otherwise(0) + F.col("_certain"))
-    both = both.withColumn("copies", F.least("copies", F.lit(int(most)).cast("long")))
-    return both.select("doc_id", "u", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        cut = cut.select("_s").join(F.broadcast(found), same("source"), "left").select("_s", F.coalesce("l", F.lit(0.0)).alias("left"), F.coalesce("a", F.lit(HASH)).cast("long").alias("low"), F.coalesce("b", F.lit(HASH)).cast("long").alias("high"))
+        cut = scratch.save(cut.coalesce(1), f"mix-cut-{i}")
+    edge = scratch.save(p.join(F.broadcast(cut.withColumnRenamed("_s", "_t")), same("_s", "_t")).drop("_t").coalesce(1), "mix-edge")
+
+    last = rows.join(F.broadcast(edge), same("source") & (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
+    last = last.groupBy("source", "u", "doc_id").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+    before = F.sum("words").over(W.partitionBy("source").orderBy("u", "doc_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("words")
+    taken = last.withColumn("before", before).where(F.col("before") + F.col("words") / 2 <= F.col("left")).select(F.col("doc_id").alias("_d"), F.col("u").alias("_u"))
+    return edge, scratch.save(taken.distinct(), "mix-last")
+
+
+def with_copies(rows: DataFrame, edge: DataFrame, last: DataFrame, most: float = 3.0) -> DataFrame:
+    """Adds source_size, target and copies to rows that have doc_id, source and u."""
+    all_ = rows.join(F.broadcast(edge), same("source")).join(small(last), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("u") == F.col("_u")), "left")
+    extra = ((F.col("u") < F.col("low")) | F.col("_u").isNotNull()) & (F.col("_left") > 0)  # a source that is all certain takes no more
+    copies = F.least(F.col("_certain") + extra.cast("long"), F.lit(int(most)).cast("long"))
+    return all_.withColumn("copies", copies).drop("_s", "_certain", "_left", "left", "low", "high", "_d", "_u")
+
+
+def mix(docs: DataFrame, scratch: Scratch, most: float = 3.0, weights: DataFrame | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken for each row of ``docs`` (doc_id, text, source)."""
+    rows = scratch.save(sized(docs), "mix-rows")
+    out = with_copies(rows, *plan(rows, scratch, most, weights), most)
+    return out.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, scratch: Scratch, most: float = 3.0, weights: DataFrame | None = None) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it; texts are not shuffled."""
+    rows = scratch.save(sized(docs), "mix-rows")
+    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), uniform().alias("u"))
+    out = with_copies(own, *plan(rows, scratch, most, weights), most).where("copies > 0")
+    return out.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")
 
 
 #: The rows of the query in DuckDB, by windows over whole sources.
@@ -115,10 +139,10 @@ WITH rows AS (
   SELECT source, source_size, CASE WHEN full_level <= level THEN 3.0 * source_size ELSE weight * (SELECT arg_min(level, full_level) FROM levels WHERE full_level > level) END::DOUBLE AS target FROM levels
 ), ranked AS (
   SELECT r.*, p.source_size, p.target, least(floor(CASE WHEN p.source_size > 0 THEN p.target / p.source_size ELSE 0 END), 3)::BIGINT AS certain,
-         sum(size) OVER (PARTITION BY r.source ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before
+         sum(size) OVER (PARTITION BY r.source, u, doc_id) AS words, sum(size) OVER (PARTITION BY r.source ORDER BY u, doc_id RANGE UNBOUNDED PRECEDING) AS upto
   FROM rows r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source
 )
 SELECT doc_id, size, source_size, target,
-       (size * least(certain + CASE WHEN target - certain * source_size > 0 AND before + size / 2.0 <= target - certain * source_size THEN 1 ELSE 0 END, 3))::BIGINT AS taken
+       (size * least(certain + CASE WHEN target - certain * source_size > 0 AND upto - words / 2.0 <= target - certain * source_size THEN 1 ELSE 0 END, 3))::BIGINT AS taken
 FROM ranked
 """

@@ -249,6 +249,16 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80) -> Da
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def representatives(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their group: those with its least doc_id, a repeated row once."""
+    found = scratch.save(join(docs, scratch, k, percent), "joined-rows")
+    gone = small(scratch.save(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone"))
+    twice = small(scratch.save(found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated"))
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    once = kept.join(twice, "doc_id", "left_anti").select(docs.columns)
+    return once.unionByName(kept.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+
+
 SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, w[p : p + 3] AS g FROM d, unnest(range(1, greatest(len(w) - 2, 2))) AS t(p) WHERE len(w) > 0),

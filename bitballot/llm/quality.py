@@ -127,3 +127,16 @@ def score(docs: DataFrame, model, held=None, keep: tuple[str, ...] = ()) -> Data
     held = F.lit(False) if held is None else held
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
     return map_texts(rows, start, SCHEMA)
+
+
+def accepted(docs: DataFrame, model) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text reaches 0.5."""
+    shared = docs.sparkSession.sparkContext.broadcast({"vectors": model["vectors"].astype(np.float32), "out": model["out"], "bias": model["bias"]})
+
+    def start():
+        import pyarrow as pa
+
+        scorer = Scorer(shared.value)
+        return lambda part: part.filter(pa.array(scorer(part.column("text")) >= 0.5))
+
+    return map_texts(docs, start, docs.schema)

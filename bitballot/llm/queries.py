@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitballot.llm import decontamination, language_id, licenses, mixing, ngram_join, pii, quality, sharding, token_counts
+from bitballot.llm import decontamination, embedding_dedup, language_id, licenses, mixing, ngram_join, pii, quality, sharding, token_counts
 from bitballot.llm._common import Scratch, table
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"), Scratch(spark))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = language_id.held_out(F.col("doc_id"), 4, 2)
@@ -59,5 +63,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark)).drop("rid")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_token_counts, op4_mixing, op5_quality, op6_ngram_join, op7_sharding, op8_pii, op9_licenses, op10_decontamination)}
-SQL = {"op4_mixing": mixing.SQL, "op6_ngram_join": ngram_join.SQL, "op10_decontamination": decontamination.SQL}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_language_id, op3_token_counts, op4_mixing, op5_quality, op6_ngram_join, op7_sharding, op8_pii, op9_licenses, op10_decontamination)}
+SQL = {"op1_embedding_dedup": embedding_dedup.SQL, "op4_mixing": mixing.SQL, "op6_ngram_join": ngram_join.SQL, "op10_decontamination": decontamination.SQL}
