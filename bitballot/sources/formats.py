@@ -14,7 +14,7 @@ import zstandard
 from bitballot.operators.clauses import ClauseModel
 
 #: Magic, version, thresholds, classes, clamp, clauses, packed size, plain size.
-HEADER = struct.Struct("<4sBHHBIII")
+HEADER = "4sBHHBIII"
 DENSE, SPARSE, TMPY = b"FBZ1", b"FBZ2", b"TMPY"
 
 
@@ -83,14 +83,14 @@ def encode(model: ClauseModel, sparse: bool = False, clamp_max: int | None = Non
                 body += mask(pos, size) + mask(neg, size)
     small = zstandard.ZstdCompressor(level=level).compress(bytes(body))
     top = clamp_max if clamp_max is not None else min(255, int(model.clamp.max(initial=0)))
-    head = HEADER.pack(SPARSE if sparse else DENSE, 1, n, model.classes, top, len(model.cls), len(small), len(body))
+    head = struct.pack("<" + HEADER, SPARSE if sparse else DENSE, 1, n, model.classes, top, len(model.cls), len(small), len(body))
     return head + model.feat.astype("<i4").tobytes() + model.thresh.astype("<f4").tobytes() + packed_strings(model.feature_names) + packed_strings(model.class_names) + small
 
 
 def decode(data: bytes) -> ClauseModel:
     """Either of the compressed layouts, by its magic."""
     c = Cursor(data)
-    magic, version, n, classes, _, total, small, plain = HEADER.unpack(c.take(HEADER.size))
+    magic, version, n, classes, _, total, small, plain = c.unpack(HEADER)
     if magic not in (DENSE, SPARSE) or version != 1:
         raise ValueError(f"not a model file: {magic!r}, version {version}")
     feat, thresh = c.array("<i4", n), c.array("<f4", n)

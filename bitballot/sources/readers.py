@@ -52,7 +52,7 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """row_id, value: the lines of one file (a file's lines are one row until they are split, so the order is the file's)."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", r"\r?\n\z", "").alias("value"))
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\r?\n\z", "").alias("value"))
     return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("row_id", "value"))
 
 
