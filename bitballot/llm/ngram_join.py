@@ -7,10 +7,11 @@ more common, and any order is exact).  Two sets that reach the similarity share
 its prefix while the estimated cost of postings and of verified candidates falls, and two documents are compared
 when they share the lesser of their two numbers within that lesser prefix.
 
-Documents with the same set are one class with its least doc_id for a name.  Classes that share a prefix shingle
-are first compared with the least and with three random members of the shingle's group, in numbers that grow with
-the members; classes that so prove to be connected need no more comparison for the components.  What is left are
-pairs of different components that share enough prefix shingles, all of which are verified.  Verification counts
+Documents with the same set are one class with its least doc_id for a name.  Classes that share enough prefix
+shingles with the least member of a shingle's group are first compared with it, those of a large group also with
+three random members, in numbers that grow with the members; classes that so prove to be connected need no more
+comparison for the components.  What is left are pairs of different components: in small groups all that share
+enough prefix shingles, in large groups those that ``recentred`` cannot rule out; all of them are verified.  Verification counts
 the common shingles of both sets exactly.  The result has every document's component, with no link lost.
 
 Cases: words are lower-cased for A-Z and split at ASCII space; a null text or one without words has an empty set,
@@ -29,10 +30,13 @@ from bitballot.llm._graph import components
 from bitballot.llm._words import Words, mix, shingles, slices, utf8
 
 #: Counters in the table of counts, and the part of it in one row.
-TABLE = 1 << 20
+TABLE = 1 << 21
 ROW = 1 << 14
-#: The most shared prefix shingles that a document may ask for.
+#: The most members of a group whose pairs are met directly; larger groups are recentred.
+GROUP = 64
+#: The most shared prefix shingles that a document may ask for; the share of prefix shingles that the cost takes to be shared by chance.
 MOST = 8
+CHANCE = 0.1
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
@@ -128,7 +132,7 @@ def prefixes(docs: DataFrame, k: int, percent: int, table) -> DataFrame:
                 order = np.lexsort((s, c))[: n - need + most]
                 posted = np.cumsum(np.maximum(0.0, c[order] - noise))[n - need :]
                 ell = np.arange(1, most + 1)
-                cost = posted + posted / ell * (8 + n / 16) + ell
+                cost = posted + (posted / ell + (n - need + ell) * CHANCE**ell) * (8 + n / 16) + ell
                 best = int(np.argmin(cost)) + 1
                 out.append((n, cls, best, s[order[: n - need + best]].view(np.int64)))
             n, cls, ell, prefix = zip(*out)
@@ -162,10 +166,20 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
     return map_texts(docs, start, "id long, cls long, shingles binary")
 
 
+def beside(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, more) with the sets x of a and y of b.
+
+    Pairs are numbers, so they go to the sets of b; those rows are shuffled once, to the few sets of a, the side
+    with hubs, in a join that can be split where it is skewed.
+    """
+    side = known.select(F.col("id").alias("b"), F.col("shingles").alias("y")).join(small(pairs), "b")
+    hubs = known.join(small(pairs.select(F.col("a").alias("id")).distinct()), "id", "left_semi")
+    return side.join(hubs.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+
+
 def verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) that reach the similarity; each set travels once for a pair, the hub's side last so that a skewed join can be split."""
-    side = pairs.join(known.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    both = side.join(known.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    """Those of the written ``pairs`` (a, b) that reach the similarity."""
+    both = beside(pairs, known)
 
     def run(batches):
         import numpy as np
@@ -188,6 +202,64 @@ def verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def recentred(members: DataFrame, known: DataFrame, percent: int, table) -> DataFrame:
+    """Pairs (a, b) that may be linked, of rows (a: centre, b: member, component) of one centre and different components.
+
+    With D(x) the symmetric difference of x and the centre, |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, and linked
+    sets differ by at most ``allowed`` = |x| + |y| - 2 * overlap needed.  So they share at least o = (|D(x)| + |D(y)| -
+    allowed) / 2 elements of D, some of them among the first |D| - o + 1 of each, rare ones first.  Members of a
+    group of near copies differ in their own edits, which are rare, so few pairs meet.  Where o would be 0 one of
+    the two is all but the centre itself; those meet under a mark of their own.  At least one of two members of
+    different components is not linked with the centre, so its D exceeds what the centre allows.
+    """
+    shared = known.sparkSession.sparkContext.broadcast(table)
+    centre = small(members.where("a = b").select("a", F.col("component").alias("own")))
+    rows = beside(members.join(centre, "a", "left").select("a", "b", "component", F.coalesce(F.col("component") == F.col("own"), F.lit(False)).alias("linked")), known)
+
+    def allowed(n, m):
+        return n + m - 2 * (-(-percent * (n + m) // (100 + percent)))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        counts = shared.value
+        for batch in batches:
+            out = {"a": [], "b": [], "component": [], "n": [], "dn": [], "reach": [], "short": [], "tokens": []}
+            for a, b, c, linked, x, y in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "component", "linked", "x", "y"))):
+                xs, ys = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                d = np.setxor1d(xs, ys, assume_unique=True)
+                n, m, dn = len(ys), len(xs), len(d)
+                most = (100 - percent) * n // percent  # the most that any partner of its size differs by
+                apart = allowed(-(-percent * n // 100), m) + 1  # the least D of a partner that is not linked
+                far = max(1, -(-(dn - most) // 2))
+                near = max(1, -(-(dn + max(dn, apart if linked else dn) - most) // 2))
+                order = np.lexsort((d, counts[(d & np.uint64(TABLE - 1)).astype(np.int64)]))
+                reach, short = max(0, dn - far + 1), max(0, dn - near + 1)
+                tokens = d[order][: max(reach, short)].view(np.int64).tolist()
+                mark = (not linked and dn <= most, dn <= (100 - percent) * max(0, n - m) / (100 + percent) + 2)
+                for k, v in (("a", a), ("b", b), ("component", c), ("n", n), ("dn", dn), ("reach", reach), ("short", short), ("tokens", tokens)):
+                    out[k].append(v)
+                if any(mark):  # position -1: no shared element is needed
+                    for k, v in (("a", a), ("b", b), ("component", c), ("n", n), ("dn", dn), ("reach", -1 if mark[0] else -2), ("short", -1 if mark[1] else -2), ("tokens", [])):
+                        out[k].append(v)
+            types = [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
+
+    made = rows.select("a", "b", "component", "linked", "x", "y").mapInArrow(run, "a long, b long, component long, n int, dn int, reach int, short int, tokens array<long>")
+    posted = made.where("reach >= 0").select("a", "b", "component", "n", "dn", "reach", "short", F.posexplode_outer("tokens").alias("pos", "token")).where("token is not null")
+    marked = made.where("reach < 0").select("a", "b", "component", "n", "dn", F.when(F.col("reach") == -1, 1).otherwise(0).alias("reach"), F.when(F.col("short") == -1, 1).otherwise(0).alias("short"))
+    pick = lambda df, role, end: df.where(F.col(role) > F.col("pos")).select("a", "token", F.col("pos").alias(f"pos{end}"), *[F.col(c).alias(f"{c}{end}") for c in ("b", "component", "n", "dn")])
+    more = (F.col("dn_") > F.col("dn")) | (F.col("dn_") == F.col("dn")) & (F.col("b_") > F.col("b"))
+    ok = (F.col("component") != F.col("component_")) & more & fits("n", "n_", percent) & fits("n_", "n", percent)
+    total = F.col("n") + F.col("n_")
+    may = total - 2 * F.ceil(total * percent / F.lit(100 + percent))
+    need = F.ceil((F.col("dn") + F.col("dn_") - may) / 2)
+    shared_ = pick(posted, "short", "").join(pick(posted, "reach", "_"), ["a", "token"]).where(ok & (F.col("pos") <= F.col("dn") - need) & (F.col("pos_") <= F.col("dn_") - need))
+    none = marked.where("short = 1").join(marked.where("reach = 1").select("a", *[F.col(c).alias(f"{c}_") for c in ("b", "component", "n", "dn")]), "a").where(ok & (need <= 0))
+    return shared_.select("b", "b_").unionByName(none.select("b", "b_")).select(F.least("b", "b_").alias("a"), F.greatest("b", "b_").alias("b"))
+
+
 def fits(n: str, m: str, percent: int):
     return F.col(n) * 100 >= F.col(m) * percent
 
@@ -206,8 +278,18 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80) -> Da
     posted = own.select(F.col("doc_id").alias("id"), "n", "ell", F.posexplode_outer("prefix").alias("pos", "token"))
     base = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("int") + 1
     posted = posted.select("token", "id", "n", "ell", F.greatest(F.lit(1), F.col("pos") - base + 2).cast("int").alias("level"))
-    common = small(scratch.save(posted.groupBy("token").count().where("count > 1").select("token"), "tokens"))
-    groups = scratch.save(posted.join(common, "token", "left_semi").dropDuplicates(["token", "id"]), "groups")
+    common = small(scratch.save(posted.groupBy("token").agg(F.count("*").alias("c"), F.min("ell").alias("low")).where("c > 1"), "tokens"))
+    shared = scratch.save(posted.join(common, "token").dropDuplicates(["token", "id"]), "shared")
+    # a document goes if no partner can share with it what the two of them ask for: its own number, or j with a partner that asks for j < its own
+    least = [F.sum((F.col("low") <= j).cast("int")).alias(f"h{j}") for j in range(1, MOST)]
+    able = shared.groupBy("id").agg(F.count("*").alias("has"), F.first("ell").alias("asks"), F.max("c").alias("most"), *least)
+    fit = (F.col("has") >= F.col("asks")) | (F.col("most") > GROUP)
+    for j in range(1, MOST):
+        fit = fit | (F.col(f"h{j}") >= j) & (F.col("asks") > j)
+    able = able.where(fit).select("id")
+    kept = shared.join(small(scratch.save(able, "able")), "id", "left_semi")
+    sizes = scratch.save(kept.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
+    groups = scratch.save(kept.drop("c", "low").join(small(sizes), "token"), "groups")
     scratch.drop("prefixes")
     member = small(scratch.save(groups.select(F.col("id").alias("doc_id")).distinct(), "members"))
     known = scratch.save(sets(texts.join(member, "doc_id", "left_semi"), k).join(small(classes.select("cls", "id")), ["cls", "id"], "left_semi"), "sets")
@@ -215,30 +297,37 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80) -> Da
     known = known.join(twice, "id", "left_anti").unionByName(known.join(twice, "id", "left_semi").dropDuplicates(["id"]))
 
     # 1. the least member of each group against the others
-    least = groups.groupBy("token").agg(F.min(F.struct("id", "n")).alias("p")).select("token", F.col("p.id").alias("a"), F.col("p.n").alias("an"))
-    stars = groups.join(least, "token").where((F.col("id") > F.col("a")) & fits("n", "an", percent) & fits("an", "n", percent)).select("a", F.col("id").alias("b")).distinct()
-    stars = scratch.save(stars, "stars")
+    least = groups.groupBy("token").agg(F.min(F.struct("id", "n", "ell")).alias("p")).select("token", F.col("p.id").alias("a"), F.col("p.n").alias("an"), F.col("p.ell").alias("al"))
+    stars = groups.join(least, "token").where((F.col("id") > F.col("a")) & fits("n", "an", percent) & fits("an", "n", percent))
+    stars = stars.groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("shared"), F.max(F.least("ell", "al")).alias("asked"), F.max("c").alias("most"))
+    stars = scratch.save(stars.where((F.col("shared") >= F.col("asked")) | (F.col("most") > GROUP)).select("a", "b"), "stars")
     links = scratch.save(verified(stars, known, percent), "links-1")
-    # 2. three random members of each group that is not yet one by its links with least members
+    # 2. three random members of each larger group that is not yet one by its links with least members
     named = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label"))
     groups = scratch.save(groups.join(named, "id", "left").withColumn("label", F.coalesce("label", "id")), "groups-2")
     scratch.drop("groups")
-    several = groups.groupBy("token").agg(F.count("*").alias("c"), F.min("label").alias("x"), F.max("label").alias("y"), *[F.min(F.struct(F.xxhash64(F.lit(i), "token", "id").alias("h"), "id", "n", "label")).alias(f"p{i}") for i in range(3)])
-    several = several.where("c > 2 and x <> y").select("token", F.explode(F.array_distinct(F.transform(F.array("p0", "p1", "p2"), lambda p: F.struct(p["id"].alias("a"), p["n"].alias("an"), p["label"].alias("al"))))).alias("p")).select("token", "p.*")
+    several = groups.groupBy("token").agg(F.first("c").alias("c"), F.min("label").alias("x"), F.max("label").alias("y"), *[F.min(F.struct(F.xxhash64(F.lit(i), "token", "id").alias("h"), "id", "n", "label")).alias(f"p{i}") for i in range(3)])
+    several = several.where((F.col("c") > GROUP) & (F.col("x") != F.col("y"))).select("token", F.explode(F.array_distinct(F.transform(F.array("p0", "p1", "p2"), lambda p: F.struct(p["id"].alias("a"), p["n"].alias("an"), p["label"].alias("al"))))).alias("p")).select("token", "p.*")
     extra = groups.join(several, "token").where((F.col("id") != F.col("a")) & (F.col("label") != F.col("al")) & fits("n", "an", percent) & fits("an", "n", percent))
     extra = extra.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     extra = scratch.save(extra, "extra")
     links = scratch.save(links.unionByName(verified(extra, known, percent)), "links-2")
     done = components(links, scratch, "joined")
-    # 3. all pairs of different components that share enough of their prefixes
+    # 3. what is left are pairs of different components
     groups = scratch.save(groups.drop("label").join(done.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "groups-3")
     scratch.drop("groups-2")
-    open_ = groups.groupBy("token").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).where("c > 2 and x <> y").select("token")
-    left = groups.join(open_, "token", "left_semi")
+    open_ = groups.groupBy("token").agg(F.first("c").alias("c"), F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("a")).where("x <> y").select("token", "c", "a")
+    open_ = scratch.save(open_, "open")
+    # in groups of bounded size all that share enough of their prefixes
+    left = groups.join(small(open_.where(F.col("c") <= GROUP).select("token")), "token", "left_semi")
     right = left.select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "ell", "level", "component")])
     met = left.join(right, "token").where((F.col("id") < F.col("id_")) & (F.col("component") != F.col("component_")) & (F.greatest("level", "level_") <= F.least("ell", "ell_")) & fits("n", "n_", percent) & fits("n_", "n", percent))
     met = met.groupBy(F.col("id").alias("a"), F.col("id_").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("ell", "ell_")).alias("asked")).where("shared >= asked").select("a", "b")
-    met = scratch.save(met.join(stars.unionByName(extra), ["a", "b"], "left_anti"), "met")
+    # in larger groups by their differences from the least member
+    large = groups.join(small(open_.where(F.col("c") > GROUP).select("token", "a")), "token").select("a", F.col("id").alias("b"), "component").distinct()
+    large = scratch.save(large, "large")
+    met = met.unionByName(recentred(large, known, percent, table))
+    met = scratch.save(met.distinct().join(stars.unionByName(extra), ["a", "b"], "left_anti"), "met")
     last = verified(met, known, percent)
     final = components(links.unionByName(last), scratch, "final")
 
