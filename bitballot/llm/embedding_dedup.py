@@ -326,7 +326,7 @@ def dedup(rows: DataFrame, scratch: Scratch, cosine: float = 0.98) -> DataFrame:
         home = np.flatnonzero(pdf["home"].to_numpy())
         home = home[ids[home] % blocks == block] if blocks > 1 else home
         if not len(home):
-            return pd.DataFrame({"id": [], "n": [], "to": [], "recall": [], "beam": []})
+            return pd.DataFrame({"id": ids[:0], "n": copies[:0], "to": pd.Series([], dtype=object), "recall": pd.Series([], dtype=float), "beam": pd.Series([], dtype="int32")})
         found, recall, beam = block_links(x, graph, home, cosine)
         tree = {}
         for a, b in joined(len(ids), found, home):
