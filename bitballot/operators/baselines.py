@@ -157,7 +157,7 @@ def predict_knn(test: DataFrame, train: DataFrame, k: int = 5, blocks: int = 16)
         import pandas as pd
 
         if not len(left) or not len(right):
-            return pd.DataFrame({"vec_id": [], "other": [], "y": [], "d": []})
+            return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (("vec_id", "int64"), ("other", "int64"), ("y", "int32"), ("d", "float64"))})
         right = right.sort_values("vec_id")
         a, ids, y = np.stack(right["x"]).astype(np.float64), right["vec_id"].to_numpy(), right["y"].to_numpy()
         out = []
