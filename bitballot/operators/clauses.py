@@ -123,6 +123,27 @@ def packed(df: DataFrame, columns: list[str], model: ClauseModel) -> DataFrame:
     return df.withColumns({f"w{i}": w for i, w in enumerate(B.words(feature_bits(columns, model.feat, model.thresh)))})
 
 
+def packed_batches(df: DataFrame, columns: list[str], model: ClauseModel, keep: tuple[str, ...] = ("row_id",)) -> DataFrame:
+    """``keep`` columns with w0, w1, ... from Arrow batches.
+
+    Before a loop over clauses this keeps the many comparisons of the bits out of the loop's generated method, which
+    would otherwise be too large for the JVM to compile.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        import pyarrow as pa
+
+        model = shared.value
+        for batch in batches:
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.float32) for c in columns], axis=1)
+            words = model.pack(x).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(np.ascontiguousarray(w)) for w in words.T)], [*keep, *(f"w{i}" for i in range(model.words))])
+
+    schema = ", ".join([f"{c} {df.schema[c].dataType.simpleString()}" for c in keep] + [f"w{i} long" for i in range(model.words)])
+    return df.select(*dict.fromkeys([*keep, *columns])).mapInArrow(run, schema)
+
+
 def predict(df: DataFrame, columns: list[str], model: ClauseModel, keep: tuple[str, ...] = ("row_id",)) -> DataFrame:
     """``keep`` columns with votes (by class) and pred, in Arrow batches of a map-only plan."""
     shared = df.sparkSession.sparkContext.broadcast(model.pruned())  # 65 535 clauses a class and sign at most
@@ -157,7 +178,7 @@ def mismatch(model: ClauseModel, xor: bool = False) -> Column:
 
 def votes_relational(df: DataFrame, columns: list[str], model: ClauseModel, key: str = "row_id") -> DataFrame:
     """row_id, class, votes by a grouped sum over the clause table."""
-    out = with_clauses(packed(df, columns, model), model).withColumn("out", F.greatest(F.col("clamp") - mismatch(model), F.lit(0)))
+    out = with_clauses(packed_batches(df, columns, model, (key,)), model).withColumn("out", F.greatest(F.col("clamp") - mismatch(model), F.lit(0)))
     return out.groupBy(key, "class").agg(F.sum(F.col("sign") * F.col("out")).alias("votes"))
 
 

@@ -183,7 +183,7 @@ def threshold_quantise(spark, sf_dir):
 
 def outputs(spark, sf_dir, xor=False):
     df, m = with_model(spark, sf_dir)
-    d = clauses.with_clauses(clauses.packed(df, COLUMNS, m), m).withColumn("wrong", clauses.mismatch(m, xor))
+    d = clauses.with_clauses(clauses.packed_batches(df, COLUMNS, m), m).withColumn("wrong", clauses.mismatch(m, xor))
     return d.withColumn("out", F.greatest(F.col("clamp") - F.col("wrong"), F.lit(0)))
 
 
