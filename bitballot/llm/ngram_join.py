@@ -30,7 +30,7 @@ from bitballot.llm._graph import components
 from bitballot.llm._words import Words, mix, shingles, slices, utf8
 
 #: Counters in the table of counts, and the part of it in one row.
-TABLE = 1 << 21
+TABLE = 1 << 20
 ROW = 1 << 14
 #: The most members of a group whose pairs are met directly; larger groups are recentred.
 GROUP = 64
@@ -105,9 +105,8 @@ def recompress(batches):
         yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(packed, pa.binary())], ["part", "counts"])
 
 
-def prefixes(docs: DataFrame, k: int, percent: int, table) -> DataFrame:
-    """doc_id, n, cls, ell (shared shingles asked for) and the prefix for ell, rare shingles first."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)  # TABLE counters
+def prefixes(docs: DataFrame, k: int, percent: int, shared) -> DataFrame:
+    """doc_id, n, cls, ell (shared shingles asked for) and the prefix for ell, rare shingles first; ``shared``: the broadcast table of counts."""
 
     def start():
         import numpy as np
@@ -202,7 +201,7 @@ def verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def recentred(members: DataFrame, known: DataFrame, percent: int, table) -> DataFrame:
+def recentred(members: DataFrame, known: DataFrame, percent: int, shared) -> DataFrame:
     """Pairs (a, b) that may be linked, of rows (a: centre, b: member, component) of one centre and different components.
 
     With D(x) the symmetric difference of x and the centre, |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, and linked
@@ -212,7 +211,6 @@ def recentred(members: DataFrame, known: DataFrame, percent: int, table) -> Data
     the two is all but the centre itself; those meet under a mark of their own.  At least one of two members of
     different components is not linked with the centre, so its D exceeds what the centre allows.
     """
-    shared = known.sparkSession.sparkContext.broadcast(table)
     centre = small(members.where("a = b").select("a", F.col("component").alias("own")))
     rows = beside(members.join(centre, "a", "left").select("a", "b", "component", F.coalesce(F.col("component") == F.col("own"), F.lit(False)).alias("linked")), known)
 
@@ -268,7 +266,7 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80) -> Da
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.save(signatures(texts, k), "signed")
-    table = total_counts(signed)
+    table = docs.sparkSession.sparkContext.broadcast(total_counts(signed))  # TABLE counters
     rows = signed.where("part is null")
     # the documents of a class, counted on the way to the shuffle
     classes = scratch.save(rows.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
@@ -278,8 +276,10 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80) -> Da
     posted = own.select(F.col("doc_id").alias("id"), "n", "ell", F.posexplode_outer("prefix").alias("pos", "token"))
     base = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("int") + 1
     posted = posted.select("token", "id", "n", "ell", F.greatest(F.lit(1), F.col("pos") - base + 2).cast("int").alias("level"))
-    common = small(scratch.save(posted.groupBy("token").agg(F.count("*").alias("c"), F.min("ell").alias("low")).where("c > 1"), "tokens"))
-    shared = scratch.save(posted.join(common, "token").dropDuplicates(["token", "id"]), "shared")
+    common = small(scratch.save(posted.groupBy("token").count().where("count > 1").select("token"), "tokens"))
+    shared = scratch.save(posted.join(common, "token", "left_semi").dropDuplicates(["token", "id"]), "shared")
+    scratch.drop("tokens")
+    shared = shared.join(shared.groupBy("token").agg(F.count("*").alias("c"), F.min("ell").alias("low")), "token")
     # a document goes if no partner can share with it what the two of them ask for: its own number, or j with a partner that asks for j < its own
     least = [F.sum((F.col("low") <= j).cast("int")).alias(f"h{j}") for j in range(1, MOST)]
     able = shared.groupBy("id").agg(F.count("*").alias("has"), F.first("ell").alias("asks"), F.max("c").alias("most"), *least)
@@ -288,8 +288,9 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80) -> Da
         fit = fit | (F.col(f"h{j}") >= j) & (F.col("asks") > j)
     able = able.where(fit).select("id")
     kept = shared.join(small(scratch.save(able, "able")), "id", "left_semi")
-    sizes = scratch.save(kept.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
-    groups = scratch.save(kept.drop("c", "low").join(small(sizes), "token"), "groups")
+    kept = scratch.save(kept.drop("c", "low"), "kept")
+    groups = scratch.save(kept.join(kept.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "token"), "groups")
+    scratch.drop("shared", "able", "kept")
     scratch.drop("prefixes")
     member = small(scratch.save(groups.select(F.col("id").alias("doc_id")).distinct(), "members"))
     known = scratch.save(sets(texts.join(member, "doc_id", "left_semi"), k).join(small(classes.select("cls", "id")), ["cls", "id"], "left_semi"), "sets")
@@ -328,6 +329,7 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80) -> Da
     large = scratch.save(large, "large")
     met = met.unionByName(recentred(large, known, percent, table))
     met = scratch.save(met.distinct().join(stars.unionByName(extra), ["a", "b"], "left_anti"), "met")
+    table.destroy()
     last = verified(met, known, percent)
     final = components(links.unionByName(last), scratch, "final")
 
