@@ -35,19 +35,13 @@ def cells(df: DataFrame) -> DataFrame:
 
 def fixture_thresholds(df: DataFrame) -> DataFrame:
     """bit, feat, thresh: distinct 32-quantiles of the dense features, distinct values but the first of the others."""
-    s = sample(df)
-    parts = []
-    for feat, name in enumerate(FEATURES):
-        if feat < 2:
-            quantiles = s.agg(F.percentile(F.col(name).cast("double"), [i / 32 for i in range(1, 32)]).alias("q")).select(F.explode(F.col("q").cast("array<float>")).alias("thresh"))
-            parts.append(quantiles.distinct().withColumn("feat", F.lit(feat)))
-        else:
-            low = s.agg(F.min(name).alias("low"))
-            parts.append(s.select(F.col(name).alias("thresh")).distinct().join(F.broadcast(low), F.col("thresh") > F.col("low")).select("thresh", F.lit(feat).alias("feat")))
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    return both.selectExpr("cast(row_number() over (order by feat, thresh) - 1 as int) as bit", "feat", "thresh")
+    cuts = [i / 32 for i in range(1, 32)]
+    dense = [F.percentile(F.col(c).cast("double"), cuts).cast("array<float>").alias(c) for c in FEATURES[:2]]
+    few = [F.collect_set(c).alias(c) for c in FEATURES[2:]]  # of a bounded sample
+    one = sample(df).agg(*dense, *few)
+    above = [F.expr(f"filter({c}, x -> x > array_min({c}))") for c in FEATURES[2:]]
+    places = one.select(F.posexplode(F.array(*map(F.col, FEATURES[:2]), *above)).alias("feat", "t")).select("feat", F.explode(F.array_distinct("t")).alias("thresh"))
+    return places.selectExpr("cast(row_number() over (order by feat, thresh) - 1 as int) as bit", "feat", "thresh")
 
 
 def literal_rule(n_bits: int, classes: int = 3, clauses: int = 20, limit: int = 6) -> dict:

@@ -193,7 +193,7 @@ def rules_json(text: str, feat, thresh) -> ClauseModel:
 
 def binariser_json(feat, thresh, n_features: int, n_bins: int, quantise: bool = False) -> str:
     t = np.asarray(thresh, np.float64)
-    out = {"version": "GLADEv2", "n_features_in": n_features, "n_bits": len(t), "feat_idx": [int(f) for f in feat], "n_bins_param": n_bins, "quantised": quantise}
+    out = {"version": "2", "n_features_in": n_features, "n_bits": len(t), "feat_idx": [int(f) for f in feat], "n_bins_param": n_bins, "quantised": quantise}
     if quantise:
         low, high = (float(t.min()), float(t.max())) if len(t) else (0.0, 0.0)
         scale = (high - low) / 65535 if high > low else 1.0
