@@ -4,7 +4,8 @@
 weighted sample; each point is home to its nearest centroid's shard and a guest in every shard where a point linked
 to it may be at home.  For unit vectors x at home with c and y with angle(x, y) at most the threshold's, y lies no
 deeper beyond the plane between the centroids than the sine of that angle, so that test loses nothing.  3. Each shard
-builds a flat graph in growing batches: a greedy search finds candidates, robust pruning keeps a spread few of them.
+builds a flat graph of the points that have it among their two nearest, in growing batches: a greedy search finds
+candidates, robust pruning keeps a spread few of them.
 4. The adjacency lists of a point from all its shards are united.  5. Every point at home searches the united graph of
 its shard from the medoid and from its own place; once a point in range is met, the search expands over all
 neighbours in range.  6. A sample of each block's searches is compared with all points of the shard; while recall is
@@ -29,7 +30,7 @@ from bitballot.llm._common import Scratch
 from bitballot.llm._graph import components
 
 #: Points for a shard, rows of a label's sample, neighbours of a point, beam of a search, points at home in a block.
-SHARD, SAMPLE, DEGREE, BEAM, BLOCK = 1024, 4096, 24, 32, 2048
+SHARD, SAMPLE, DEGREE, BEAM, BLOCK = 512, 4096, 24, 32, 2048
 
 
 def unit(x):
@@ -51,13 +52,15 @@ def centroids(x, k: int, rounds: int = 8):
 
 
 def places(x, c, cosine: float):
-    """Home of each point, and all (point, shard) pairs that it belongs to."""
+    """Home of each point, all (point, shard) pairs that it belongs to, and whether it is one of the two nearest."""
     sims = x @ c.T
     home = np.argmax(sims, axis=1)
     gap = np.sqrt(np.maximum(0.0, 2 - 2 * c @ c.T))[home]
     inside = sims[np.arange(len(x)), home][:, None] - sims <= np.sqrt(1 - cosine * cosine) * gap + 1e-9
-    inside[np.arange(len(x)), home] = True
-    return home, np.nonzero(inside)
+    second = np.sort(sims, axis=1)[:, -min(2, len(c))]
+    inside |= sims >= second[:, None]
+    p, s = np.nonzero(inside)
+    return home, (p, s), sims[p, s] >= second[p]
 
 
 def robust_prune(x, ids, pool, degree: int, alpha: float = 1.2):
@@ -287,12 +290,12 @@ def dedup(rows: DataFrame, scratch: Scratch, cosine: float = 0.98) -> DataFrame:
                 at = np.array([i for i, s in enumerate(spaces) if s == space])
                 x = unit([vectors[int(i)].as_py() for i in at])
                 c = shared.value[space]
-                home, (p, s) = places(x, c, cosine) if c is not None else (np.zeros(len(at), int), (np.arange(len(at)), np.zeros(len(at), int)))
-                out += [(f"{space}/{b}", int(ids[at[a]]), int(copies[at[a]]), x[a].tobytes(), bool(home[a] == b)) for a, b in zip(p.tolist(), s.tolist())]
-            types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 5, types)], ["shard", "id", "copies", "x", "home"])
+                home, (p, s), near = places(x, c, cosine) if c is not None else (np.zeros(len(at), int), (np.arange(len(at)), np.zeros(len(at), int)), np.ones(len(at), bool))
+                out += [(f"{space}/{b}", int(ids[at[a]]), int(copies[at[a]]), x[a].tobytes(), bool(home[a] == b), bool(n)) for a, b, n in zip(p.tolist(), s.tolist(), near)]
+            types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 6, types)], ["shard", "id", "copies", "x", "home", "built"])
 
-    dealt = scratch.save(points.mapInArrow(deal, "shard string, id long, copies long, x binary, home boolean"), "dealt")
+    dealt = scratch.save(points.mapInArrow(deal, "shard string, id long, copies long, x binary, home boolean, built boolean"), "dealt")
 
     def graph_of(pdf):
         import pandas as pd
@@ -303,7 +306,7 @@ def dedup(rows: DataFrame, scratch: Scratch, cosine: float = 0.98) -> DataFrame:
         graph = build(x)
         return pd.DataFrame({"id": ids, "near": [ids[g[g >= 0]].tolist() for g in graph]})
 
-    lists = dealt.groupBy("shard").applyInPandas(graph_of, "id long, near array<long>")
+    lists = dealt.where("built").groupBy("shard").applyInPandas(graph_of, "id long, near array<long>")
     united = scratch.save(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "united")
 
     blocks = dealt.where("home").groupBy("shard").count().select("shard", F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / BLOCK).cast("int"))).alias("block"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
