@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitballot.operators import fit
 from bitballot.operators.clauses import ClauseModel
 
 #: The most rows that a threshold fit reads.
@@ -34,13 +35,13 @@ def cells(df: DataFrame) -> DataFrame:
 
 
 def fixture_thresholds(df: DataFrame) -> DataFrame:
-    """bit, feat, thresh: distinct 32-quantiles of the dense features, distinct values but the first of the others."""
-    cuts = [i / 32 for i in range(1, 32)]
-    dense = [F.percentile(F.col(c).cast("double"), cuts).cast("array<float>").alias(c) for c in FEATURES[:2]]
-    few = [F.collect_set(c).alias(c) for c in FEATURES[2:]]  # of a bounded sample
-    one = sample(df).agg(*dense, *few)
-    above = [F.expr(f"filter({c}, x -> x > array_min({c}))") for c in FEATURES[2:]]
-    places = one.select(F.posexplode(F.array(*map(F.col, FEATURES[:2]), *above)).alias("feat", "t")).select("feat", F.explode(F.array_distinct("t")).alias("thresh"))
+    """bit, feat, thresh: distinct 32-quantiles of the dense features, distinct values but the first of the others, of all rows."""
+    every = cells(df)
+    dense = fit.quantiles(every.where("feat < 2").withColumn("val", F.col("val").cast("double")), [i / 32 for i in range(1, 32)]).select("feat", F.col("edge").cast("float").alias("thresh"))
+    few = every.where("feat >= 2 and val is not null").select("feat", "val").distinct()
+    low = few.groupBy("feat").agg(F.min("val").alias("low"))
+    above = few.join(F.broadcast(low), "feat").where("val > low").select("feat", F.col("val").alias("thresh"))
+    places = dense.distinct().union(above)
     return places.selectExpr("cast(row_number() over (order by feat, thresh) - 1 as int) as bit", "feat", "thresh")
 
 

@@ -180,3 +180,17 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     batch = clauses.predict(spark.read.parquet(str(tmp_path / "in")), list(fixtures.FEATURES), m)
     assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(str, batch.collect()))
+
+
+def test_quantiles_and_fixture_thresholds_are_of_all_rows(spark):
+    rng = np.random.RandomState(3)
+    price = np.concatenate([rng.rand(35_000) * 9e4, [1e7, 1e7]]).astype(np.float32)
+    quantity = rng.randint(1, 51, len(price)).astype(np.float32)
+    tax = np.where(np.arange(len(price)) == len(price) - 1, 0.5, 0.25).astype(np.float32)
+    df = spark.createDataFrame([(i, float(a), float(b), 0.0, float(t)) for i, (a, b, t) in enumerate(zip(quantity, price, tax))], "row_id long, quantity float, price float, discount float, tax float")
+    cuts = np.arange(1, 32) / 32
+    want = [(f, float(v)) for f, x in enumerate((quantity, price)) for v in np.unique(np.quantile(x.astype(np.float64), cuts).astype(np.float32))]
+    got = [(r.feat, r.thresh) for r in fixtures.fixture_thresholds(df).orderBy("bit").collect()]
+    assert got == [*want, (3, 0.5)]
+    odd = spark.createDataFrame([(0, v) for v in (1.0, 2.0, 4.0)] + [(1, 7.0)] * 4 + [(2, v) for v in (-1.0, 5.0, math.inf)] + [(3, None)], "feat int, val double")
+    assert sorted(map(tuple, fit.quantiles(odd, [0.0, 0.25, 1.0]).collect())) == [(0, 0, 1.0), (0, 1, 1.5), (0, 2, 4.0), (1, 0, 7.0), (1, 1, 7.0), (1, 2, 7.0), (2, 0, -1.0), (2, 1, 2.0), (2, 2, math.inf)]
