@@ -36,14 +36,18 @@ def with_model(spark, sf_dir):
     return df, fx.fixture_model(df)
 
 
-def sample_cells(spark, sf_dir) -> DataFrame:
-    """feat, val of the sample: the four features, a sparse one, its negation and a constant."""
+def cells_of(df: DataFrame) -> DataFrame:
+    """feat, val: the four features, a sparse one, its negation and a constant."""
     sparse = F.when(F.col("quantity") > 35, F.col("price")).otherwise(F.lit(0.0)).cast("double")
-    return fx.sample(fx.line(spark, sf_dir)).select(F.posexplode(F.array(*[F.col(c).cast("double") for c in COLUMNS], sparse, -sparse, F.lit(1.0))).alias("feat", "val"))
+    return df.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in COLUMNS], sparse, -sparse, F.lit(1.0))).alias("feat", "val"))
+
+
+def all_cells(spark, sf_dir) -> DataFrame:
+    return cells_of(fx.line(spark, sf_dir))
 
 
 def dense_cells(spark, sf_dir) -> DataFrame:
-    return sample_cells(spark, sf_dir).where("feat < 2")
+    return all_cells(spark, sf_dir).where("feat < 2")
 
 
 def edges15(cells: DataFrame) -> DataFrame:
@@ -106,28 +110,32 @@ def threshold_table(spark, sf_dir):
 
 @query
 def fit_thresholds(spark, sf_dir):
-    """The whole fit; its refill of dead bits is sequential, so there is no SQL for it."""
-    return fit.fit(sample_cells(spark, sf_dir), 15)
+    """The whole fit; its refill of dead bits is sequential, so there is no SQL for it.
+
+    Routing and numeric edges come from a bounded sample, categorical values from all rows, as in the reference.
+    """
+    df = fx.line(spark, sf_dir)
+    return fit.fit(cells_of(fx.sample(df)), 15, cells_of(df))
 
 
 @query
 def const_col_filter(spark, sf_dir):
-    return fit.routing(sample_cells(spark, sf_dir)).where("n_distinct > 1").select("feat")
+    return fit.routing(all_cells(spark, sf_dir)).where("n_distinct > 1").select("feat")
 
 
 @query
 def col_routing(spark, sf_dir):
-    return fit.routing(sample_cells(spark, sf_dir))
+    return fit.routing(all_cells(spark, sf_dir))
 
 
 @query
 def cat_edges(spark, sf_dir):
-    return r9(fit.categorical_edges(sample_cells(spark, sf_dir)))
+    return r9(fit.categorical_edges(all_cells(spark, sf_dir)))
 
 
 @query
 def bit_budget(spark, sf_dir):
-    return r9(fit.budgets(sample_cells(spark, sf_dir)))
+    return r9(fit.budgets(all_cells(spark, sf_dir)))
 
 
 @query
@@ -137,7 +145,7 @@ def quantile_edges(spark, sf_dir):
 
 @query
 def gap_test(spark, sf_dir):
-    g = r9(fit.gaps(sample_cells(spark, sf_dir)), 6)
+    g = r9(fit.gaps(all_cells(spark, sf_dir)), 6)
     return g.withColumn("structural", F.coalesce((F.col("median_gap") > 0) & (F.col("max_gap") > fit.GAP * F.col("median_gap")), F.lit(False)))
 
 
@@ -162,14 +170,14 @@ def bit_entropy(spark, sf_dir):
 
 @query
 def dead_bits(spark, sf_dir):
-    c = sample_cells(spark, sf_dir).where("feat = 1")
-    e = c.groupBy("feat").agg(F.percentile("val", [0.002, 0.5, 0.9985]).alias("q")).select("feat", F.explode("q").alias("edge"))
+    c = all_cells(spark, sf_dir).where("feat = 1")
+    e = fit.quantiles(c, [0.002, 0.5, 0.9985]).select("feat", "edge")
     return fit.bit_entropy(c, e).select("feat", F.round("edge", 6).alias("edge"), (F.col("entropy") >= fit.FLOOR).alias("alive"))
 
 
 @query
 def sparse_prefix(spark, sf_dir):
-    return r9(fit.sparse_prefix(sample_cells(spark, sf_dir)), 6)
+    return r9(fit.sparse_prefix(all_cells(spark, sf_dir)), 6)
 
 
 @query

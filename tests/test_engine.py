@@ -194,3 +194,26 @@ def test_quantiles_and_fixture_thresholds_are_of_all_rows(spark):
     assert got == [*want, (3, 0.5)]
     odd = spark.createDataFrame([(0, v) for v in (1.0, 2.0, 4.0)] + [(1, 7.0)] * 4 + [(2, v) for v in (-1.0, 5.0, math.inf)] + [(3, None)], "feat int, val double")
     assert sorted(map(tuple, fit.quantiles(odd, [0.0, 0.25, 1.0]).collect())) == [(0, 0, 1.0), (0, 1, 1.5), (0, 2, 4.0), (1, 0, 7.0), (1, 1, 7.0), (1, 2, 7.0), (2, 0, -1.0), (2, 1, 2.0), (2, 2, math.inf)]
+
+
+def test_categorical_values_are_of_the_whole_table(spark):
+    every = spark.createDataFrame([(0, float(v)) for v in (1, 2, 2, 3, 9)] + [(1, float(i)) for i in range(100)] + [(2, 5.0)] * 3, "feat int, val double")
+    some = every.where("val <> 9 or feat <> 0")
+    got = [(r.bit, r.feat, r.thresh) for r in fit.fit(some, 15, every).orderBy("bit").collect()]
+    assert got[:3] == [(0, 0, 2.0), (1, 0, 3.0), (2, 0, 9.0)] and {f for _, f, _ in got} == {0, 1}
+    assert got[3:] == [(b + 1, f, t) for b, f, t in map(tuple, fit.fit(some, 15).orderBy("bit").collect()) if f == 1]
+
+
+def test_fitting_steps_read_all_rows(spark, tmp_path):
+    from bitballot.plans import queries
+
+    n = 30_500
+    rows = spark.range(n).selectExpr("id as l_orderkey", "1 as l_linenumber", "id as l_partkey", "id as l_suppkey", "cast(id % 50 as double) as l_quantity", "cast(id as double) as l_extendedprice", "0.0D as l_discount", "0.0D as l_tax", "'A' as l_returnflag")
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    of = lambda name: {r["feat"]: r for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert of("col_routing")[1]["n_distinct"] == of("bit_budget")[1]["u"] == n
+    gap = of("gap_test")
+    assert (gap[1]["median_gap"], gap[1]["max_gap"], gap[1]["structural"], gap[6]["median_gap"]) == (1.0, 1.0, False, None)
+    edges = [(r.i, r.edge) for r in queries.quantile_edges(spark, str(tmp_path)).where("feat = 1").orderBy("i").collect()]
+    assert edges == [(i, round((i + 1) / 16 * (n - 1), 6)) for i in range(15)]
+    assert {r.snapped % 1 for r in queries.gap_snap(spark, str(tmp_path)).where("feat = 1").collect()} == {0.5}
