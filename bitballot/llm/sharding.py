@@ -1,13 +1,13 @@
 """Operator 7: sharding by sampled splitters, law ``bytes``.  DataFrame functions only.
 
 Records are ordered by the hash of their text (so equal texts lie together), then by a hash of the record.  A
-size-weighted sample of keys gives quantile boundaries of fine ranges; their exact sizes are summed; a range
-over its due (a large group of equal texts) is subdivided by the record's hash into as many parts as its size
-asks for; consecutive ranges then fill the shards evenly.  Slots number a shard's records without gaps: the
+size-weighted sample of keys gives quantile boundaries of fine ranges, a large group of equal texts a range of
+its own; their exact sizes are summed; such a group's range is subdivided by the record's hash into as many parts
+as its size asks for; consecutive ranges then fill the shards evenly.  Slots number a shard's records without gaps: the
 records of the ranges before it, then the place within the range.  No task holds more than a range.
 
-Cases: a null text has no bytes (size 8) and crc 0; equal texts share a shard unless their group spans ranges
-of two shards; repeated rows get a slot each; an empty table gives an empty result; other columns are not read.
+Cases: a null text has no bytes (size 8) and crc 0; equal texts share a shard unless their own group exceeds
+two dues of a range; repeated rows get a slot each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,18 +22,23 @@ FIXED = 8
 
 
 def split_points(sizes: DataFrame, total: int, ranges: int, per_range: int = 8) -> list[int]:
-    """Quantile boundaries of ``key`` by a size-weighted sample of about ranges * per_range keys (a bounded list)."""
+    """Quantile boundaries of ``key`` by a size-weighted sample of about ranges * per_range keys (a bounded list).
+
+    A key that alone fills a range in the sample gets a range of its own.
+    """
     want = ranges * per_range
     chance = F.pmod(F.xxhash64(F.lit(3), "key", "sub"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     # a record larger than the step is drawn for each step of it
     draws = F.floor(F.col("size") * F.lit(want / max(1, total)) + chance).cast("int")
     drawn = sizes.where(draws > 0).select("key", F.least(draws, F.lit(want)).alias("n")).groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").limit(4 * want).collect()
-    points, seen = [], 0
+    points, seen = set(), 0
     for r in drawn:
         before, seen = seen, seen + r.n
-        if before // per_range != seen // per_range:
-            points.append(r.key)
-    return points
+        if r.n >= per_range:
+            points |= {r.key, min(r.key + 1, (1 << 63) - 1)}
+        elif before // per_range != seen // per_range:
+            points.add(r.key)
+    return sorted(points)
 
 
 def range_of(points: list[int]):
@@ -56,9 +61,10 @@ def shard(docs: DataFrame, shards: int, scratch: Scratch, ranges_per_shard: int
     ranges = shards * ranges_per_shard
     due = max(1.0, total / ranges)
     rows = rows.withColumn("range", range_of(split_points(rows, total, ranges)))
-    sizes = rows.groupBy("range").agg(F.sum("size").alias("bytes"))
-    # parts of an overfull range: by a hash of the record, so equal texts are dealt evenly; a range of many keys under two dues stays whole
-    parts = scratch.save(sizes.select("range", F.greatest(F.lit(1), F.floor(F.col("bytes") / (2 * due))).cast("int").alias("parts")).coalesce(1), "shard-parts")
+    sizes = rows.groupBy("range").agg(F.sum("size").alias("bytes"), (F.min("key") == F.max("key")).alias("alone"))
+    # parts of an overfull range of one key: by a hash of the record, so equal texts are dealt evenly; a range of many keys stays whole
+    cut = F.when(F.col("alone"), F.floor(F.col("bytes") / (2 * due))).otherwise(F.lit(1))
+    parts = scratch.save(sizes.select("range", F.greatest(F.lit(1), cut).cast("int").alias("parts")).coalesce(1), "shard-parts")
     rows = rows.join(F.broadcast(parts), "range").withColumn("part", F.expr("cast(sub * parts div 1048576 as int)"))
     filled = rows.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     order = W.orderBy("range", "part").rowsBetween(W.unboundedPreceding, 0)  # one row per range, as many as the parameters say

@@ -151,3 +151,14 @@ def test_pipeline_stages(spark):
     assert not any(h[4] for h in plain_hits([(r.doc_id, r.text) for r in docs.collect()], items))
     last = pipeline.STAGES[-1][1](spark, docs, sf)
     assert last.count() == n[4] and last.agg(F.countDistinct("shard", "slot")).first()[0] == n[4]
+
+
+def test_a_hot_text_leaves_its_neighbours_together(spark):
+    rows = [(i, f"group {i % 2000} " + "x" * 40) for i in range(6000)] + [(i, "hot " + "y" * 50) for i in range(6000, 9000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4, Scratch(spark)).collect()
+    places, sizes = defaultdict(set), Counter()
+    for r in got:
+        places[rows[r.doc_id][1]].add(r.shard)
+        sizes[r.shard] += r.size
+    assert len(got) == len(rows) and max(sizes.values()) < 1.1 * min(sizes.values())
+    assert all(len(shards) == 1 for text, shards in places.items() if text.startswith("group"))
