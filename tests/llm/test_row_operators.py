@@ -134,3 +134,11 @@ def test_quality(spark, empty):
         out = quality.score(docs, model, held=held).join(labels, "doc_id").where("held_out")
         assert out.agg(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0] > 0.95
         assert quality.accepted(docs, model).columns == docs.columns
+
+
+def test_accounts_next_to_each_other():
+    a, b = "DE89370400440532013000", "GB82WEST12345698765432"
+    spans = lambda text: [text[i:j] for i, j in pii.accounts(text)]
+    assert spans(f"{a} {b}") == [a, b] and spans(f"RE45 {a}") == [a] and spans(f"x{a}") == []
+    assert spans("GB82 WEST 1234 5698 7654 32 DE89 3704 0044 0532 0130 00") == ["GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"]
+    assert spans("TR330006100519786457841326") == ["TR330006100519786457841326"]
