@@ -5,7 +5,8 @@ is kept: every shared run of ``span`` words shares such a fingerprint.  Document
 benchmark are candidates; their hits are extended to exact windows of ``span`` words, compared as words.  Items
 shorter than ``span`` are one window of their own length, found by the k-grams of that length.
 
-Cases: a null or empty text has no words and no hit; items without words are left out; equal windows of several
+Cases: a null or empty text has no words and no hit; items without words are left out; an item without
+an identifier counts for n_hit and contaminated, not for n_items and items_sha256; equal windows of several
 items count for each; hit words covered by several windows count once; repeated rows are reported each; empty
 tables give no hits; columns other than doc_id, item_id and text are not read.  Case is lower-cased for A-Z only.
 """
@@ -90,7 +91,7 @@ def key() -> Column:
 def hits(docs: DataFrame, items: DataFrame, scratch: Scratch, span: int = 10, k: int = 6) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of ``docs`` (doc_id, text)."""
     # the outer forms of explode keep the optimiser from computing the arrays a second time, in a filter on their size
-    item_words = scratch.save(items.select(F.col("item_id").cast("string").alias("item_id"), words().alias("w")), "bench-words").where("size(w) > 0 and item_id is not null")
+    item_words = scratch.save(items.select(F.col("item_id").cast("string").alias("item_id"), words().alias("w")), "bench-words").where("size(w) > 0")
     length = F.least(F.size("w"), F.lit(span))
     known = item_words.select("item_id", length.alias("len"), F.explode_outer(windows("w", length)).alias("window")).distinct()
     known = scratch.save(known, "bench-windows")

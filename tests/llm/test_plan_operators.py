@@ -153,6 +153,15 @@ def test_pipeline_stages(spark):
     assert last.count() == n[4] and last.agg(F.countDistinct("shard", "slot")).first()[0] == n[4]
 
 
+def test_decontamination_keeps_items_without_identifier(spark):
+    passage = " ".join(f"word{i}" for i in range(12))
+    df = spark.createDataFrame([(1, f"so {passage} end"), (2, "nothing of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage)], "item_id string, text string")
+    got = {r.doc_id: r for r in decontamination.hits(df, bench, Scratch(spark)).collect()}
+    assert (got[1].n_hit, got[1].n_items, got[1].contaminated, got[2].n_hit) == (12, 0, True, 0) and got[1].items_sha256 == got[2].items_sha256
+    assert [r.doc_id for r in decontamination.clean(df, bench, Scratch(spark)).collect()] == [2]
+
+
 def test_a_hot_text_leaves_its_neighbours_together(spark):
     rows = [(i, f"group {i % 2000} " + "x" * 40) for i in range(6000)] + [(i, "hot " + "y" * 50) for i in range(6000, 9000)]
     got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4, Scratch(spark)).collect()
