@@ -478,11 +478,15 @@ def class_weight_lookup(spark, sf_dir):
     return fx.line(spark, sf_dir).groupBy("y").agg(F.count("*").alias("n")).join(F.broadcast(w), "y", "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
 
 
+#: The most rows that a training reads: each class's task walks all of them in order, once an epoch.
+TRAIN_ROWS = 20_000
+
+
 @query
 def train_model(spark, sf_dir):
-    """Clauses of a seeded training on 300 rows: the trainer takes a bounded set by design; no SQL."""
+    """Clauses of a seeded training on at most TRAIN_ROWS rows: the trainer takes a bounded set by design; no SQL."""
     df, m = with_model(spark, sf_dir)
-    rows = clauses.packed(fx.sample(df, 300), COLUMNS, m).select("row_id", F.array(*[f"w{i}" for i in range(m.words)]).alias("words"), "y")
+    rows = clauses.packed(fx.sample(df, TRAIN_ROWS), COLUMNS, m).select("row_id", F.array(*[f"w{i}" for i in range(m.words)]).alias("words"), "y")
     return training.train(rows, len(m.feat), [0, 1, 2], clauses=10, epochs=2)
 
 

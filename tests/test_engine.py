@@ -217,3 +217,12 @@ def test_fitting_steps_read_all_rows(spark, tmp_path):
     edges = [(r.i, r.edge) for r in queries.quantile_edges(spark, str(tmp_path)).where("feat = 1").orderBy("i").collect()]
     assert edges == [(i, round((i + 1) / 16 * (n - 1), 6)) for i in range(15)]
     assert {r.snapped % 1 for r in queries.gap_snap(spark, str(tmp_path)).where("feat = 1").collect()} == {0.5}
+
+
+def test_training_reads_a_named_number_of_rows(spark, monkeypatch):
+    from bitballot.plans import queries
+
+    seen = []
+    monkeypatch.setattr(train, "train", lambda rows, *a, **k: seen.append(rows) or rows)
+    queries.train_model(spark, SF)
+    assert queries.TRAIN_ROWS == 20_000 and seen[0].count() == 6_000
