@@ -7,16 +7,19 @@ more common, and any order is exact).  Two sets that reach the similarity share
 its prefix while the estimated cost of postings and of verified candidates falls, and two documents are compared
 when they share the lesser of their two numbers within that lesser prefix.
 
-Documents with the same set are one class with its least doc_id for a name.  Classes that share enough prefix
-shingles with the least member of a shingle's group are first compared with it, those of a large group also with
-three random members, in numbers that grow with the members; classes that so prove to be connected need no more
-comparison for the components.  What is left are pairs of different components: in small groups all that share
-enough prefix shingles, in large groups those that ``recentred`` cannot rule out; all of them are verified.  Verification counts
-the common shingles of both sets exactly.  The result has every document's component, with no link lost.
+Documents with the same set are one class, named by the hash of the set; rows that share a number but not a text are
+different classes.  A group is the classes that share a prefix shingle.  Every class is first compared with the least
+class of its groups, in numbers that grow with the members: classes linked to the same one need no more comparison
+for the components.  In groups that are still not one, pairs that share enough prefix shingles meet; so many near
+copies that miss the similarity among each other would meet in numbers that grow with the square of a group, so
+groups beyond ``GROUP`` meet by a second prefix filter, over their differences from the least class (``recentred``):
+an exact way for the rest, which loses no link.  Every candidate must pass a parity bitmap (``plausible``, an upper bound
+of the overlap), then the common shingles of both sets are counted.
 
 Cases: words are lower-cased for A-Z and split at ASCII space; a null text or one without words has an empty set,
 linked with nothing; a text of fewer words than a shingle is one shingle; rows with a null doc_id are returned with
-a null component and link nothing; repeated rows are returned each; an empty table gives an empty result; other
+a null component and link nothing; repeated rows are returned each; a doc_id used by several texts names each of them,
+and component_id is the least doc_id of the texts reached; an empty table gives an empty result; other
 columns are not read.  Shingles are compared by 64-bit hashes.
 """
 
@@ -25,22 +28,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitballot.llm._common import Scratch, map_texts, small
+from bitballot.llm._common import BROADCAST_ROWS, Scratch, map_texts, small
 from bitballot.llm._graph import components
 from bitballot.llm._words import Words, mix, shingles, slices, utf8
 
 #: Counters in the table of counts, and the part of it in one row.
 TABLE = 1 << 20
 ROW = 1 << 14
-#: The most members of a group whose pairs are met directly; larger groups are recentred.
-GROUP = 64
+#: The most members of a group whose pairs meet by shared prefix shingles.
+GROUP = 32
 #: The most shared prefix shingles that a document may ask for; the share of prefix shingles that the cost takes to be shared by chance.
 MOST = 8
 CHANCE = 0.1
+#: 64-bit words of a parity bitmap; the most members that are compared with one copy of a centre.
+MARK = 16
+BLOCK = 64
+
+
+def class_of(s):
+    """Names a set by a hash of its shingles."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        return int(mix(np.array([mix(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """A row (doc_id, n, cls) for each document and, for each task, rows (part, counts) of its table of counts."""
+    """A row (doc_id, th, n, cls) for each document and, for each task, rows (part, counts) of its table of counts."""
+    names = ["doc_id", "th", "n", "cls", "part", "counts"]
 
     def run(batches):
         import numpy as np
@@ -55,17 +70,16 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 row, _, _, h = words(*utf8(part.column("text")))
                 for s in shingles(row, h, len(part), k):
                     n.append(len(s))
-                    with np.errstate(over="ignore"):
-                        cls.append(int((mix(np.array([mix(s).sum() + np.uint64(len(s))], np.uint64))).view(np.int64)[0]))
+                    cls.append(class_of(s))
                     np.add.at(table, (s & np.uint64(TABLE - 1)).astype(np.int64), 1)
                 m = len(part)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), empty(m, pa.int32()), empty(m, pa.binary())], ["doc_id", "n", "cls", "part", "counts"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), empty(m, pa.int32()), empty(m, pa.binary())], names)
         for i in range(TABLE // ROW):
             counts = table[i * ROW : (i + 1) * ROW]
             if counts.any():
-                yield pa.RecordBatch.from_arrays([empty(1, pa.int64()), empty(1, pa.int32()), empty(1, pa.int64()), pa.array([i], pa.int32()), pa.array([zlib.compress(counts.tobytes(), 1)])], ["doc_id", "n", "cls", "part", "counts"])
+                yield pa.RecordBatch.from_arrays([empty(1, pa.int64()), empty(1, pa.int64()), empty(1, pa.int32()), empty(1, pa.int64()), pa.array([i], pa.int32()), pa.array([zlib.compress(counts.tobytes(), 1)])], names)
 
-    return docs.mapInArrow(run, "doc_id long, n int, cls long, part int, counts binary")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, n int, cls long, part int, counts binary")
 
 
 def total_counts(signed: DataFrame):
@@ -82,49 +96,42 @@ def total_counts(signed: DataFrame):
             for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
                 sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(counts), np.int32).astype(np.int64)
         for part, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()])], ["part", "counts"])
+            packed = zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed])], ["part", "counts"])
+
+    import zlib
 
     rows = signed.where("part is not null").select("part", "counts")
     # each task sums what it reads, then the rows of a part meet
-    rows = rows.mapInArrow(add, "part int, counts binary").select("part", "counts")
-    sums = rows.mapInArrow(lambda batches: recompress(batches), "part int, counts binary").repartition(TABLE // ROW, "part").mapInArrow(add, "part int, counts binary")
-    table = np.zeros(TABLE, np.int64)
+    sums = rows.mapInArrow(add, "part int, counts binary").repartition(TABLE // ROW, "part").mapInArrow(add, "part int, counts binary")
+    table = np.zeros(TABLE, np.int32)
     for r in sums.collect():
-        table[r.part * ROW : (r.part + 1) * ROW] = np.frombuffer(r.counts, np.int64)
-    return np.minimum(table, 2**31 - 1).astype(np.int32)
-
-
-def recompress(batches):
-    import zlib
-
-    import numpy as np
-    import pyarrow as pa
-
-    for batch in batches:
-        packed = [zlib.compress(np.frombuffer(c, np.int64).astype(np.int32).tobytes(), 1) for c in batch.column("counts").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(packed, pa.binary())], ["part", "counts"])
+        table[r.part * ROW : (r.part + 1) * ROW] = np.frombuffer(zlib.decompress(r.counts), np.int32)
+    return table
 
 
 def prefixes(docs: DataFrame, k: int, percent: int, shared) -> DataFrame:
-    """doc_id, n, cls, ell (shared shingles asked for) and the prefix for ell, rare shingles first; ``shared``: the broadcast table of counts."""
+    """cls, n, ell (shared shingles asked for), the prefix for ell, rare shingles first, and the parity bitmap.
+
+    A class once for each task that meets it.  ``shared``: the broadcast table of counts.
+    """
 
     def start():
         import numpy as np
         import pyarrow as pa
 
-        counts, words = shared.value, Words()
+        counts, words, seen = shared.value, Words(), set()
         noise = counts.mean() * 1.25 + 1
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
         def work(part):
             out = []
             row, _, _, h = words(*utf8(part.column("text")))
             for s in shingles(row, h, len(part), k):
-                n = len(s)
-                if not n:
-                    out.append((0, 0, 0, []))
+                n, cls = len(s), class_of(s) if len(s) else 0
+                if not n or cls in seen:
                     continue
-                with np.errstate(over="ignore"):
-                    cls = int(mix(np.array([mix(s).sum() + np.uint64(n)], np.uint64)).view(np.int64)[0])
+                seen.add(cls)
                 need = -(-percent * n // 100)
                 most = min(MOST, need)
                 c = counts[(s & np.uint64(TABLE - 1)).astype(np.int64)]
@@ -133,221 +140,261 @@ def prefixes(docs: DataFrame, k: int, percent: int, shared) -> DataFrame:
                 ell = np.arange(1, most + 1)
                 cost = posted + (posted / ell + (n - need + ell) * CHANCE**ell) * (8 + n / 16) + ell
                 best = int(np.argmin(cost)) + 1
-                out.append((n, cls, best, s[order[: n - need + best]].view(np.int64)))
-            n, cls, ell, prefix = zip(*out)
-            return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(ell, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "cls", "ell", "prefix"])
+                odd = (np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=64 * MARK) & 1).astype(np.uint8)
+                out.append((cls, n, best, s[order[: n - need + best]].view(np.int64), np.packbits(odd).view(np.int64)))
+            columns = zip(*out) if out else [[]] * len(types)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], ["cls", "n", "ell", "prefix", "mark"])
 
         return work
 
-    return map_texts(docs, start, "doc_id long, n int, cls long, ell int, prefix array<long>")
+    return map_texts(docs, start, "cls long, n int, ell int, prefix array<long>, mark array<long>")
 
 
-def sets(docs: DataFrame, k: int) -> DataFrame:
-    """id, cls and the sorted shingle hashes as bytes."""
+def fits(n: str, m: str, percent: int):
+    return F.col(n) * 100 >= F.col(m) * percent
+
+
+def allowed(n, m, percent: int):
+    """The most elements by which linked sets of n and m elements differ."""
+    return n + m - 2 * (-(-percent * (n + m) // (100 + percent)))
+
+
+def allowed_column(n: str, m: str, percent: int):
+    total = F.col(n) + F.col(m)
+    return total - 2 * F.ceil(total * percent / F.lit(100 + percent))
+
+
+def plausible(pairs: DataFrame, made: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b, more) whose bitmaps differ in no more bits than the sets may differ in elements.
+
+    Each element that only one of two sets has changes one bit of its bitmap, so the bits that differ are at most
+    those elements: no linked pair goes.
+    """
+    marks = made.select("cls", "n", "mark").dropDuplicates(["cls"])
+    right = pairs.join(marks.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("mark").alias("y")), "b")
+    both = right.join(marks.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("mark").alias("x")), "a")
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, c: s + c)
+    return both.where(fits("na", "nb", percent) & fits("nb", "na", percent) & (apart <= allowed_column("na", "nb", percent))).select(pairs.columns)
+
+
+def beside(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, each, schema: str) -> DataFrame:
+    """Applies ``each``(rows (a, centre's set, list of (more of a pair, member's set))) to the written ``pairs`` (a, b, more).
+
+    The texts of the classes in pairs go to Python by a join on their numbers, their sets are shuffled to blocks of at
+    most some BLOCK members, each with a copy of its centre, and read there as a sorted stream: no task holds more than a
+    batch.
+    """
+    more = [c for c in pairs.columns if c != "a"]
+    size = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    cut = pairs.join(size, "a").withColumn("block", F.pmod(F.xxhash64("b"), "blocks")).drop("blocks")
+    members = cut.select("a", "block", F.col("b").alias("cls"), *more)
+    hubs = cut.select("a", "block").distinct().select("a", "block", F.col("a").alias("cls"), *[F.lit(None).cast(t).alias(c) for c, t in pairs.dtypes if c != "a"])
+    roles = members.unionByName(hubs).join(classes, "cls")
+    roles = F.broadcast(roles) if pairs.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2 else roles
+    rows = texts.join(roles, F.col("doc_id") == F.col("id")).drop("doc_id", "id")
+    names = ["a", "block", "shingles", *more]
+    types = ", ".join(f"{c} {t}" for c, t in pairs.dtypes if c != "a")
 
     def start():
         import numpy as np
         import pyarrow as pa
 
-        words = Words()
+        words, seen = Words(), set()
 
         def work(part):
-            cls, packed = [], []
+            keep, packed = [], []
             row, _, _, h = words(*utf8(part.column("text")))
-            for s in shingles(row, h, len(part), k):
-                with np.errstate(over="ignore"):
-                    cls.append(int(mix(np.array([mix(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0]))
-                packed.append(s.tobytes())
-            return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cls, pa.int64()), pa.array(packed, pa.binary())], ["id", "cls", "shingles"])
+            named = zip(part.column("cls").to_pylist(), part.column("a").to_pylist(), part.column("block").to_pylist(), part.column("b").to_pylist())
+            for s, key in zip(shingles(row, h, len(part), k), named):
+                # another text with the same number, or a row repeated
+                keep.append(len(s) > 0 and key not in seen and class_of(s) == key[0])
+                if keep[-1]:
+                    seen.add(key)
+                    packed.append(s.tobytes())
+            kept = part.filter(pa.array(keep, pa.bool_()))
+            return pa.RecordBatch.from_arrays([kept.column("a"), kept.column("block"), pa.array(packed, pa.binary()), *[kept.column(c) for c in more]], names)
 
         return work
 
-    return map_texts(docs, start, "id long, cls long, shingles binary")
-
-
-def beside(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, more) with the sets x of a and y of b.
-
-    Pairs are numbers, so they go to the sets of b; those rows are shuffled once, to the few sets of a, the side
-    with hubs, in a join that can be split where it is skewed.
-    """
-    side = known.select(F.col("id").alias("b"), F.col("shingles").alias("y")).join(small(pairs), "b")
-    hubs = known.join(small(pairs.select(F.col("a").alias("id")).distinct()), "id", "left_semi")
-    return side.join(hubs.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-
+    def run(batches):
+        import numpy as np
 
-def verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+        at, centre = None, None
+        for batch in batches:
+            keys = list(zip(batch.column("a").to_pylist(), batch.column("block").to_pylist()))
+            told = list(zip(*[batch.column(c).to_pylist() for c in more]))
+            inside, out = [], []
+            for key, values, s in zip(keys, told, batch.column("shingles")):
+                s = np.frombuffer(s.as_buffer(), np.uint64)
+                if key != at or values[0] is None:
+                    if inside:
+                        out.append((at[0], centre, inside))
+                    at, centre, inside = key, s, []
+                if values[0] is not None:
+                    inside.append((values, s))
+            if inside:
+                out.append((at[0], centre, inside))
+            yield from each(out)
+
+    sets = map_texts(rows, start, f"a long, block long, shingles binary, {types}")
+    return sets.repartition("a", "block").sortWithinPartitions(F.col("a"), F.col("block"), F.col("b").asc_nulls_first()).mapInArrow(run, schema)
+
+
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the written ``pairs`` (a, b) that reach the similarity."""
-    both = beside(pairs, known)
 
-    def run(batches):
+    def each(groups):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            a, b, x, y = (batch.column(c) for c in ("a", "b", "x", "y"))
-            keep, last, xs = [], None, None
-            for i in range(len(batch)):
-                if last is None or a[i].as_py() != last:
-                    last, xs = a[i].as_py(), np.frombuffer(x[i].as_buffer(), np.uint64)
-                ys = np.frombuffer(y[i].as_buffer(), np.uint64)
+        a, b = [], []
+        for centre, xs, members in groups:
+            for (other,), ys in members:
                 few, many = (xs, ys) if len(xs) < len(ys) else (ys, xs)
-                at = np.searchsorted(many, few)
-                both = int((many[np.minimum(at, len(many) - 1)] == few).sum()) if len(few) else 0
-                keep.append(both > 0 and 100 * both >= percent * (len(xs) + len(ys) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+                both = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+                if both > 0 and 100 * both >= percent * (len(xs) + len(ys) - both):
+                    a.append(centre), b.append(other)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return beside(pairs.select("a", "b"), classes, texts, k, each, "a long, b long")
 
 
-def recentred(members: DataFrame, known: DataFrame, percent: int, shared) -> DataFrame:
-    """Pairs (a, b) that may be linked, of rows (a: centre, b: member, component) of one centre and different components.
+def differences(members: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int, shared) -> DataFrame:
+    """For rows (a: centre, b: member, label, linked, g: members of the centre) the size and prefix of D(b), the symmetric difference from the centre.
 
-    With D(x) the symmetric difference of x and the centre, |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, and linked
-    sets differ by at most ``allowed`` = |x| + |y| - 2 * overlap needed.  So they share at least o = (|D(x)| + |D(y)| -
-    allowed) / 2 elements of D, some of them among the first |D| - o + 1 of each, rare ones first.  Members of a
-    group of near copies differ in their own edits, which are rare, so few pairs meet.  Where o would be 0 one of
-    the two is all but the centre itself; those meet under a mark of their own.  At least one of two members of
-    different components is not linked with the centre, so its D exceeds what the centre allows.
+    D's elements are ordered by how many members' D have them, as the table of counts has it: rare ones first that the
+    centre lacks, last those of the centre that most members lack.
     """
-    centre = small(members.where("a = b").select("a", F.col("component").alias("own")))
-    rows = beside(members.join(centre, "a", "left").select("a", "b", "component", F.coalesce(F.col("component") == F.col("own"), F.lit(False)).alias("linked")), known)
 
-    def allowed(n, m):
-        return n + m - 2 * (-(-percent * (n + m) // (100 + percent)))
-
-    def run(batches):
+    def each(groups):
         import numpy as np
         import pyarrow as pa
 
         counts = shared.value
-        for batch in batches:
-            out = {"a": [], "b": [], "component": [], "n": [], "dn": [], "reach": [], "short": [], "tokens": []}
-            for a, b, c, linked, x, y in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "component", "linked", "x", "y"))):
-                xs, ys = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                d = np.setxor1d(xs, ys, assume_unique=True)
-                n, m, dn = len(ys), len(xs), len(d)
+        at = lambda d: counts[(d & np.uint64(TABLE - 1)).astype(np.int64)].astype(np.int64)
+        out = {c: [] for c in ("a", "b", "label", "linked", "n", "dn", "reach", "short", "mark", "tokens")}
+        for a, xs, rows in groups:
+            m = len(xs)
+            for (b, label, linked, g), ys in rows:
+                added, lost = np.setdiff1d(ys, xs, assume_unique=True), np.setdiff1d(xs, ys, assume_unique=True)
+                d, n = np.concatenate([added, lost]), len(ys)
+                dn, weight = len(d), np.concatenate([at(added), np.maximum(0, g - at(lost))])
                 most = (100 - percent) * n // percent  # the most that any partner of its size differs by
-                apart = allowed(-(-percent * n // 100), m) + 1  # the least D of a partner that is not linked
+                apart = allowed(-(-percent * n // 100), m, percent) + 1  # the least D of a partner that is not linked
                 far = max(1, -(-(dn - most) // 2))
                 near = max(1, -(-(dn + max(dn, apart if linked else dn) - most) // 2))
-                order = np.lexsort((d, counts[(d & np.uint64(TABLE - 1)).astype(np.int64)]))
                 reach, short = max(0, dn - far + 1), max(0, dn - near + 1)
-                tokens = d[order][: max(reach, short)].view(np.int64).tolist()
-                mark = (not linked and dn <= most, dn <= (100 - percent) * max(0, n - m) / (100 + percent) + 2)
-                for k, v in (("a", a), ("b", b), ("component", c), ("n", n), ("dn", dn), ("reach", reach), ("short", short), ("tokens", tokens)):
-                    out[k].append(v)
-                if any(mark):  # position -1: no shared element is needed
-                    for k, v in (("a", a), ("b", b), ("component", c), ("n", n), ("dn", dn), ("reach", -1 if mark[0] else -2), ("short", -1 if mark[1] else -2), ("tokens", [])):
-                        out[k].append(v)
-            types = [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
-
-    made = rows.select("a", "b", "component", "linked", "x", "y").mapInArrow(run, "a long, b long, component long, n int, dn int, reach int, short int, tokens array<long>")
-    posted = made.where("reach >= 0").select("a", "b", "component", "n", "dn", "reach", "short", F.posexplode_outer("tokens").alias("pos", "token")).where("token is not null")
-    marked = made.where("reach < 0").select("a", "b", "component", "n", "dn", F.when(F.col("reach") == -1, 1).otherwise(0).alias("reach"), F.when(F.col("short") == -1, 1).otherwise(0).alias("short"))
-    pick = lambda df, role, end: df.where(F.col(role) > F.col("pos")).select("a", "token", F.col("pos").alias(f"pos{end}"), *[F.col(c).alias(f"{c}{end}") for c in ("b", "component", "n", "dn")])
+                # 1, 2: ends of pairs that need not share an element of D
+                mark = 1 if linked and dn <= (100 - percent) * max(0, n - m) / (100 + percent) + 2 else 2 if not linked and dn <= most else 0
+                tokens = d[np.lexsort((d, weight))][: max(reach, short)].view(np.int64)
+                for c, v in zip(out, (a, b, label, linked, n, dn, reach, short, mark, tokens)):
+                    out[c].append(v)
+        types = [pa.int64()] * 3 + [pa.bool_()] + [pa.int32()] * 5 + [pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
+
+    schema = "a long, b long, label long, linked boolean, n int, dn int, reach int, short int, mark int, tokens array<long>"
+    return beside(members.select("a", "b", "label", "linked", "g"), classes, texts, k, each, schema)
+
+
+def recentred(made: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of written ``differences`` that may be linked, of one centre and different labels.
+
+    |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, and linked sets differ by at most ``allowed``.  So they share at least
+    o = (|D(x)| + |D(y)| - allowed) / 2 elements of D, some of them among the first |D| - o + 1 of each.  Members of a
+    group of near copies differ in their own edits, which are rare, so few pairs meet.  Two members that are both linked
+    with the centre are one already; so the D of at least one exceeds what the centre allows.  Where o is 0, the other
+    is linked with the centre and all but the centre itself: as all such members are one, only the nearest of each size is kept.
+    """
+    posted = made.select("a", "b", "label", "linked", "n", "dn", "reach", "short", F.posexplode_outer("tokens").alias("pos", "token")).where("token is not null")
+    columns = ("b", "label", "linked", "n", "dn")
+    pick = lambda df, end: [F.col(c).alias(f"{c}{end}") for c in columns]
+    role = lambda name, end: posted.where(F.col(name) > F.col("pos")).select("a", "token", F.col("pos").alias(f"pos{end}"), *pick(posted, end))
     more = (F.col("dn_") > F.col("dn")) | (F.col("dn_") == F.col("dn")) & (F.col("b_") > F.col("b"))
-    ok = (F.col("component") != F.col("component_")) & more & fits("n", "n_", percent) & fits("n_", "n", percent)
-    total = F.col("n") + F.col("n_")
-    may = total - 2 * F.ceil(total * percent / F.lit(100 + percent))
-    need = F.ceil((F.col("dn") + F.col("dn_") - may) / 2)
-    shared_ = pick(posted, "short", "").join(pick(posted, "reach", "_"), ["a", "token"]).where(ok & (F.col("pos") <= F.col("dn") - need) & (F.col("pos_") <= F.col("dn_") - need))
-    none = marked.where("short = 1").join(marked.where("reach = 1").select("a", *[F.col(c).alias(f"{c}_") for c in ("b", "component", "n", "dn")]), "a").where(ok & (need <= 0))
-    return shared_.select("b", "b_").unionByName(none.select("b", "b_")).select(F.least("b", "b_").alias("a"), F.greatest("b", "b_").alias("b"))
-
-
-def fits(n: str, m: str, percent: int):
-    return F.col(n) * 100 >= F.col(m) * percent
-
-
-def join(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ok = (F.col("label") != F.col("label_")) & ~(F.col("linked") & F.col("linked_")) & fits("n", "n_", percent) & fits("n_", "n", percent)
+    need = F.ceil((F.col("dn") + F.col("dn_") - allowed_column("n", "n_", percent)) / 2)
+    shared = role("short", "").join(role("reach", "_"), ["a", "token"]).where(ok & more & (F.col("pos") <= F.col("dn") - need) & (F.col("pos_") <= F.col("dn_") - need))
+    near = made.where("mark = 1").groupBy("a", "n").agg(F.min(F.struct("dn", "b", "label", "linked")).alias("x")).select("a", "n", "x.*")
+    none = near.join(made.where("mark = 2").select("a", *pick(made, "_")), "a").where(ok & (need <= 0))
+    return shared.select("b", "b_").unionByName(none.select("b", "b_")).select(F.least("b", "b_").alias("a"), F.greatest("b", "b_").alias("b")).distinct()
+
+
+def linked(docs: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
+    """doc_id, th (hash of the text), n, component_id and stays (the row stands for its component) for each row of ``docs`` (doc_id, text)."""
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     signed = scratch.save(signatures(texts, k), "signed")
     table = docs.sparkSession.sparkContext.broadcast(total_counts(signed))  # TABLE counters
-    rows = signed.where("part is null")
-    # the documents of a class, counted on the way to the shuffle
-    classes = scratch.save(rows.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
-
-    made = scratch.save(prefixes(texts.where("doc_id is not null"), k, percent, table), "prefixes")
-    own = made.where("n > 0").join(small(classes.select("cls", F.col("id").alias("doc_id"))), ["cls", "doc_id"], "left_semi")
-    posted = own.select(F.col("doc_id").alias("id"), "n", "ell", F.posexplode_outer("prefix").alias("pos", "token"))
-    base = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("int") + 1
-    posted = posted.select("token", "id", "n", "ell", F.greatest(F.lit(1), F.col("pos") - base + 2).cast("int").alias("level"))
-    common = small(scratch.save(posted.groupBy("token").count().where("count > 1").select("token"), "tokens"))
-    shared = scratch.save(posted.join(common, "token", "left_semi").dropDuplicates(["token", "id"]), "shared")
-    scratch.drop("tokens")
-    shared = shared.join(shared.groupBy("token").agg(F.count("*").alias("c"), F.min("ell").alias("low")), "token")
-    # a document goes if no partner can share with it what the two of them ask for: its own number, or j with a partner that asks for j < its own
-    least = [F.sum((F.col("low") <= j).cast("int")).alias(f"h{j}") for j in range(1, MOST)]
-    able = shared.groupBy("id").agg(F.count("*").alias("has"), F.first("ell").alias("asks"), F.max("c").alias("most"), *least)
-    fit = (F.col("has") >= F.col("asks")) | (F.col("most") > GROUP)
-    for j in range(1, MOST):
-        fit = fit | (F.col(f"h{j}") >= j) & (F.col("asks") > j)
-    able = able.where(fit).select("id")
-    kept = shared.join(small(scratch.save(able, "able")), "id", "left_semi")
-    kept = scratch.save(kept.drop("c", "low"), "kept")
-    groups = scratch.save(kept.join(kept.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "token"), "groups")
-    scratch.drop("shared", "able", "kept")
-    scratch.drop("prefixes")
-    member = small(scratch.save(groups.select(F.col("id").alias("doc_id")).distinct(), "members"))
-    known = scratch.save(sets(texts.join(member, "doc_id", "left_semi"), k).join(small(classes.select("cls", "id")), ["cls", "id"], "left_semi"), "sets")
-    twice = small(scratch.save(rows.groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id"), "twice"))  # repeated rows alone meet in a shuffle
-    known = known.join(twice, "id", "left_anti").unionByName(known.join(twice, "id", "left_semi").dropDuplicates(["id"]))
-
-    # 1. the least member of each group against the others
-    least = groups.groupBy("token").agg(F.min(F.struct("id", "n", "ell")).alias("p")).select("token", F.col("p.id").alias("a"), F.col("p.n").alias("an"), F.col("p.ell").alias("al"))
-    stars = groups.join(least, "token").where((F.col("id") > F.col("a")) & fits("n", "an", percent) & fits("an", "n", percent))
-    stars = stars.groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("shared"), F.max(F.least("ell", "al")).alias("asked"), F.max("c").alias("most"))
-    stars = scratch.save(stars.where((F.col("shared") >= F.col("asked")) | (F.col("most") > GROUP)).select("a", "b"), "stars")
-    links = scratch.save(verified(stars, known, percent), "links-1")
-    # 2. three random members of each larger group that is not yet one by its links with least members
-    named = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label"))
-    groups = scratch.save(groups.join(named, "id", "left").withColumn("label", F.coalesce("label", "id")), "groups-2")
+    rows = signed.where("part is null").drop("part", "counts")
+    texts = texts.where("doc_id is not null").drop("th")
+    classes = scratch.save(rows.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("id")), "classes")
+    made = scratch.save(prefixes(texts.select("text"), k, percent, table), "prefixes")
+
+    # shingles in two prefixes at least; n, ell and level of a posting in one number
+    pos = made.select("cls", "n", "ell", F.posexplode_outer("prefix").alias("pos", "token"))
+    level = F.greatest(F.lit(1), F.col("pos") - F.col("n") + F.ceil(F.col("n") * percent / F.lit(100)) + 1)
+    posted = pos.select("token", "cls", (F.col("n").cast("long") * 65536 + F.col("ell") * 256 + level).alias("meta"))
+    common = posted.groupBy("token").count().where("count > 1").select("token")
+    shared = scratch.save(posted.join(common, "token", "left_semi").groupBy("token", "cls").agg(F.min("meta").alias("meta")), "shared")
+    of = lambda meta, end="": [F.shiftright(meta, 16).cast("int").alias(f"n{end}"), (F.shiftright(meta, 8) % 256).cast("int").alias(f"ell{end}"), (F.col(meta) % 256).cast("int").alias(f"level{end}")]
+    least = shared.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("cls", "meta")).alias("p")).where("c > 1")
+    groups = scratch.save(shared.join(least.select("token", "c", F.col("p.cls").alias("a"), F.col("p.meta").alias("am")), "token"), "groups")
+    scratch.drop("shared")
+
+    # 1. the least class of each group against the others
+    stars = groups.where("cls <> a").select("a", F.col("cls").alias("b"), "c", *of("meta"), *of("am", "_")).where(fits("n", "n_", percent) & fits("n_", "n", percent))
+    stars = stars.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max(F.least("ell", "ell_")).alias("asked"), F.max("c").alias("most"))
+    stars = stars.where((F.col("shared") >= F.col("asked")) | (F.col("most") > GROUP)).select("a", "b")
+    stars = scratch.save(plausible(stars, made, percent), "stars")
+    links = scratch.save(verified(stars, classes, texts, k, percent), "links-1")
+    # 2. pairs of groups that are not yet one by these links
+    label = links.groupBy(F.col("b").alias("cls")).agg(F.min("a").alias("label"))
+    labelled = groups.join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    labelled = scratch.save(labelled, "labelled")
     scratch.drop("groups")
-    several = groups.groupBy("token").agg(F.first("c").alias("c"), F.min("label").alias("x"), F.max("label").alias("y"), *[F.min(F.struct(F.xxhash64(F.lit(i), "token", "id").alias("h"), "id", "n", "label")).alias(f"p{i}") for i in range(3)])
-    several = several.where((F.col("c") > GROUP) & (F.col("x") != F.col("y"))).select("token", F.explode(F.array_distinct(F.transform(F.array("p0", "p1", "p2"), lambda p: F.struct(p["id"].alias("a"), p["n"].alias("an"), p["label"].alias("al"))))).alias("p")).select("token", "p.*")
-    extra = groups.join(several, "token").where((F.col("id") != F.col("a")) & (F.col("label") != F.col("al")) & fits("n", "an", percent) & fits("an", "n", percent))
-    extra = extra.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    extra = scratch.save(extra, "extra")
-    links = scratch.save(links.unionByName(verified(extra, known, percent)), "links-2")
-    done = components(links, scratch, "joined")
-    # 3. what is left are pairs of different components
-    groups = scratch.save(groups.drop("label").join(done.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "groups-3")
-    scratch.drop("groups-2")
-    open_ = groups.groupBy("token").agg(F.first("c").alias("c"), F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("a")).where("x <> y").select("token", "c", "a")
-    open_ = scratch.save(open_, "open")
-    # in groups of bounded size all that share enough of their prefixes
-    left = groups.join(small(open_.where(F.col("c") <= GROUP).select("token")), "token", "left_semi")
-    right = left.select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "ell", "level", "component")])
-    met = left.join(right, "token").where((F.col("id") < F.col("id_")) & (F.col("component") != F.col("component_")) & (F.greatest("level", "level_") <= F.least("ell", "ell_")) & fits("n", "n_", percent) & fits("n_", "n", percent))
-    met = met.groupBy(F.col("id").alias("a"), F.col("id_").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("ell", "ell_")).alias("asked")).where("shared >= asked").select("a", "b")
-    # in larger groups by their differences from the least member
-    large = groups.join(small(open_.where(F.col("c") > GROUP).select("token", "a")), "token").select("a", F.col("id").alias("b"), "component").distinct()
-    large = scratch.save(large, "large")
-    met = met.unionByName(recentred(large, known, percent, table))
-    met = scratch.save(met.distinct().join(stars.unionByName(extra), ["a", "b"], "left_anti"), "met")
+    open_ = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
+    open_ = scratch.save(labelled.join(open_, "token", "left_semi"), "open")
+    scratch.drop("labelled")
+    left = open_.where(F.col("c") <= GROUP).select("token", "cls", "label", *of("meta"))
+    right = left.select("token", *[F.col(c).alias(f"{c}_") for c in left.columns[1:]])
+    met = left.join(right, "token").where((F.col("cls") < F.col("cls_")) & (F.col("label") != F.col("label_")) & (F.greatest("level", "level_") <= F.least("ell", "ell_")) & fits("n", "n_", percent) & fits("n_", "n", percent))
+    met = met.groupBy(F.col("cls").alias("a"), F.col("cls_").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("ell", "ell_")).alias("asked")).where("shared >= asked").select("a", "b")
+    # larger groups by their differences from the least class
+    large = open_.where(F.col("c") > GROUP).select("a", F.col("cls").alias("b"), "label").distinct()
+    large = large.join(large.groupBy("a").agg(F.count("*").alias("g")), "a").join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left")
+    large = scratch.save(large.withColumn("linked", F.coalesce("linked", F.col("a") == F.col("b"))), "large")
+    apart = scratch.save(differences(large, classes, texts, k, percent, table), "differences")
+    met = met.unionByName(recentred(apart, percent)).distinct().join(stars, ["a", "b"], "left_anti")
+    met = scratch.save(plausible(met, made, percent), "met")
+    scratch.drop("open", "prefixes", "large")
+    last = scratch.save(verified(met, classes, texts, k, percent), "links-2")
     table.destroy()
-    last = verified(met, known, percent)
-    final = components(links.unionByName(last), scratch, "final")
 
-    named = classes.join(final.withColumnRenamed("node", "id"), "id", "left").select("cls", F.coalesce("component", "id").alias("component_id"))
-    named = small(scratch.save(named, "named"))
-    scratch.drop("sets")
-    out = rows.join(named.withColumnRenamed("cls", "cls_"), (F.col("cls") == F.col("cls_")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # the least number of each component, for the classes that have links
+    found = components(links.unionByName(last), scratch, "joined")
+    found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "cls").join(classes, "cls")
+    names = found.groupBy("component").agg(F.min(F.struct("id", "cls")).alias("p")).select("component", F.col("p.id").alias("least"), F.col("p.cls").alias("first"))
+    found = found.join(names, "component").select("cls", "least", "first")
+    named = scratch.save(classes.join(found, "cls", "left").select(F.col("cls").alias("_cls"), F.coalesce("least", "id").alias("least"), F.coalesce("first", "cls").alias("first")), "named")
+    out = rows.join(named, (F.col("cls") == F.col("_cls")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
+    stays = F.coalesce((F.col("doc_id") == F.col("least")) & (F.col("cls") == F.col("first")), F.lit(True))
+    return out.select("doc_id", "th", "n", F.coalesce("least", "doc_id").alias("component_id"), stays.alias("stays"))
+
+
+def join(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
+    return linked(docs, scratch, k, percent).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def representatives(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, that stand for their group: those with its least doc_id, a repeated row once."""
-    found = scratch.save(join(docs, scratch, k, percent), "joined-rows")
-    gone = small(scratch.save(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone"))
-    twice = small(scratch.save(found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated"))
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    once = kept.join(twice, "doc_id", "left_anti").select(docs.columns)
-    return once.unionByName(kept.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    """The rows of ``docs``, all columns, that stand for their group: its text of least doc_id, a repeated row once."""
+    found = scratch.save(linked(docs, scratch, k, percent), "joined-rows")
+    gone = found.where("not stays").select("doc_id", "th").distinct().withColumn("gone", F.lit(True))
+    once = found.where("stays and n > 0 and doc_id is not null").groupBy("doc_id", "th").count().where("count > 1").select("doc_id", "th", F.lit(False).alias("gone"))
+    told = small(scratch.save(gone.unionByName(once), "told").toDF("_d", "_t", "_gone"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_th"))
+    rows = rows.join(told, (F.col("_doc") == F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
+    once = rows.where("_gone = false").dropDuplicates(["_d", "_t"])
+    return rows.where("_gone is null").select("_row.*").unionByName(once.select("_row.*"))
 
 
 SQL = r"""

@@ -75,3 +75,31 @@ def test_representatives_keep_one_of_each_group(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.join(df, Scratch(spark)).count() == 0
+
+
+def test_a_number_used_by_several_texts_loses_no_link(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, " ".join(f"c{i}" for i in range(9))), (1, a), (1, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in ngram_join.join(df, Scratch(spark), 4, 85).collect())
+    assert got == brute(rows, 4, 85) and {c for _, _, c in got} == {1, 4}
+    kept = sorted((r.doc_id, r.text) for r in ngram_join.representatives(df.withColumn("_gone", df.doc_id), Scratch(spark), 4, 85).collect())
+    assert kept == sorted([(1, a), (1, b), rows[4]])
+
+
+def test_large_groups_of_copies_that_miss_each_other(spark):
+    """One edit each: linked with the text that was copied, or a first copy of it, not with each other."""
+    rng = random.Random(9)
+    rows = []
+    for size in (58, 47):  # one edit of a text of 58 words is within 85 %, one of 47 is not
+        base = [f"t{size}-{i}" for i in range(size)]
+        for j in range(300):
+            text = list(base)
+            text[rng.randrange(4, size - 4)] = f"e{size}-{j}"
+            rows.append(" ".join(text))
+        rows += [" ".join([*base, f"more{j}"]) for j in range(20)]
+        rows += [" ".join([*base[:6], "second", *base[7:20], f"s{j}", *base[21:]]) for j in range(100)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = sorted((tuple(r) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark), 4, 85).collect()), key=repr)
+    assert got == brute(rows, 4, 85)
