@@ -8,11 +8,12 @@ its prefix while the estimated cost of postings and of verified candidates falls
 when they share the lesser of their two numbers within that lesser prefix.
 
 Documents with the same set are one class, named by the hash of the set; rows that share a number but not a text are
-different classes.  A group is the classes that share a prefix shingle.  Every class is first compared with the least
-class of its groups, in numbers that grow with the members: classes linked to the same one need no more comparison
+different classes.  A group is the classes that share a prefix shingle; its centre is the one whose
+shingles are the most common by the table of counts, so of near copies the least edited.  Every class is first compared with the centres of its
+groups, in numbers that grow with the members: classes linked to the same one need no more comparison
 for the components.  In groups that are still not one, pairs that share enough prefix shingles meet; so many near
 copies that miss the similarity among each other would meet in numbers that grow with the square of a group, so
-groups beyond ``GROUP`` meet by a second prefix filter, over their differences from the least class (``recentred``):
+groups beyond ``GROUP`` meet by a second prefix filter, over their differences from the centre (``recentred``):
 an exact way for the rest, which loses no link.  Every candidate must pass a parity bitmap (``plausible``, an upper bound
 of the overlap), then the common shingles of both sets are counted.
 
@@ -111,7 +112,7 @@ def total_counts(signed: DataFrame):
 
 
 def prefixes(docs: DataFrame, k: int, percent: int, shared) -> DataFrame:
-    """cls, n, ell (shared shingles asked for), the prefix for ell, rare shingles first, and the parity bitmap.
+    """cls, n, ell (shared shingles asked for), the prefix for ell, rare shingles first, the parity bitmap, a row's doc_id and how common its shingles are.
 
     A class once for each task that meets it.  ``shared``: the broadcast table of counts.
     """
@@ -122,12 +123,12 @@ def prefixes(docs: DataFrame, k: int, percent: int, shared) -> DataFrame:
 
         counts, words, seen = shared.value, Words(), set()
         noise = counts.mean() * 1.25 + 1
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int32()]
 
         def work(part):
             out = []
             row, _, _, h = words(*utf8(part.column("text")))
-            for s in shingles(row, h, len(part), k):
+            for s, doc_id in zip(shingles(row, h, len(part), k), part.column("doc_id").to_pylist()):
                 n, cls = len(s), class_of(s) if len(s) else 0
                 if not n or cls in seen:
                     continue
@@ -141,13 +142,13 @@ def prefixes(docs: DataFrame, k: int, percent: int, shared) -> DataFrame:
                 cost = posted + (posted / ell + (n - need + ell) * CHANCE**ell) * (8 + n / 16) + ell
                 best = int(np.argmin(cost)) + 1
                 odd = (np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=64 * MARK) & 1).astype(np.uint8)
-                out.append((cls, n, best, s[order[: n - need + best]].view(np.int64), np.packbits(odd).view(np.int64)))
+                out.append((cls, n, best, s[order[: n - need + best]].view(np.int64), np.packbits(odd).view(np.int64), doc_id, int(1024 * np.log2(c + 1.0).mean())))
             columns = zip(*out) if out else [[]] * len(types)
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], ["cls", "n", "ell", "prefix", "mark"])
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], ["cls", "n", "ell", "prefix", "mark", "id", "usual"])
 
         return work
 
-    return map_texts(docs, start, "cls long, n int, ell int, prefix array<long>, mark array<long>")
+    return map_texts(docs, start, "cls long, n int, ell int, prefix array<long>, mark array<long>, id long, usual int")
 
 
 def fits(n: str, m: str, percent: int):
@@ -165,35 +166,35 @@ def allowed_column(n: str, m: str, percent: int):
 
 
 def plausible(pairs: DataFrame, made: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b, more) whose bitmaps differ in no more bits than the sets may differ in elements.
+    """Those of ``pairs`` (a, b, more) whose bitmaps differ in no more bits than the sets may differ in elements, with a number of a row of each, ia and ib.
 
     Each element that only one of two sets has changes one bit of its bitmap, so the bits that differ are at most
     those elements: no linked pair goes.
     """
-    marks = made.select("cls", "n", "mark").dropDuplicates(["cls"])
-    right = pairs.join(marks.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("mark").alias("y")), "b")
-    both = right.join(marks.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("mark").alias("x")), "a")
+    marks = made.select("cls", "n", "mark", "id").dropDuplicates(["cls"])
+    right = pairs.join(marks.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("mark").alias("y"), F.col("id").alias("ib")), "b")
+    both = right.join(marks.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("mark").alias("x"), F.col("id").alias("ia")), "a")
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, c: s + c)
-    return both.where(fits("na", "nb", percent) & fits("nb", "na", percent) & (apart <= allowed_column("na", "nb", percent))).select(pairs.columns)
+    return both.where(fits("na", "nb", percent) & fits("nb", "na", percent) & (apart <= allowed_column("na", "nb", percent))).select(*pairs.columns, "ia", "ib")
 
 
-def beside(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, each, schema: str) -> DataFrame:
-    """Applies ``each``(rows (a, centre's set, list of (more of a pair, member's set))) to the written ``pairs`` (a, b, more).
+def beside(pairs: DataFrame, texts: DataFrame, k: int, each, schema: str) -> DataFrame:
+    """Applies ``each``(rows (a, centre's set, list of (b and more of a pair, member's set))) to the written ``pairs`` (a, b, ia, ib, m, more).
 
-    The texts of the classes in pairs go to Python by a join on their numbers, their sets are shuffled to blocks of at
-    most some BLOCK members, each with a copy of its centre, and read there as a sorted stream: no task holds more than a
-    batch.
+    m: about how many members a has.  The texts of the classes in pairs go to Python by a join on their numbers, their
+    sets are shuffled to blocks of about BLOCK members, each with a copy of its centre, and read there as a sorted
+    stream: no task holds more than a batch.
     """
-    more = [c for c in pairs.columns if c != "a"]
-    size = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    cut = pairs.join(size, "a").withColumn("block", F.pmod(F.xxhash64("b"), "blocks")).drop("blocks")
-    members = cut.select("a", "block", F.col("b").alias("cls"), *more)
-    hubs = cut.select("a", "block").distinct().select("a", "block", F.col("a").alias("cls"), *[F.lit(None).cast(t).alias(c) for c, t in pairs.dtypes if c != "a"])
-    roles = members.unionByName(hubs).join(classes, "cls")
+    more = ["b", *[c for c in pairs.columns if c not in ("a", "b", "ia", "ib", "m")]]
+    kinds = {c: t for c, t in pairs.dtypes if c in more}
+    cut = pairs.withColumn("block", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / BLOCK)))
+    members = cut.select("a", "block", F.col("b").alias("cls"), F.col("ib").alias("id"), *more)
+    hubs = cut.select("a", "block", F.col("a").alias("cls"), F.col("ia").alias("id")).distinct().select("a", "block", "cls", "id", *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
+    roles = members.unionByName(hubs)
     roles = F.broadcast(roles) if pairs.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2 else roles
     rows = texts.join(roles, F.col("doc_id") == F.col("id")).drop("doc_id", "id")
     names = ["a", "block", "shingles", *more]
-    types = ", ".join(f"{c} {t}" for c, t in pairs.dtypes if c != "a")
+    types = ", ".join(f"{c} {kinds[c]}" for c in more)
 
     def start():
         import numpy as np
@@ -240,8 +241,8 @@ def beside(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, each,
     return sets.repartition("a", "block").sortWithinPartitions(F.col("a"), F.col("block"), F.col("b").asc_nulls_first()).mapInArrow(run, schema)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the written ``pairs`` (a, b) that reach the similarity."""
+def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the written ``pairs`` (a, b, ia, ib, m) that reach the similarity."""
 
     def each(groups):
         import numpy as np
@@ -256,14 +257,14 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, per
                     a.append(centre), b.append(other)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return beside(pairs.select("a", "b"), classes, texts, k, each, "a long, b long")
+    return beside(pairs.select("a", "b", "ia", "ib", "m"), texts, k, each, "a long, b long")
 
 
-def differences(members: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int, shared) -> DataFrame:
-    """For rows (a: centre, b: member, label, linked, g: members of the centre) the size and prefix of D(b), the symmetric difference from the centre.
+def differences(members: DataFrame, texts: DataFrame, k: int, percent: int, shared) -> DataFrame:
+    """For rows (a: centre, b: member, ia, ib, m: members of the centre, label, linked) the size and prefix of D(b), the symmetric difference from the centre.
 
-    D's elements are ordered by how many members' D have them, as the table of counts has it: rare ones first that the
-    centre lacks, last those of the centre that most members lack.
+    D's elements are ordered by about how many members' D have them: those that the centre lacks by the table of counts,
+    rare ones first; those of the centre as if one member in 16 lacks them, or as many as the table of counts leaves.
     """
 
     def each(groups):
@@ -271,6 +272,7 @@ def differences(members: DataFrame, classes: DataFrame, texts: DataFrame, k: int
         import pyarrow as pa
 
         counts = shared.value
+        noise = int(counts.mean() * 1.25 + 1)
         at = lambda d: counts[(d & np.uint64(TABLE - 1)).astype(np.int64)].astype(np.int64)
         out = {c: [] for c in ("a", "b", "label", "linked", "n", "dn", "reach", "short", "mark", "tokens")}
         for a, xs, rows in groups:
@@ -278,7 +280,7 @@ def differences(members: DataFrame, classes: DataFrame, texts: DataFrame, k: int
             for (b, label, linked, g), ys in rows:
                 added, lost = np.setdiff1d(ys, xs, assume_unique=True), np.setdiff1d(xs, ys, assume_unique=True)
                 d, n = np.concatenate([added, lost]), len(ys)
-                dn, weight = len(d), np.concatenate([at(added), np.maximum(0, g - at(lost))])
+                dn, weight = len(d), np.concatenate([at(added), noise + np.maximum(g // 16, g - at(lost))])
                 most = (100 - percent) * n // percent  # the most that any partner of its size differs by
                 apart = allowed(-(-percent * n // 100), m, percent) + 1  # the least D of a partner that is not linked
                 far = max(1, -(-(dn - most) // 2))
@@ -293,7 +295,7 @@ def differences(members: DataFrame, classes: DataFrame, texts: DataFrame, k: int
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
 
     schema = "a long, b long, label long, linked boolean, n int, dn int, reach int, short int, mark int, tokens array<long>"
-    return beside(members.select("a", "b", "label", "linked", "g"), classes, texts, k, each, schema)
+    return beside(members.select("a", "b", "ia", "ib", "m", "label", "linked", F.col("m").alias("g")), texts, k, each, schema)
 
 
 def recentred(made: DataFrame, percent: int) -> DataFrame:
@@ -315,7 +317,16 @@ def recentred(made: DataFrame, percent: int) -> DataFrame:
     shared = role("short", "").join(role("reach", "_"), ["a", "token"]).where(ok & more & (F.col("pos") <= F.col("dn") - need) & (F.col("pos_") <= F.col("dn_") - need))
     near = made.where("mark = 1").groupBy("a", "n").agg(F.min(F.struct("dn", "b", "label", "linked")).alias("x")).select("a", "n", "x.*")
     none = near.join(made.where("mark = 2").select("a", *pick(made, "_")), "a").where(ok & (need <= 0))
-    return shared.select("b", "b_").unionByName(none.select("b", "b_")).select(F.least("b", "b_").alias("a"), F.greatest("b", "b_").alias("b")).distinct()
+    return shared.select("b", "b_").unionByName(none.select("b", "b_")).select(F.least("b", "b_").alias("a"), F.greatest("b", "b_").alias("b"))
+
+
+def labels(links: DataFrame) -> DataFrame:
+    """cls, label for the ends of ``links`` (a, b): another node of their component, the same for most of it."""
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = ends.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("label")).withColumn("label", F.least("cls", "label"))
+    for _ in range(2):
+        near = near.join(near.select(F.col("cls").alias("label"), F.col("label").alias("next")), "label").select("cls", F.col("next").alias("label"))
+    return near
 
 
 def linked(docs: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
@@ -327,46 +338,50 @@ def linked(docs: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame
     rows = signed.where("part is null").drop("part", "counts")
     texts = texts.where("doc_id is not null").drop("th")
     classes = scratch.save(rows.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("id")), "classes")
-    made = scratch.save(prefixes(texts.select("text"), k, percent, table), "prefixes")
+    made = scratch.save(prefixes(texts, k, percent, table), "prefixes")
 
-    # shingles in two prefixes at least; n, ell and level of a posting in one number
-    pos = made.select("cls", "n", "ell", F.posexplode_outer("prefix").alias("pos", "token"))
+    # shingles in two prefixes at least; n, usual (16 bits), level and ell (8 bits each) of a posting in one number
+    pos = made.select("cls", "n", "ell", "usual", F.posexplode_outer("prefix").alias("pos", "token"))
     level = F.greatest(F.lit(1), F.col("pos") - F.col("n") + F.ceil(F.col("n") * percent / F.lit(100)) + 1)
-    posted = pos.select("token", "cls", (F.col("n").cast("long") * 65536 + F.col("ell") * 256 + level).alias("meta"))
+    posted = pos.select("token", "cls", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("usual") * 65536 + level * 256 + F.col("ell")).alias("meta"))
     common = posted.groupBy("token").count().where("count > 1").select("token")
     shared = scratch.save(posted.join(common, "token", "left_semi").groupBy("token", "cls").agg(F.min("meta").alias("meta")), "shared")
-    of = lambda meta, end="": [F.shiftright(meta, 16).cast("int").alias(f"n{end}"), (F.shiftright(meta, 8) % 256).cast("int").alias(f"ell{end}"), (F.col(meta) % 256).cast("int").alias(f"level{end}")]
-    least = shared.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("cls", "meta")).alias("p")).where("c > 1")
-    groups = scratch.save(shared.join(least.select("token", "c", F.col("p.cls").alias("a"), F.col("p.meta").alias("am")), "token"), "groups")
+    part = lambda meta, low, bits: F.shiftright(meta, low).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    size, ell = lambda meta: part(meta, 32, 31), lambda meta: part(meta, 0, 8)
+    centre = shared.groupBy("token").agg(F.count("*").alias("c"), F.max(F.struct(part("meta", 16, 16).alias("usual"), "cls", "meta")).alias("p")).where("c > 1")
+    groups = scratch.save(shared.join(centre.select("token", "c", F.col("p.cls").alias("a"), F.col("p.meta").alias("am")), "token"), "groups")
     scratch.drop("shared")
 
-    # 1. the least class of each group against the others
-    stars = groups.where("cls <> a").select("a", F.col("cls").alias("b"), "c", *of("meta"), *of("am", "_")).where(fits("n", "n_", percent) & fits("n_", "n", percent))
-    stars = stars.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max(F.least("ell", "ell_")).alias("asked"), F.max("c").alias("most"))
-    stars = stars.where((F.col("shared") >= F.col("asked")) | (F.col("most") > GROUP)).select("a", "b")
+    # 1. the centre of each group against the others
+    stars = groups.where("cls <> a").select("a", F.col("cls").alias("b"), "c", size("meta").alias("n"), size("am").alias("n_"), F.least(ell("meta"), ell("am")).alias("asked"))
+    stars = stars.where(fits("n", "n_", percent) & fits("n_", "n", percent)).groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("asked").alias("asked"), F.max("c").alias("m"))
+    stars = stars.where((F.col("shared") >= F.col("asked")) | (F.col("m") > GROUP)).select("a", "b", "m")
     stars = scratch.save(plausible(stars, made, percent), "stars")
-    links = scratch.save(verified(stars, classes, texts, k, percent), "links-1")
+    links = scratch.save(verified(stars, texts, k, percent), "links-1")
     # 2. pairs of groups that are not yet one by these links
-    label = links.groupBy(F.col("b").alias("cls")).agg(F.min("a").alias("label"))
+    label = labels(links)
     labelled = groups.join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     labelled = scratch.save(labelled, "labelled")
     scratch.drop("groups")
     open_ = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
     open_ = scratch.save(labelled.join(open_, "token", "left_semi"), "open")
     scratch.drop("labelled")
-    left = open_.where(F.col("c") <= GROUP).select("token", "cls", "label", *of("meta"))
+    left = open_.where(F.col("c") <= GROUP).select("token", "cls", "label", size("meta").alias("n"), ell("meta").alias("ell"), part("meta", 8, 8).alias("level"))
     right = left.select("token", *[F.col(c).alias(f"{c}_") for c in left.columns[1:]])
     met = left.join(right, "token").where((F.col("cls") < F.col("cls_")) & (F.col("label") != F.col("label_")) & (F.greatest("level", "level_") <= F.least("ell", "ell_")) & fits("n", "n_", percent) & fits("n_", "n", percent))
     met = met.groupBy(F.col("cls").alias("a"), F.col("cls_").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("ell", "ell_")).alias("asked")).where("shared >= asked").select("a", "b")
-    # larger groups by their differences from the least class
-    large = open_.where(F.col("c") > GROUP).select("a", F.col("cls").alias("b"), "label").distinct()
-    large = large.join(large.groupBy("a").agg(F.count("*").alias("g")), "a").join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left")
-    large = scratch.save(large.withColumn("linked", F.coalesce("linked", F.col("a") == F.col("b"))), "large")
-    apart = scratch.save(differences(large, classes, texts, k, percent, table), "differences")
-    met = met.unionByName(recentred(apart, percent)).distinct().join(stars, ["a", "b"], "left_anti")
-    met = scratch.save(plausible(met, made, percent), "met")
+    # larger groups by their differences from the centre
+    large = open_.where(F.col("c") > GROUP).groupBy("a", F.col("cls").alias("b"), "label").agg(F.max("c").alias("m"))
+    large = large.join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.col("a") == F.col("b")))
+    ids = made.select("cls", "id").dropDuplicates(["cls"])
+    large = large.join(ids.toDF("b", "ib"), "b").join(ids.toDF("a", "ia"), "a")
+    large = scratch.save(large, "large")
+    apart = scratch.save(differences(large, texts, k, percent, table), "differences")
+    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = met.unionByName(recentred(apart, percent)).distinct().join(done, ["a", "b"], "left_anti")
+    met = scratch.save(plausible(met.withColumn("m", F.lit(8 * BLOCK)), made, percent), "met")
     scratch.drop("open", "prefixes", "large")
-    last = scratch.save(verified(met, classes, texts, k, percent), "links-2")
+    last = scratch.save(verified(met, texts, k, percent), "links-2")
     table.destroy()
 
     # the least number of each component, for the classes that have links
