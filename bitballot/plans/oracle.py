@@ -4,16 +4,15 @@ TH32 = str([i / 32 for i in range(1, 32)])
 TH16 = str([i / 16 for i in range(1, 16)])
 
 LINE = r"""fx AS (SELECT ('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT)), 1, 15))::BIGINT AS row_id,
- l_quantity::FLOAT AS quantity, l_extendedprice::FLOAT AS price, (l_discount + 0.0)::FLOAT AS discount, (l_tax + 0.0)::FLOAT AS tax, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y FROM lineitem),
-sam AS (SELECT * FROM fx ORDER BY row_id LIMIT 30000)"""
+ l_quantity::FLOAT AS quantity, l_extendedprice::FLOAT AS price, (l_discount + 0.0)::FLOAT AS discount, (l_tax + 0.0)::FLOAT AS tax, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y FROM lineitem)"""
 CELLS = LINE + r""",
 cells AS (SELECT row_id, 0 AS feat, quantity AS val FROM fx UNION ALL SELECT row_id, 1, price FROM fx UNION ALL SELECT row_id, 2, discount FROM fx UNION ALL SELECT row_id, 3, tax FROM fx)"""
-SAMCELLS = LINE + r""",
-sc AS (SELECT 0 AS feat, quantity::DOUBLE AS val FROM sam UNION ALL SELECT 1, price::DOUBLE FROM sam UNION ALL SELECT 2, discount::DOUBLE FROM sam UNION ALL SELECT 3, tax::DOUBLE FROM sam
- UNION ALL SELECT 4, CASE WHEN quantity > 35 THEN price ELSE 0 END::DOUBLE FROM sam UNION ALL SELECT 5, -CASE WHEN quantity > 35 THEN price ELSE 0 END::DOUBLE FROM sam UNION ALL SELECT 6, 1.0::DOUBLE FROM sam)"""
+WIDECELLS = LINE + r""",
+sc AS (SELECT 0 AS feat, quantity::DOUBLE AS val FROM fx UNION ALL SELECT 1, price::DOUBLE FROM fx UNION ALL SELECT 2, discount::DOUBLE FROM fx UNION ALL SELECT 3, tax::DOUBLE FROM fx
+ UNION ALL SELECT 4, CASE WHEN quantity > 35 THEN price ELSE 0 END::DOUBLE FROM fx UNION ALL SELECT 5, -CASE WHEN quantity > 35 THEN price ELSE 0 END::DOUBLE FROM fx UNION ALL SELECT 6, 1.0::DOUBLE FROM fx)"""
 MODEL = CELLS + r""",
-q AS (SELECT DISTINCT 0 AS feat, unnest(quantile_cont(quantity::DOUBLE, """ + TH32 + r"""))::FLOAT AS thresh FROM sam UNION SELECT DISTINCT 1, unnest(quantile_cont(price::DOUBLE, """ + TH32 + r"""))::FLOAT FROM sam
- UNION SELECT DISTINCT 2, discount FROM sam WHERE discount > (SELECT min(discount) FROM sam) UNION SELECT DISTINCT 3, tax FROM sam WHERE tax > (SELECT min(tax) FROM sam)),
+q AS (SELECT DISTINCT 0 AS feat, unnest(quantile_cont(quantity::DOUBLE, """ + TH32 + r"""))::FLOAT AS thresh FROM fx UNION SELECT DISTINCT 1, unnest(quantile_cont(price::DOUBLE, """ + TH32 + r"""))::FLOAT FROM fx
+ UNION SELECT DISTINCT 2, discount FROM fx WHERE discount > (SELECT min(discount) FROM fx) UNION SELECT DISTINCT 3, tax FROM fx WHERE tax > (SELECT min(tax) FROM fx)),
 th AS (SELECT (row_number() OVER (ORDER BY feat, thresh) - 1)::INTEGER AS bit, feat, thresh FROM q),
 lit AS (SELECT k, sg, c, bit, ((bit * 31 + c * 17 + k * 7 + sg * 3) % 23) >= 2 AS negated FROM th, range(3) a(k), range(2) b(sg), range(20) d(c)
  WHERE (bit * 31 + c * 17 + k * 7 + sg * 3) % 23 < 4 AND c <> 19 AND (c % 4 = 0 OR (bit + c * 5 + k * 7) % 40 < (c % 4) * 4)),
@@ -46,9 +45,9 @@ per AS (SELECT cls, coalesce(sum(n) FILTER (y = cls AND pred = cls), 0) AS tp, c
 SELECT round(avg(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END), 9) AS precision, round(avg(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END), 9) AS recall, round(avg(CASE WHEN tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END), 9) AS f1 FROM per""")
 
 
-STATS = SAMCELLS + """,
+STATS = WIDECELLS + """,
 st AS (SELECT feat, count(DISTINCT val) AS u, avg((val = 0)::INT) AS z, count(DISTINCT val) FILTER (val <> 0) AS nz, count(*) AS n, min(val) AS lo, max(val) AS hi FROM sc GROUP BY feat)"""
-EDGES = SAMCELLS + """,
+EDGES = WIDECELLS + """,
 ed AS (SELECT feat, unnest(range(15)) AS i, unnest(quantile_cont(val, """ + TH16 + """)) AS edge FROM sc WHERE feat < 2 GROUP BY feat),
 wc AS (SELECT * FROM sc WHERE feat < 2)"""
 TREE = "CASE WHEN quantity <= 25 THEN CASE WHEN price <= 20000 THEN CASE WHEN discount <= 0.05::FLOAT THEN 0 ELSE 1 END ELSE CASE WHEN tax <= 0.04::FLOAT THEN 2 ELSE 0 END END ELSE CASE WHEN discount <= 0.03::FLOAT THEN CASE WHEN price <= 50000 THEN 1 ELSE 2 END ELSE CASE WHEN tax <= 0.02::FLOAT THEN 0 ELSE 1 END END END"
@@ -79,8 +78,8 @@ SQL = {
     "gap_snap": q(EDGES, ", m AS (SELECT feat, (val + lead(val) OVER (PARTITION BY feat ORDER BY val)) / 2 AS mid FROM (SELECT DISTINCT feat, val FROM wc)), b AS (SELECT feat, i, edge, (SELECT min(mid) FROM m WHERE m.feat = ed.feat AND mid >= edge) AS up, (SELECT max(mid) FROM m WHERE m.feat = ed.feat AND mid < edge) AS down FROM ed) SELECT feat, i::INT AS i, round(edge, 6) AS edge, round(CASE WHEN up IS NULL OR edge - down < up - edge THEN down ELSE up END, 6) AS snapped FROM b"),
     "perturb_edges": q(EDGES, ", w AS (SELECT feat, edge, coalesce(lag(edge) OVER p, (SELECT min(val) FROM wc WHERE wc.feat = e.feat)) AS l, coalesce(lead(edge) OVER p, (SELECT max(val) FROM wc WHERE wc.feat = e.feat)) AS r FROM (SELECT DISTINCT feat, edge FROM ed) e WINDOW p AS (PARTITION BY feat ORDER BY edge)), c AS (SELECT feat, edge, unnest([edge - 0.25 * (edge - l), edge, edge + 0.25 * (r - edge)]) AS t FROM w), s AS (SELECT c.feat, edge, t, avg((val >= t)::INT) AS p FROM c JOIN wc ON c.feat = wc.feat GROUP BY ALL) SELECT feat, round(edge, 6) AS edge, round(arg_min(t, -round(p * (1 - p), 12) * 1e15 + rank), 6) AS best FROM (SELECT *, row_number() OVER (PARTITION BY feat, edge ORDER BY t) AS rank FROM s) GROUP BY feat, edge"),
     "bit_entropy": q(EDGES, ", s AS (SELECT e.feat, edge, avg((val >= edge)::INT) AS p FROM (SELECT DISTINCT feat, edge FROM ed) e JOIN wc ON e.feat = wc.feat GROUP BY ALL) SELECT feat, round(edge, 6) AS edge, round(p, 9) AS p, round(CASE WHEN p <= 0 OR p >= 1 THEN 0 ELSE -(p * ln(p) + (1 - p) * ln(1 - p)) END, 9) AS entropy FROM s"),
-    "dead_bits": q(SAMCELLS, ", e AS (SELECT feat, unnest(quantile_cont(val, [0.002, 0.5, 0.9985])) AS edge FROM sc WHERE feat = 1 GROUP BY feat), s AS (SELECT e.feat, edge, avg((val >= edge)::INT) AS p FROM e JOIN sc ON e.feat = sc.feat GROUP BY ALL) SELECT feat, round(edge, 6) AS edge, (CASE WHEN p <= 0 OR p >= 1 THEN 0 ELSE -(p * ln(p) + (1 - p) * ln(1 - p)) END) >= 0.05 AS alive FROM s"),
-    "sparse_prefix": q(SAMCELLS, "SELECT feat, CASE WHEN avg((val = 0)::INT) > 0.3 AND count(*) FILTER (val > 0) > 10 AND min(val) FILTER (val > 0) < max(val) FILTER (val > 0) THEN round(min(val) FILTER (val > 0) / 2, 6) END AS prefix FROM sc GROUP BY feat"),
+    "dead_bits": q(WIDECELLS, ", e AS (SELECT feat, unnest(quantile_cont(val, [0.002, 0.5, 0.9985])) AS edge FROM sc WHERE feat = 1 GROUP BY feat), s AS (SELECT e.feat, edge, avg((val >= edge)::INT) AS p FROM e JOIN sc ON e.feat = sc.feat GROUP BY ALL) SELECT feat, round(edge, 6) AS edge, (CASE WHEN p <= 0 OR p >= 1 THEN 0 ELSE -(p * ln(p) + (1 - p) * ln(1 - p)) END) >= 0.05 AS alive FROM s"),
+    "sparse_prefix": q(WIDECELLS, "SELECT feat, CASE WHEN avg((val = 0)::INT) > 0.3 AND count(*) FILTER (val > 0) > 10 AND min(val) FILTER (val > 0) < max(val) FILTER (val > 0) THEN round(min(val) FILTER (val > 0) / 2, 6) END AS prefix FROM sc GROUP BY feat"),
     "threshold_quantise": q(MODEL, ", s AS (SELECT min(thresh::DOUBLE) AS zero, (max(thresh::DOUBLE) - min(thresh::DOUBLE)) / 65535 AS scale FROM th) SELECT bit, feat, least(greatest(round_even((thresh::DOUBLE - zero) / scale, 0), 0), 65535)::INT AS q, round(scale, 9) AS scale, round(zero, 9) AS zero, round((least(greatest(round_even((thresh::DOUBLE - zero) / scale, 0), 0), 65535) * scale + zero)::FLOAT::DOUBLE, 6) AS thresh FROM th, s"),
     "clause_mismatch": q(WRONG, "SELECT k::INT AS class, (1 - 2 * sg)::INT AS sign, c::INT AS clause, sum(w)::BIGINT AS wrong, count(*) FILTER (w = 0) AS perfect FROM outs GROUP BY k, sg, c"),
     "clause_output": q(WRONG, "SELECT k::INT AS class, (1 - 2 * sg)::INT AS sign, c::INT AS clause, sum(o)::BIGINT AS output, count(*) FILTER (o > 0) AS fired FROM outs GROUP BY k, sg, c"),
