@@ -132,7 +132,7 @@ def predict_mlp(df: DataFrame, x: str, layers: list[tuple[np.ndarray, np.ndarray
         for batch in batches:
             if not len(batch):
                 continue
-            a = np.array(batch.column(x).to_pylist(), np.float64)
+            a = matrix_of(batch.column(x))
             for i, (w, b) in enumerate(shared.value):
                 a = a @ w + b
                 if i < len(shared.value) - 1:
@@ -143,15 +143,46 @@ def predict_mlp(df: DataFrame, x: str, layers: list[tuple[np.ndarray, np.ndarray
     return df.select(*dict.fromkeys([*keep, x])).mapInArrow(run, f"{schema}, pred int")
 
 
-def predict_knn(test: DataFrame, train: DataFrame, k: int = 5, blocks: int = 16) -> DataFrame:
+def matrix_of(column) -> np.ndarray:
+    """Rows of an Arrow list column of one length, in double precision, without Python objects."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+#: Rows of a block of test or training vectors that meet in one task.
+KNN_BLOCK = 8192
+
+
+def nearest(q: np.ndarray, a: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of q the places in a (ids ascending) of its k nearest by squared distance, then id, and the distances.
+
+    A matrix product finds all rows within rounding of the k-th distance; those few are measured exactly.
+    """
+    k = min(k, len(a))
+    rough = (q * q).sum(axis=1)[:, None] + (a * a).sum(axis=1)[None, :] - 2 * (q @ a.T)
+    kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
+    slack = 1e-9 * (1 + (q * q).sum(axis=1) + (a * a).sum(axis=1).max(initial=0))
+    places, dists = np.empty((len(q), k), np.int64), np.empty((len(q), k))
+    for i in range(len(q)):
+        few = np.flatnonzero(rough[i] <= kth[i] + slack[i])
+        d = ((a[few] - q[i]) ** 2).sum(axis=1)
+        top = np.lexsort((ids[few], d))[:k]
+        places[i], dists[i] = few[top], d[top]
+    return places, dists
+
+
+def predict_knn(test: DataFrame, train: DataFrame, k: int = 5, block: int = KNN_BLOCK) -> DataFrame:
     """vec_id, pred: most frequent label of the k nearest (squared distance, then id), the least on ties.
 
-    Both are (vec_id, x, y).  The training rows are cut into blocks; every test row meets each block in an Arrow
-    batch, which keeps its k nearest there, and the k nearest of those decide: no pair of rows is written.
+    Both are (vec_id, x, y).  Both are cut into blocks of about ``block`` rows by their counts; each block of test rows
+    meets each block of training rows in one task, which keeps the k nearest there, and the k nearest of those decide:
+    no pair of rows is written, and no task holds more than two blocks.
     """
-    spark = test.sparkSession
-    dealt = test.select("vec_id", F.col("x").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    train = train.select("vec_id", "x", "y", F.pmod(F.hash("vec_id"), F.lit(blocks)).alias("block"))
+    blocks = lambda df: max(1, -(-df.count() // block))
+    n, m = blocks(test), blocks(train)
+    part = lambda count: F.pmod(F.hash("vec_id"), F.lit(count)).alias
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias
+    left = test.select("vec_id", "x", part(n)("t"), every(m)("r"))
+    right = train.select("vec_id", "x", "y", part(m)("r"), every(n)("t"))
 
     def near(key, left, right):
         import pandas as pd
@@ -162,15 +193,12 @@ def predict_knn(test: DataFrame, train: DataFrame, k: int = 5, blocks: int = 16)
         a, ids, y = np.stack(right["x"]).astype(np.float64), right["vec_id"].to_numpy(), right["y"].to_numpy()
         out = []
         for at in range(0, len(left), 512):
-            part = left.iloc[at : at + 512]
-            q = np.stack(part["q"]).astype(np.float64)
-            d = ((q[:, None, :] - a[None, :, :]) ** 2).sum(axis=2) if len(a) * len(q) <= 200_000 else np.stack([((a - v) ** 2).sum(axis=1) for v in q])
-            top = np.argsort(d, axis=1, kind="stable")[:, :k]
-            r = np.arange(len(q))[:, None]
-            out.append(pd.DataFrame({"vec_id": np.repeat(part["vec_id"].to_numpy(), top.shape[1]), "other": ids[top].ravel(), "y": y[top].ravel(), "d": d[r, top].ravel()}))
+            some = left.iloc[at : at + 512]
+            places, d = nearest(np.stack(some["x"]).astype(np.float64), a, ids, k)
+            out.append(pd.DataFrame({"vec_id": np.repeat(some["vec_id"].to_numpy(), places.shape[1]), "other": ids[places].ravel(), "y": y[places].ravel(), "d": d.ravel()}))
         return pd.concat(out)
 
-    met = dealt.groupBy("block").cogroup(train.groupBy("block")).applyInPandas(near, "vec_id long, other long, y int, d double")
+    met = left.groupBy("t", "r").cogroup(right.groupBy("t", "r")).applyInPandas(near, "vec_id long, other long, y int, d double")
     top = met.withColumn("r", F.row_number().over(W.partitionBy("vec_id").orderBy("d", "other"))).where(F.col("r") <= k)
     return mode(top, "vec_id", "y")
 

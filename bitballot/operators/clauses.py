@@ -4,7 +4,7 @@ A clause's output is max(clamp - mismatches, 0); a class's votes are the outputs
 those of its negative ones; the prediction is the class with most votes, the least index on ties.
 All ways give the same integers: ``predict`` (Arrow batches, no shuffle; the default), ``votes_relational``
 (packed words against a broadcast clause table, then a grouped sum), ``votes_sparse`` (bits joined to
-literals) and ``votes_expression`` (one expression per class).
+literals) and ``votes_expression`` (one expression per class, no shuffle).
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ class ClauseModel:
         return spark.createDataFrame(rows, "class int, sign int, clause int, clamp int, bit int, negated boolean")
 
     def threshold_table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(i, int(f), float(t)) for i, (f, t) in enumerate(zip(self.feat, self.thresh))], "bit int, feat int, thresh float")
+        return spark.createDataFrame([(i, int(f), float(t), f"{float(t):.4g}") for i, (f, t) in enumerate(zip(self.feat, self.thresh))], "bit int, feat int, thresh float, told string")
 
     def pruned(self) -> tuple[ClauseModel, np.ndarray]:
         """An equal model with fewer clauses, and constant votes by class.
@@ -118,9 +118,45 @@ def feature_bits(columns: list[str], feat, thresh) -> list[Column]:
     return [B.at_least(F.col(columns[f]), F.lit(float(t)).cast("float")) for f, t in zip(feat.tolist(), thresh.tolist())]
 
 
+def ladders(model: ClauseModel) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each feature its thresholds, ascending, and the words of its bits when none, one, two, ... of them are reached."""
+    out = {}
+    for f in sorted(set(model.feat.tolist())):
+        bits = np.flatnonzero(model.feat == f)
+        steps = np.unique(model.thresh[bits])
+        steps = steps[~np.isnan(steps)]
+        words = np.zeros((len(steps) + 1, model.words), np.uint64)
+        for b in bits:
+            words[1 + np.searchsorted(steps, model.thresh[b]) :, b >> 6] |= np.uint64(1 << (int(b) & 63))
+        out[f] = (steps, words)
+    return out
+
+
+def up_to(x: Column):
+    return lambda t: t <= x
+
+
 def packed(df: DataFrame, columns: list[str], model: ClauseModel) -> DataFrame:
-    """Adds w0, w1, ...: only the named columns are read, and the words stay in generated code."""
-    return df.withColumns({f"w{i}": w for i, w in enumerate(B.words(feature_bits(columns, model.feat, model.thresh)))})
+    """Adds w0, w1, ...; only the named columns are read.
+
+    A feature's bits depend on how many of its thresholds a value reaches, so that number looks its words up: a
+    comparison a bit would make one generated method too large for the JVM to compile.
+    """
+    found = ladders(model)
+    reached = {}
+    for f, (steps, _) in found.items():
+        x = F.col(columns[f])
+        known = F.array(*[F.lit(float(t)).cast("float") for t in steps])
+        reached[f"_reached{f}"] = F.when(x.isNull() | F.isnan(x), 0).otherwise(F.size(F.filter(known, up_to(x))))
+    with_counts = df.select("*", *[c.alias(n) for n, c in reached.items()])
+    signed = lambda column: F.array(*[F.lit(int(v)).cast("long") for v in column.view(np.int64)])
+    words = []
+    for i in range(model.words):
+        parts = [F.element_at(signed(np.ascontiguousarray(w[:, i])), F.col(f"_reached{f}") + 1) for f, (_, w) in found.items() if w[:, i].any()] or [F.lit(0).cast("long")]
+        while len(parts) > 1:
+            parts = [parts[j].bitwiseOR(parts[j + 1]) if j + 1 < len(parts) else parts[j] for j in range(0, len(parts), 2)]
+        words.append(parts[0].alias(f"w{i}"))
+    return with_counts.select(*df.columns, *words)
 
 
 def packed_batches(df: DataFrame, columns: list[str], model: ClauseModel, keep: tuple[str, ...] = ("row_id",)) -> DataFrame:
@@ -129,12 +165,12 @@ def packed_batches(df: DataFrame, columns: list[str], model: ClauseModel, keep:
     Before a loop over clauses this keeps the many comparisons of the bits out of the loop's generated method, which
     would otherwise be too large for the JVM to compile.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(vars(model))  # plain arrays: workers need no copy of the package
 
     def run(batches):
         import pyarrow as pa
 
-        model = shared.value
+        model = ClauseModel(**shared.value)
         for batch in batches:
             x = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.float32) for c in columns], axis=1)
             words = model.pack(x).view(np.int64)
@@ -146,12 +182,13 @@ def packed_batches(df: DataFrame, columns: list[str], model: ClauseModel, keep:
 
 def predict(df: DataFrame, columns: list[str], model: ClauseModel, keep: tuple[str, ...] = ("row_id",)) -> DataFrame:
     """``keep`` columns with votes (by class) and pred, in Arrow batches of a map-only plan."""
-    shared = df.sparkSession.sparkContext.broadcast(model.pruned())  # 65 535 clauses a class and sign at most
+    small, bias = model.pruned()
+    shared = df.sparkSession.sparkContext.broadcast((vars(small), bias))  # 65 535 clauses a class and sign at most
 
     def run(batches):
         import pyarrow as pa
 
-        model, bias = shared.value
+        model, bias = ClauseModel(**shared.value[0]), shared.value[1]
         for batch in batches:
             x = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.float32) for c in columns], axis=1)
             if not len(x):
@@ -192,17 +229,45 @@ def votes_sparse(df: DataFrame, columns: list[str], model: ClauseModel, key: str
     return out.groupBy(key, "class").agg(F.sum(F.col("sign") * F.col("out")).alias("votes"))
 
 
-def votes_expression(df: DataFrame, columns: list[str], model: ClauseModel, key: str = "row_id") -> DataFrame:
-    """The same by a sum of clause expressions for each class, for small models."""
+def class_sums(df: DataFrame, columns: list[str], model: ClauseModel, key: str = "row_id") -> DataFrame:
+    """key, v0, v1, ...: the votes of each class by one expression a class, for small models; a map-only plan in the JVM."""
     signed = lambda v: F.lit(int(np.uint64(v).view(np.int64))).cast("long")
     words = [F.col(f"w{i}") for i in range(model.words)]
     sums = []
     for k in range(model.classes):
-        terms = [F.lit(int(model.sign[i])) * F.greatest(F.lit(int(model.clamp[i])) - B.mismatches(words, [signed(v) for v in model.pos[i]], [signed(v) for v in model.neg[i]]), F.lit(0)) for i in np.flatnonzero(model.cls == k)] or [F.lit(0)]
+        terms = [F.lit(int(model.sign[i])) * F.greatest(F.lit(int(model.clamp[i])) - B.mismatches_xor(words, [signed(v) for v in model.pos[i]], [signed(v) for v in model.pos[i] ^ model.neg[i]]), F.lit(0)) for i in np.flatnonzero(model.cls == k)] or [F.lit(0)]
         while len(terms) > 1:
             terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
-        sums.append(terms[0].cast("long"))
-    return packed(df, columns, model).select(key, F.posexplode(F.array(*sums)).alias("class", "votes"))
+        sums.append(terms[0].cast("long").alias(f"v{k}"))
+    # a lambda keeps this projection out of whole-stage code, whose one method for all clauses would be too large to compile
+    apart = F.exists(F.array(key), lambda x: x.isNull()).alias("_apart")
+    return packed(df, columns, model).select(key, *sums, apart)
+
+
+def votes_expression(df: DataFrame, columns: list[str], model: ClauseModel, key: str = "row_id") -> DataFrame:
+    """key, class, votes by ``class_sums``."""
+    return class_sums(df, columns, model, key).where(~F.col("_apart") | F.col("_apart")).select(key, F.posexplode(F.array(*[F.col(f"v{k}") for k in range(model.classes)])).alias("class", "votes"))
+
+
+def first_most(names: list[str]) -> Column:
+    """Place of the largest of some columns, the first on ties."""
+    best = F.greatest(*names) if len(names) > 1 else F.col(names[0])
+    out = F.lit(len(names) - 1)
+    for i in range(len(names) - 2, -1, -1):
+        out = F.when(F.col(names[i]) == best, F.lit(i)).otherwise(out)
+    return out.cast("int")
+
+
+def predict_expression(df: DataFrame, columns: list[str], model: ClauseModel, key: str = "row_id") -> DataFrame:
+    """key, pred by ``class_sums``, without a shuffle."""
+    return class_sums(df, columns, model, key).select(key, F.when(F.col("_apart").isNotNull(), first_most([f"v{k}" for k in range(model.classes)])).alias("pred"))
+
+
+def predict_relational(df: DataFrame, columns: list[str], model: ClauseModel, key: str = "row_id") -> DataFrame:
+    """key, pred by one grouped sum over the clause table: a column of votes for each class, so rows meet once."""
+    out = with_clauses(packed_batches(df, columns, model, (key,)), model).withColumn("out", F.col("sign") * F.greatest(F.col("clamp") - mismatch(model), F.lit(0)))
+    sums = [F.sum(F.when(F.col("class") == k, F.col("out")).otherwise(0)).alias(f"v{k}") for k in range(model.classes)]
+    return out.groupBy(key).agg(*sums).select(key, first_most([f"v{k}" for k in range(model.classes)]).alias("pred"))
 
 
 def argmax(votes: DataFrame, key: str = "row_id") -> DataFrame:
@@ -210,10 +275,10 @@ def argmax(votes: DataFrame, key: str = "row_id") -> DataFrame:
 
 
 def decoded(model: ClauseModel, spark: SparkSession) -> DataFrame:
-    """class, sign, clause, text of each clause; a bit's condition before its negation, bits in order."""
+    """class, sign, clause, text of each clause; a bit's condition before its negation, bits in order; thresholds to four digits."""
     names = F.create_map(*[v for i in range(len(model.feat)) for v in (F.lit(i), F.lit(model.feature_names[i] if i < len(model.feature_names) else f"bit_{i}"))]) if len(model.feat) else None
     literals = model.literal_table(spark).join(F.broadcast(model.threshold_table(spark)), "bit")
-    part = F.concat(F.when(F.col("negated"), "NOT (").otherwise("("), names[F.col("bit")], F.lit(" >= "), F.format_string("%.4f", F.col("thresh").cast("double")), F.lit(")"))
+    part = F.concat(F.when(F.col("negated"), "NOT (").otherwise("("), names[F.col("bit")], F.lit(" >= "), F.col("told"), F.lit(")"))
     told = literals.groupBy("class", "sign", "clause").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bit", "negated", part.alias("t")))), lambda s: s["t"]), " AND ").alias("t"))
     every = model.clause_table(spark).select("class", "sign", "clause", "clamp")
     return every.join(told, ["class", "sign", "clause"], "left").select("class", "sign", "clause", F.concat(F.lit("[clamp="), "clamp", F.lit("] "), F.coalesce("t", F.lit(""))).alias("text"))

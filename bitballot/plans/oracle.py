@@ -58,9 +58,13 @@ def shifted(t: int) -> str:
 
 
 LIN = "(quantity::DOUBLE - 32) / 16 AS a, (price::DOUBLE - 32768) / 16384 AS b, (discount::DOUBLE - 0.0625) / 0.03125 AS c, (tax::DOUBLE - 0.03125) / 0.015625 AS d"
-HISTORY = "(VALUES (1, 0.50, 0.40), (2, 0.62, 0.55), (3, 0.60, 0.58), (4, 0.62, 0.58), (5, 0.61, 0.50)) h(epoch, acc, f1)"
-RESULTS = "(VALUES ('clauses', 'dense', 6.5, 0.97), ('tree', 'dense', 1.375, 0.95), ('forest', 'dense', 848.0, 0.975), ('linear', 'dense', 7.75, 0.70), ('clauses', 'sparse', 7.5, 0.87), ('tree', 'sparse', 1.5, 0.88)) r(model, dataset, us, acc)"
-
+HISTORY = WRONG + r""",
+ev AS (SELECT e::INT AS epoch, row_id, k, sum(CASE WHEN sg = 0 THEN o ELSE -o END) AS v FROM outs, range(1, 5) r(e) WHERE c < 5 * e GROUP BY ALL),
+ep AS (SELECT epoch, row_id, min(k) AS pred FROM (SELECT *, max(v) OVER (PARTITION BY epoch, row_id) AS top FROM ev) WHERE v = top GROUP BY ALL),
+ec AS (SELECT epoch, y, pred, count(*) AS n FROM ep JOIN fx USING (row_id) GROUP BY ALL),
+ek AS (SELECT epoch, y AS cls FROM ec UNION SELECT epoch, pred FROM ec),
+ef AS (SELECT ek.epoch, cls, 2 * coalesce(sum(n) FILTER (y = cls AND pred = cls), 0) / (sum(n) FILTER (y = cls OR pred = cls) + coalesce(sum(n) FILTER (y = cls AND pred = cls), 0)) AS f FROM ek JOIN ec USING (epoch) GROUP BY ALL),
+h AS (SELECT epoch, round((SELECT sum(n) FILTER (y = pred) / sum(n) FROM ec WHERE ec.epoch = ef.epoch), 9) AS acc, round(avg(f), 9) AS f1 FROM ef GROUP BY epoch)"""
 SQL = {
     "binarise_bits": q(BITS, "SELECT row_id, string_agg(o::INT::VARCHAR, '' ORDER BY bit) AS bits FROM bits GROUP BY row_id"),
     "pack_words": q(BITS, f"SELECT row_id, {signed(0)} AS w0, {signed(1)} AS w1 FROM bits GROUP BY row_id"),
@@ -78,7 +82,7 @@ SQL = {
     "gap_snap": q(EDGES, ", m AS (SELECT feat, (val + lead(val) OVER (PARTITION BY feat ORDER BY val)) / 2 AS mid FROM (SELECT DISTINCT feat, val FROM wc)), b AS (SELECT feat, i, edge, (SELECT min(mid) FROM m WHERE m.feat = ed.feat AND mid >= edge) AS up, (SELECT max(mid) FROM m WHERE m.feat = ed.feat AND mid < edge) AS down FROM ed) SELECT feat, i::INT AS i, round(edge, 6) AS edge, round(CASE WHEN up IS NULL OR edge - down < up - edge THEN down ELSE up END, 6) AS snapped FROM b"),
     "perturb_edges": q(EDGES, ", w AS (SELECT feat, edge, coalesce(lag(edge) OVER p, (SELECT min(val) FROM wc WHERE wc.feat = e.feat)) AS l, coalesce(lead(edge) OVER p, (SELECT max(val) FROM wc WHERE wc.feat = e.feat)) AS r FROM (SELECT DISTINCT feat, edge FROM ed) e WINDOW p AS (PARTITION BY feat ORDER BY edge)), c AS (SELECT feat, edge, unnest([edge - 0.25 * (edge - l), edge, edge + 0.25 * (r - edge)]) AS t FROM w), s AS (SELECT c.feat, edge, t, avg((val >= t)::INT) AS p FROM c JOIN wc ON c.feat = wc.feat GROUP BY ALL) SELECT feat, round(edge, 6) AS edge, round(arg_min(t, -round(p * (1 - p), 12) * 1e15 + rank), 6) AS best FROM (SELECT *, row_number() OVER (PARTITION BY feat, edge ORDER BY t) AS rank FROM s) GROUP BY feat, edge"),
     "bit_entropy": q(EDGES, ", s AS (SELECT e.feat, edge, avg((val >= edge)::INT) AS p FROM (SELECT DISTINCT feat, edge FROM ed) e JOIN wc ON e.feat = wc.feat GROUP BY ALL) SELECT feat, round(edge, 6) AS edge, round(p, 9) AS p, round(CASE WHEN p <= 0 OR p >= 1 THEN 0 ELSE -(p * ln(p) + (1 - p) * ln(1 - p)) END, 9) AS entropy FROM s"),
-    "dead_bits": q(WIDECELLS, ", e AS (SELECT feat, unnest(quantile_cont(val, [0.002, 0.5, 0.9985])) AS edge FROM sc WHERE feat = 1 GROUP BY feat), s AS (SELECT e.feat, edge, avg((val >= edge)::INT) AS p FROM e JOIN sc ON e.feat = sc.feat GROUP BY ALL) SELECT feat, round(edge, 6) AS edge, (CASE WHEN p <= 0 OR p >= 1 THEN 0 ELSE -(p * ln(p) + (1 - p) * ln(1 - p)) END) >= 0.05 AS alive FROM s"),
+    "dead_bits": q(WIDECELLS, ", e AS (SELECT feat, unnest(quantile_cont(val, [0.002, 0.5, 0.9985])) AS edge FROM sc WHERE feat < 2 GROUP BY feat), s AS (SELECT e.feat, edge, avg((val >= edge)::INT) AS p FROM e JOIN sc ON e.feat = sc.feat GROUP BY ALL) SELECT feat, round(edge, 6) AS edge, (CASE WHEN p <= 0 OR p >= 1 THEN 0 ELSE -(p * ln(p) + (1 - p) * ln(1 - p)) END) >= 0.05 AS alive FROM s"),
     "sparse_prefix": q(WIDECELLS, "SELECT feat, CASE WHEN avg((val = 0)::INT) > 0.3 AND count(*) FILTER (val > 0) > 10 AND min(val) FILTER (val > 0) < max(val) FILTER (val > 0) THEN round(min(val) FILTER (val > 0) / 2, 6) END AS prefix FROM sc GROUP BY feat"),
     "threshold_quantise": q(MODEL, ", s AS (SELECT min(thresh::DOUBLE) AS zero, (max(thresh::DOUBLE) - min(thresh::DOUBLE)) / 65535 AS scale FROM th) SELECT bit, feat, least(greatest(round_even((thresh::DOUBLE - zero) / scale, 0), 0), 65535)::INT AS q, round(scale, 9) AS scale, round(zero, 9) AS zero, round((least(greatest(round_even((thresh::DOUBLE - zero) / scale, 0), 0), 65535) * scale + zero)::FLOAT::DOUBLE, 6) AS thresh FROM th, s"),
     "clause_mismatch": q(WRONG, "SELECT k::INT AS class, (1 - 2 * sg)::INT AS sign, c::INT AS clause, sum(w)::BIGINT AS wrong, count(*) FILTER (w = 0) AS perfect FROM outs GROUP BY k, sg, c"),
@@ -87,7 +91,7 @@ SQL = {
     "class_votes": q(VOTES, "SELECT row_id, k::INT AS class, v AS votes FROM votes"),
     "tm_predict": q(VOTES, "SELECT row_id, pred FROM pr"),
     "tm_predict_binary": q(WRONG, "SELECT row_id, (sum(o) FILTER (sg = 0)) > (sum(o) FILTER (sg = 1)) AS pred FROM outs WHERE k = 1 GROUP BY row_id"),
-    "clause_decode": q(MODEL, "SELECT cl.k::INT AS class, (1 - 2 * cl.sg)::INT AS sign, cl.c::INT AS clause, '[clamp=' || clamp || '] ' || coalesce(string_agg(CASE WHEN negated THEN 'NOT (' ELSE '(' END || 'bit_' || bit || ' >= ' || printf('%.4f', thresh::DOUBLE) || ')', ' AND ' ORDER BY bit, negated), '') AS text FROM cl LEFT JOIN lit USING (k, sg, c) LEFT JOIN th USING (bit) GROUP BY cl.k, cl.sg, cl.c, clamp"),
+    "clause_decode": q(MODEL, "SELECT cl.k::INT AS class, (1 - 2 * cl.sg)::INT AS sign, cl.c::INT AS clause, '[clamp=' || clamp || '] ' || coalesce(string_agg(CASE WHEN negated THEN 'NOT (' ELSE '(' END || 'bit_' || bit || ' >= ' || printf('%.4g', thresh::DOUBLE) || ')', ' AND ' ORDER BY bit, negated), '') AS text FROM cl LEFT JOIN lit USING (k, sg, c) LEFT JOIN th USING (bit) GROUP BY cl.k, cl.sg, cl.c, clamp"),
     "literal_stats": q(MODEL, "SELECT k::INT AS class, (1 - 2 * sg)::INT AS sign, count(*) AS clauses, sum(n)::BIGINT AS literals, round(avg(n), 9) AS mean_literals, count(*) FILTER (n = 0) AS empty, round(sum(n) / (count(*) * 2.0 * (SELECT count(*) FROM th)), 9) AS density FROM cl GROUP BY k, sg"),
     "clause_layout": q(MODEL, ", o AS (SELECT *, row_number() OVER (ORDER BY k, sg, c) - 1 AS r FROM cl) SELECT k::INT AS class, (1 - 2 * sg)::INT AS sign, min(r)::INT AS start, (max(r) + 1)::INT AS stop FROM o GROUP BY k, sg"),
     "mask_to_index": q(MODEL, "SELECT cl.k::INT AS class, (1 - 2 * cl.sg)::INT AS sign, cl.c::INT AS clause, coalesce(string_agg(bit::VARCHAR, ',' ORDER BY bit) FILTER (NOT negated), '') AS pos, coalesce(string_agg(bit::VARCHAR, ',' ORDER BY bit) FILTER (negated), '') AS neg FROM cl LEFT JOIN lit USING (k, sg, c) GROUP BY cl.k, cl.sg, cl.c"),
@@ -95,7 +99,7 @@ SQL = {
     "dense_sparse_match": q(LINE, "SELECT count(*) AS compared, count(*) AS equal FROM fx"),
     "strategies_agree": q(LINE, "SELECT count(*) AS compared, count(*) AS equal FROM fx"),
     "clamp_rule": q(MODEL, "SELECT n AS literals, lf::INT AS lf, (CASE WHEN n > 0 AND n < lf THEN n ELSE lf END)::INT AS clamp FROM (SELECT DISTINCT n FROM cl), (VALUES (4), (6), (15)) v(lf)"),
-    "update_prob": "SELECT v::INT AS v, own, w::DOUBLE AS w, greatest(0, least(1, (CASE WHEN own THEN 10 - v ELSE 10 + v END) / 20.0 * w))::DOUBLE AS p FROM range(-10, 11) r(v), (VALUES (true), (false)) o(own), (VALUES (0.5), (1.0), (3.0)) x(w)",
+    "update_prob": q(VOTES, ", d AS (SELECT k::INT AS class, y = k AS own, least(10, greatest(-10, v)) AS v FROM votes JOIN fx USING (row_id)) SELECT class, own, count(*) AS n, round(avg((CASE WHEN own THEN 10 - v ELSE 10 + v END) / 20.0::DOUBLE), 9) AS p FROM d GROUP BY ALL"),
     "model_prune": q(VOTES, "SELECT row_id, k::INT AS class, v AS votes FROM votes"),
     "confusion": q(CONF, "SELECT y, pred, n FROM cm"),
     "accuracy": q(CONF, "SELECT round(sum(n) FILTER (y = pred) / sum(n), 9) AS accuracy FROM cm"),
@@ -115,22 +119,56 @@ SQL = {
     "knn_predict": q(EMBED, ", d AS (SELECT a.vec_id, b.vec_id AS o, b.y, list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)) AS d FROM em a, em b WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, o) AS r FROM d) WHERE r <= 5), n AS (SELECT vec_id, y, count(*) AS n FROM t GROUP BY ALL) SELECT vec_id, arg_max(y, n * 1000 - y)::INT AS pred FROM n GROUP BY vec_id"),
     "stratified_split": q(LINE, ", c AS (SELECT y, quantile_cont(row_id::DOUBLE, 0.8) AS cut FROM fx GROUP BY y) SELECT y::INT AS y, count(*) FILTER (row_id <= cut) AS train, count(*) FILTER (row_id > cut) AS test FROM fx JOIN c USING (y) GROUP BY y"),
     "class_weight_lookup": q(LINE, "SELECT y::INT AS y, count(*) AS n, coalesce(CASE y WHEN 0 THEN 2.0 WHEN 2 THEN 0.5 END, 1.0)::DOUBLE AS w FROM fx GROUP BY y"),
-    "tree_offsets": "SELECT t::INT AS tree, (15 * t)::BIGINT AS offset FROM range(5) r(t)",
-    "best_checkpoint": f"SELECT epoch, f1::DOUBLE AS f1 FROM {HISTORY} ORDER BY f1 DESC, epoch LIMIT 1",
-    "running_best": f"SELECT epoch, max(acc) OVER (ORDER BY epoch)::DOUBLE AS best, (acc > coalesce(max(acc) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)) AS improved FROM {HISTORY}",
-    "topk_models": f"SELECT epoch, acc::DOUBLE AS acc FROM {HISTORY} ORDER BY acc DESC, epoch LIMIT 2",
-    "summary_upsert": f"SELECT model, max(acc)::DOUBLE AS acc FROM {RESULTS} WHERE dataset = 'dense' AND model <> 'clauses' GROUP BY model UNION ALL SELECT 'clauses', 0.99",
-    "report_sorted": f"SELECT row_number() OVER (ORDER BY us)::INT AS place, printf('%-10s|%-8s|%10.2f|%8.4f', model, dataset, us, acc) AS line FROM {RESULTS}",
-    "model_gap": f"SELECT a.dataset, round(a.us / b.us, 6)::DOUBLE AS ratio, round(a.acc - b.acc, 6)::DOUBLE AS gain FROM (SELECT * FROM {RESULTS} WHERE model = 'clauses') a JOIN (SELECT * FROM {RESULTS} WHERE model = 'tree') b USING (dataset)",
+    "tree_offsets": "SELECT n_regionkey::INT AS tree, coalesce(sum(count(*)) OVER (ORDER BY n_regionkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset FROM nation GROUP BY n_regionkey",
+    "best_checkpoint": q(HISTORY, "SELECT epoch, f1 FROM h ORDER BY f1 DESC, epoch LIMIT 1"),
+    "running_best": q(HISTORY, "SELECT epoch, max(acc) OVER (ORDER BY epoch) AS best, acc > coalesce(max(acc) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS improved FROM h"),
+    "topk_models": q(HISTORY, "SELECT epoch, acc FROM h ORDER BY acc DESC, epoch LIMIT 2"),
     "cycle_sample": "SELECT i::BIGINT AS i, n_nationkey::BIGINT AS n_nationkey FROM range(100) r(i) JOIN nation ON n_nationkey = i % 25",
     "replicate": "SELECT n_regionkey::BIGINT AS n_regionkey, count(*) AS n FROM nation, range(4) r(i) GROUP BY n_regionkey",
-    "full_convolution": "WITH a AS (SELECT i, j, (i * 3 + j * 2) % 5 - 1 AS v FROM range(3) x(i), range(3) y(j)), k AS (SELECT i, j, i * 2 - j + 1 AS v FROM range(2) x(i), range(2) y(j)) SELECT (a.i + k.i)::INT AS i, (a.j + k.j)::INT AS j, sum(a.v * k.v)::BIGINT AS v FROM a, k GROUP BY ALL",
-    "parse_bool_text": "SELECT r::INT AS row_id, (i - 1)::INT AS bit, lower(string_split(s, ' ')[i]) IN ('1', 'true') AS on_ FROM (VALUES (0, '1 0 1 1'), (1, 'true false TRUE 0'), (2, '0 0 0 1')) v(r, s), range(1, 5) t(i)",
-    "rule_json": "SELECT * FROM (VALUES (0, 1, 0, 3, '0,2', '5'), (0, -1, 0, 8, '1', ''), (1, 1, 0, 2, '', '3,4'), (1, -1, 0, 8, '', '')) v(class, sign, clause, clamp, pos, neg)",
     "string_table": "SELECT p_brand AS s, strlen(p_brand)::INT AS n FROM part GROUP BY p_brand",
-    "scaler_membership": f"SELECT DISTINCT model, model IN ('linear', 'svm', 'bayes', 'knn') AS scaled FROM {RESULTS}",
     "density_stats": q(MODEL, "SELECT count(*) AS clauses, sum(n)::BIGINT AS literals, round(avg(n), 9) AS mean, (SELECT count(*) FROM th) AS n_bits, (6 * 2 + count(*) * (1 + 2 * ceil((SELECT count(*) FROM th) / 8.0)))::BIGINT AS dense_bytes, (6 * 2 + count(*) * 5 + 2 * sum(n))::BIGINT AS sparse_bytes FROM cl"),
     "event_scores_hourly": "SELECT date_trunc('hour', ts) AS hour, (CASE WHEN value >= 50 THEN 1 ELSE 0 END)::INT AS pred, count(*) AS n FROM events GROUP BY ALL",
+    "checkpoint_history": q(HISTORY, "SELECT epoch, acc, f1 FROM h"),
+}
+
+RESULTS = q(CONF, f""", p AS (SELECT 'clauses' AS model, y, pred FROM fx JOIN pr USING (row_id) UNION ALL SELECT 'tree', y, {TREE} FROM fx
+UNION ALL SELECT 'forest', y, pred FROM ({SQL["rf_vote"]}) JOIN fx USING (row_id) UNION ALL SELECT 'linear', y, pred FROM ({SQL["linear_multi"]}) JOIN fx USING (row_id))
+SELECT model, round(avg((y = pred)::INT), 9) AS acc FROM p GROUP BY model""")
+#: Sums of the archives' arrays: those of the tree of depth three, shifted by t, and of the other literal models.
+ARCHIVES = f"""WITH leaf AS (SELECT t, k FROM range(5) a(t), (SELECT unnest([0, 1, 2, 0, 1, 2, 0, 1]) AS k) b),
+one AS (SELECT t, 15 AS n, 4 AS feat, 70025.14 + t AS thresh, 41 + 105 * t AS l, 48 + 105 * t AS r, (SELECT sum((k + leaf.t) % 3) FROM leaf WHERE leaf.t = r.t) AS c FROM range(5) r(t)),
+trees AS (SELECT 'tree.npz' AS file, * FROM one WHERE t = 0 UNION ALL SELECT 'forest.npz', * FROM one),
+bayes AS (SELECT feat, y, avg(val::DOUBLE) AS m, greatest(var_pop(val::DOUBLE), 1e-9) AS v FROM ({q(CELLS, "SELECT feat, y, val FROM cells JOIN fx USING (row_id) WHERE feat < 2")}) GROUP BY ALL),
+found AS (SELECT file, 'feat' AS "array", sum(n) AS n, sum(feat) AS total FROM trees GROUP BY file UNION ALL SELECT file, 'thresh', sum(n), sum(thresh) FROM trees GROUP BY file
+UNION ALL SELECT file, 'left', sum(n), sum(l) FROM trees GROUP BY file UNION ALL SELECT file, 'right', sum(n), sum(r) FROM trees GROUP BY file UNION ALL SELECT file, 'leaf_cls', sum(n), sum(c) FROM trees GROUP BY file
+UNION ALL SELECT 'forest.npz', 'tree_roots', 5, 150 UNION ALL SELECT 'linear.npz', 'coef', 12, 6 UNION ALL SELECT 'linear.npz', 'intercept', 3, 3
+UNION ALL SELECT 'linear.npz', 'scaler_mean', 4, 32 + 32768 + 0.0625 + 0.03125 UNION ALL SELECT 'linear.npz', 'scaler_scale', 4, 16 + 16384 + 0.03125 + 0.015625
+UNION ALL SELECT 'bayes.npz', 'theta', count(*), sum(m) FROM bayes UNION ALL SELECT 'bayes.npz', 'var', count(*), sum(v) FROM bayes
+UNION ALL SELECT 'bayes.npz', 'class_log_prior', count(*), sum(p) FROM ({q(LINE, "SELECT ln(count(*) / (SELECT count(*) FROM fx)) AS p FROM fx GROUP BY y")}) UNION ALL SELECT 'bayes.npz', 'classes', count(DISTINCT y), 3 FROM bayes
+UNION ALL SELECT 'perceptron.npz', 'n_layers', 1, 2 UNION ALL SELECT 'perceptron.npz', 'b0', 8, 0 UNION ALL SELECT 'perceptron.npz', 'b1', 10, 0
+UNION ALL SELECT 'perceptron.npz', 'W0', 512, sum(((i * 7 + o * 3) % 11 - 5) / 8.0) FROM range(64) a(i), range(8) b(o) UNION ALL SELECT 'perceptron.npz', 'W1', 80, sum(((i * 5 + o) % 7 - 3) / 4.0) FROM range(8) a(i), range(10) b(o))
+SELECT file, "array", n::BIGINT AS n, round(total::DOUBLE, 3) AS total FROM found"""
+SUPPLIER = "s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS row_id, s_suppkey, s_nationkey, s_acctbal, (s_nationkey % 3)::INT AS y, CASE WHEN s_acctbal::FLOAT <= 0 THEN 0 WHEN s_acctbal::FLOAT <= 5000 THEN 1 ELSE 2 END AS pred FROM supplier)"
+PREDICTED = {"tree": "dt_predict", "forest": "rf_vote", "linear": "linear_multi", "bayes": "gnb_predict", "perceptron": "mlp_predict"}
+SQL |= {
+    "summary_upsert": RESULTS,
+    "report_sorted": f"SELECT row_number() OVER (ORDER BY round(acc, 4) DESC, model)::INT AS place, printf('%-10s|%8.4f', model, round(acc, 4)) AS line FROM ({RESULTS})",
+    "model_gap": f"WITH r AS ({RESULTS}) SELECT b.model, round(a.acc / b.acc, 6) AS ratio, round(a.acc - b.acc, 6) AS gain FROM r a JOIN r b ON a.model = 'clauses' AND b.model <> 'clauses'",
+    "scaler_membership": f"SELECT model, model IN ('linear', 'bayes', 'neighbours') AS scaled FROM ({RESULTS})",
+    "parameter_counts": q(MODEL, "SELECT k::INT AS class, (count(*) * 2 * (SELECT count(*) FROM th))::BIGINT AS before, sum(n)::BIGINT AS after FROM cl GROUP BY k"),
+    "deploy_scores": f"SELECT * FROM ({SQL['tm_predict']}) ORDER BY row_id LIMIT 10",
+    "full_convolution": "WITH a AS (SELECT n_regionkey::INT AS i, (n_nationkey % 5)::INT AS j, sum(n_nationkey - 7) AS v FROM nation GROUP BY ALL), k AS (SELECT r_regionkey % 2 AS p, r_regionkey // 2 AS q, r_regionkey - 1 AS w FROM region) SELECT (i + p)::INT AS i, (j + q)::INT AS j, sum(v * w)::BIGINT AS v FROM a, k GROUP BY ALL",
+    "shuffled": "SELECT n_nationkey::BIGINT AS n_nationkey, (row_number() OVER (ORDER BY md5('7:' || n_nationkey), n_nationkey) - 1)::BIGINT AS place FROM nation",
+    "parse_bool_text": "SELECT (row_number() OVER (PARTITION BY b ORDER BY n_nationkey) - 1)::INT AS row_id, b::INT AS bit, (n_nationkey::BIGINT >> b) & 1 = 1 AS on_ FROM nation, range(5) r(b)",
+    "rule_json": q(MODEL, "SELECT shape, cl.k::INT AS class, (1 - 2 * cl.sg)::INT AS sign, cl.c::INT AS clause, clamp::INT AS clamp, coalesce(string_agg(bit::VARCHAR, ',' ORDER BY bit) FILTER (NOT negated), '') AS pos, coalesce(string_agg(bit::VARCHAR, ',' ORDER BY bit) FILTER (negated), '') AS neg FROM (VALUES ('listed'), ('mapped')) s(shape) CROSS JOIN cl LEFT JOIN lit USING (k, sg, c) GROUP BY ALL"),
+    "model_folder_scan": q(MODEL, "SELECT file, cl.k::INT AS class, (1 - 2 * cl.sg)::INT AS sign, cl.c::INT AS clause, clamp::INT AS clamp, (count(bit) FILTER (NOT negated))::INT AS n_pos, (count(bit) FILTER (negated))::INT AS n_neg FROM (VALUES ('dense.fbz'), ('sparse.fbz')) s(file) CROSS JOIN cl LEFT JOIN lit USING (k, sg, c) GROUP BY ALL"),
+    "binariser_tsv_scan": SQL["threshold_table"],
+    "binariser_json_scan": f"SELECT 'plain' AS form, bit, feat, round(thresh::DOUBLE, 6) AS thresh FROM ({SQL['threshold_table']}) UNION ALL SELECT 'quantised', bit, feat, thresh FROM ({SQL['threshold_quantise']})",
+    "raw_matrix_scan": f"WITH {SUPPLIER} SELECT row_id, s_suppkey::DOUBLE AS x0, s_nationkey::DOUBLE AS x1, round(s_acctbal::FLOAT::DOUBLE, 2) AS x2 FROM s",
+    "file_scores": f"WITH {SUPPLIER}, k AS (SELECT y AS c FROM s UNION SELECT pred FROM s), f AS (SELECT c, 2 * count(*) FILTER (y = c AND pred = c) / (count(*) FILTER (y = c) + count(*) FILTER (pred = c)) AS f FROM s, k GROUP BY c) SELECT (SELECT count(*) FROM s) AS n_rows, (SELECT round(avg((y = pred)::INT), 9) FROM s) AS accuracy, round(avg(f), 9) AS f1 FROM f",
+    "archive_scan": ARCHIVES,
+    "dispatch_scores": " UNION ALL ".join(f"SELECT '{name}' AS model, '{name}' AS kind, pred::INT AS pred, count(*) AS n FROM ({SQL[name_of]}) GROUP BY pred" for name, name_of in PREDICTED.items()),
+    "dataset_registry": "SELECT 'lines' AS dataset, count(*) AS n FROM lineitem UNION ALL SELECT 'vectors', count(*) FROM embeddings",
 }
 SQL["clause_xor"] = SQL["clause_mismatch"]
-SQL["tm_predict_relational"] = SQL["tm_predict_sparse"] = SQL["tm_predict_expression"] = SQL["tm_predict"]
+SQL["fbz_file_predict"] = SQL["fbz_sparse_file_predict"] = SQL["flat_file_predict"] = SQL["tmpy_file_predict"] = SQL["model_directory_predict"] = SQL["tm_predict_relational"] = SQL["tm_predict_sparse"] = SQL["tm_predict_expression"] = SQL["tm_predict"]

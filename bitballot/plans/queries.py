@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from bitballot.functions import bits as B
 from bitballot.operators import baselines, clauses, fit, metrics
 from bitballot.operators import train as training
+from bitballot.operators import models as model_files
+from bitballot.plans import files
 from bitballot.plans import fixtures as fx
-from bitballot.sources import formats, readers
+from bitballot.plans.files import LINEAR, SCALER, perceptron, shifted_tree
+from bitballot.sources import catalogue, formats, readers
+from bitballot.sources.scratch import Folder
 
 COLUMNS = list(fx.FEATURES)
-QUERIES = {}
+QUERIES = dict(files.QUERIES)
 
 
 def query(f):
@@ -170,7 +174,7 @@ def bit_entropy(spark, sf_dir):
 
 @query
 def dead_bits(spark, sf_dir):
-    c = all_cells(spark, sf_dir).where("feat = 1")
+    c = dense_cells(spark, sf_dir)
     e = fit.quantiles(c, [0.002, 0.5, 0.9985]).select("feat", "edge")
     return fit.bit_entropy(c, e).select("feat", F.round("edge", 6).alias("edge"), (F.col("entropy") >= fit.FLOOR).alias("alive"))
 
@@ -237,7 +241,7 @@ def tm_predict(spark, sf_dir):
 
 @query
 def tm_predict_relational(spark, sf_dir):
-    return clauses.argmax(clauses.votes_relational(*_args(spark, sf_dir)))
+    return clauses.predict_relational(*_args(spark, sf_dir))
 
 
 @query
@@ -247,13 +251,16 @@ def tm_predict_sparse(spark, sf_dir):
 
 @query
 def tm_predict_expression(spark, sf_dir):
-    return clauses.argmax(clauses.votes_expression(*_args(spark, sf_dir)))
+    return clauses.predict_expression(*_args(spark, sf_dir))
 
 
 @query
 def tm_predict_binary(spark, sf_dir):
     """Positive votes over negative ones; a tie is false."""
-    return team_votes(spark, sf_dir).where("class = 1").select("row_id", (F.col("positive") > F.col("negative")).alias("pred"))
+    df, m = with_model(spark, sf_dir)
+    one = np.flatnonzero(m.cls == 1)  # the other classes' clauses are not scored
+    m = clauses.ClauseModel(m.feat, m.thresh, m.cls[one], m.sign[one], m.clause[one], m.clamp[one], m.pos[one], m.neg[one], m.classes)
+    return clauses.votes_relational(df, COLUMNS, m).select("row_id", (F.col("votes") > 0).alias("pred"))
 
 
 @query
@@ -329,9 +336,27 @@ def clamp_rule(spark, sf_dir):
 
 @query
 def update_prob(spark, sf_dir):
-    d = spark.range(-10, 11).select(F.col("id").cast("int").alias("v")).withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("w", F.explode(F.array(F.lit(0.5), F.lit(1.0), F.lit(3.0))))
-    p = F.when(F.col("own"), 10 - F.col("v")).otherwise(10 + F.col("v")) / F.lit(20.0) * F.col("w")
-    return d.withColumn("p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)))
+    """Mean chance of feedback by class, for samples of the class and for others, from the votes of all rows."""
+    df, m = with_model(spark, sf_dir)
+    votes = clauses.predict(df, COLUMNS, m, ("row_id", "y")).select("y", F.posexplode("votes").alias("class", "v"))
+    d = votes.select("class", (F.col("y") == F.col("class")).alias("own"), "v")
+    p = training.update_chance(10, F.col("v"), F.col("own"))
+    return r9(d.groupBy("class", "own").agg(F.count("*").alias("n"), F.avg(p).alias("p")))
+
+
+@query
+def parameter_counts(spark, sf_dir):
+    """By class, the automata of a model in training (a literal and its negation a bit and clause) and the literals that a compiled one holds."""
+    m = with_model(spark, sf_dir)[1]
+    n = F.size("pos") + F.size("neg")
+    d = rows_of(spark, m.rows(), "class int, sign int, clause int, clamp int, pos array<int>, neg array<int>")
+    return d.groupBy("class").agg((F.count("*") * 2 * len(m.feat)).alias("before"), F.sum(n).alias("after"))
+
+
+@query
+def deploy_scores(spark, sf_dir):
+    """The first ten predictions by identifier, as the command line shows them."""
+    return tm_predict(spark, sf_dir).orderBy("row_id").limit(10)
 
 
 @query
@@ -398,12 +423,6 @@ def class_union(spark, sf_dir):
 # ---- baselines ----
 
 
-def shifted_tree(t: int) -> dict[int, tuple]:
-    """A tree of depth three: node -> (feature, threshold, left, right, class)."""
-    leaf = lambda k: (-1, 0.0, -1, -1, (k + t) % 3)
-    return {0: (0, 25.0 + t, 1, 2, 0), 1: (1, 20000.0 + 500 * t, 3, 4, 0), 2: (2, 0.03, 5, 6, 0), 3: (2, 0.05, 7, 8, 0), 4: (3, 0.04, 9, 10, 0), 5: (1, 50000.0 - 500 * t, 11, 12, 0), 6: (3, 0.02, 13, 14, 0), 7: leaf(0), 8: leaf(1), 9: leaf(2), 10: leaf(0), 11: leaf(1), 12: leaf(2), 13: leaf(0), 14: leaf(1)}
-
-
 @query
 def dt_predict(spark, sf_dir):
     return baselines.predict_tree(fx.line(spark, sf_dir), shifted_tree(0), COLUMNS)
@@ -415,7 +434,7 @@ def rf_vote(spark, sf_dir):
 
 
 def scaled():
-    return baselines.scaled(COLUMNS, [32.0, 32768.0, 0.0625, 0.03125], [16.0, 16384.0, 0.03125, 0.015625])
+    return baselines.scaled(COLUMNS, *SCALER)
 
 
 @query
@@ -425,7 +444,7 @@ def standard_scale(spark, sf_dir):
 
 @query
 def linear_multi(spark, sf_dir):
-    return baselines.predict_linear(fx.line(spark, sf_dir), scaled(), [[2, -1, 3, -1], [-1, 2, 0, 1], [1, -1, -1, 2]], [1, 0, 2])
+    return baselines.predict_linear(fx.line(spark, sf_dir), scaled(), *LINEAR)
 
 
 @query
@@ -445,10 +464,7 @@ def embeddings(spark, sf_dir):
 
 @query
 def mlp_predict(spark, sf_dir):
-    i, o = np.arange(64)[:, None], np.arange(8)
-    w1 = ((i * 7 + o * 3) % 11 - 5) / 8
-    w2 = ((np.arange(8)[:, None] * 5 + np.arange(10)) % 7 - 3) / 4
-    return baselines.predict_mlp(embeddings(spark, sf_dir), "x", [(w1, np.zeros(8)), (w2, np.zeros(10))])
+    return baselines.predict_mlp(embeddings(spark, sf_dir), "x", perceptron())
 
 
 @query
@@ -459,8 +475,8 @@ def knn_predict(spark, sf_dir):
 
 @query
 def tree_offsets(spark, sf_dir):
-    trees = [shifted_tree(t) for t in range(5)]
-    return baselines.tree_offsets(rows_of(spark, [(t, n) for t, nodes in enumerate(trees) for n in nodes], "tree int, node int"))
+    """Node offsets of trees: here the nations of each region."""
+    return baselines.tree_offsets(spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("cast(n_regionkey as int) tree", "n_nationkey node"))
 
 
 # ---- splits, training, reports ----
@@ -490,56 +506,71 @@ def train_model(spark, sf_dir):
     return training.train(rows, len(m.feat), [0, 1, 2], clauses=10, epochs=2)
 
 
-HISTORY = [(1, 0.50, 0.40), (2, 0.62, 0.55), (3, 0.60, 0.58), (4, 0.62, 0.58), (5, 0.61, 0.50)]
+def history(spark, sf_dir):
+    """Accuracy and F1 of four checkpoints: the fixture model with its first 5, 10, 15 and 20 clauses of a class and sign."""
+    df, m = with_model(spark, sf_dir)
+    models = {e: clauses.ClauseModel.of(m.feat, m.thresh, [r for r in m.rows() if r[2] < 5 * e], m.classes) for e in range(1, 5)}
+    return r9(training.history(training.evaluated(df, COLUMNS, models)))
 
 
-def history(spark):
-    return rows_of(spark, HISTORY, "epoch int, acc double, f1 double")
+@query
+def checkpoint_history(spark, sf_dir):
+    return history(spark, sf_dir)
 
 
 @query
 def best_checkpoint(spark, sf_dir):
-    best = F.max_by(F.struct("epoch", "f1"), F.struct("f1", -F.col("epoch")))
-    return history(spark).agg(best.alias("b")).select("b.*")
+    return training.best_checkpoint(history(spark, sf_dir))
 
 
 @query
 def running_best(spark, sf_dir):
-    w = W.orderBy("epoch")
-    before = F.max("acc").over(w.rowsBetween(W.unboundedPreceding, -1))
-    return history(spark).select("epoch", F.max("acc").over(w).alias("best"), (F.col("acc") > F.coalesce(before, F.lit(-1.0))).alias("improved"))
+    return training.running_best(history(spark, sf_dir))
 
 
 @query
 def topk_models(spark, sf_dir):
-    return history(spark).orderBy(F.desc("acc"), "epoch").limit(2).select("epoch", "acc")
-
-
-RESULTS = [("clauses", "dense", 6.5, 0.97), ("tree", "dense", 1.375, 0.95), ("forest", "dense", 848.0, 0.975), ("linear", "dense", 7.75, 0.70), ("clauses", "sparse", 7.5, 0.87), ("tree", "sparse", 1.5, 0.88)]
+    return training.best_models(history(spark, sf_dir), 2)
 
 
-def results(spark):
-    return rows_of(spark, RESULTS, "model string, dataset string, us double, acc double")
+def results(spark, sf_dir):
+    """model, acc: the share of rows that each model predicts right."""
+    df, m = with_model(spark, sf_dir)
+    keep = ("row_id", "y")
+    found = {
+        "clauses": clauses.predict(df, COLUMNS, m, keep),
+        "tree": baselines.predict_tree(df, shifted_tree(0), COLUMNS, keep),
+        "forest": baselines.predict_forest(df, [shifted_tree(t) for t in range(5)], COLUMNS, keep),
+        "linear": baselines.predict_linear(df, scaled(), *LINEAR, keep),
+    }
+    out = None
+    for name, p in found.items():
+        told = metrics.accuracy(p).select(F.lit(name).alias("model"), F.round("accuracy", 9).alias("acc"))
+        out = told if out is None else out.unionByName(told)
+    return out
 
 
 @query
 def summary_upsert(spark, sf_dir):
-    old = results(spark).where("dataset = 'dense'").select("model", "acc")
-    return readers.upsert(old, rows_of(spark, [("clauses", 0.99)], "model string, acc double"), "model")
+    """A summary of results that has an old row of one model, brought up to date."""
+    new = results(spark, sf_dir)
+    old = new.withColumn("acc", F.when(F.col("model") == "clauses", F.lit(0.0)).otherwise(F.col("acc")))
+    return readers.upsert(old, new.where("model = 'clauses'"), "model")
 
 
 @query
 def report_sorted(spark, sf_dir):
-    place = F.row_number().over(W.orderBy("us"))
-    return results(spark).select(place.alias("place"), F.format_string("%-10s|%-8s|%10.2f|%8.4f", "model", "dataset", "us", "acc").alias("line"))
+    """The report's lines, most accurate first, as they are written to a text file."""
+    r = results(spark, sf_dir).select("model", F.round("acc", 4).alias("acc"))
+    return catalogue.report(r, "%-10s|%8.4f", [F.desc("acc"), F.col("model")], Folder(spark).path("report"))
 
 
 @query
 def model_gap(spark, sf_dir):
-    r = results(spark)
-    a = r.where("model = 'clauses'").select("dataset", F.col("us").alias("u"), F.col("acc").alias("c"))
-    b = r.where("model = 'tree'").select("dataset", "us", "acc")
-    return a.join(b, "dataset").select("dataset", F.round(F.col("u") / F.col("us"), 6).alias("ratio"), F.round(F.col("c") - F.col("acc"), 6).alias("gain"))
+    r = results(spark, sf_dir)
+    a = r.where("model = 'clauses'").agg(F.first("acc").alias("c"))
+    b = r.where("model <> 'clauses'")
+    return b.join(F.broadcast(a)).select("model", F.round(F.col("c") / F.col("acc"), 6).alias("ratio"), F.round(F.col("c") - F.col("acc"), 6).alias("gain"))  # one row broadcast
 
 
 @query
@@ -556,9 +587,17 @@ def replicate(spark, sf_dir):
 
 @query
 def full_convolution(spark, sf_dir):
-    a = rows_of(spark, [(i, j, (i * 3 + j * 2) % 5 - 1) for i in range(3) for j in range(3)], "i int, j int, v long")
-    k = rows_of(spark, [(i, j, i * 2 - j + 1) for i in range(2) for j in range(2)], "p int, q int, w long")
-    return convolve(a, k)
+    """Nations as a matrix by region and key, spread by a kernel made of the regions."""
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    a = nation.groupBy(F.col("n_regionkey").cast("int").alias("i"), F.expr("cast(n_nationkey % 5 as int)").alias("j")).agg(F.sum(F.col("n_nationkey").cast("long") - 7).alias("v"))
+    return convolve(a, region.selectExpr("cast(r_regionkey % 2 as int) p", "cast(r_regionkey div 2 as int) q", "cast(r_regionkey as bigint) - 1 w"))
+
+
+@query
+def shuffled(spark, sf_dir):
+    """Nations in an order by hash, the same for the same seed."""
+    d = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("n_nationkey"))
+    return training.shuffled(d, "n_nationkey", 7)
 
 
 def convolve(a: DataFrame, kernel: DataFrame) -> DataFrame:
@@ -567,32 +606,18 @@ def convolve(a: DataFrame, kernel: DataFrame) -> DataFrame:
     return d.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
-@query
-def parse_bool_text(spark, sf_dir):
-    d = rows_of(spark, [(0, "1 0 1 1"), (1, "true false TRUE 0"), (2, "0 0 0 1")], "row_id int, value string")
-    c = d.select("row_id", F.posexplode(F.split("value", " ")).alias("bit", "v"))
-    return c.select("row_id", "bit", F.lower("v").isin("1", "true").alias("on_"))
-
-
-@query
-def rule_json(spark, sf_dir):
-    text = '{"classes": {"a": {"positive": [{"clamp": 3, "include": [0, 2], "include_inverted": [5]}], "negative": [{"include": [1]}]}, "b": {"positive": [{"clamp": 2, "include_inverted": [3, 4]}], "negative": [{"clamp": 0}]}}, "LF": 8}'
-    m = formats.rules_json(text, np.zeros(6), np.zeros(6))
-    told = [(k, s, c, w, ",".join(map(str, p)), ",".join(map(str, n))) for k, s, c, w, p, n in m.rows()]
-    return rows_of(spark, told, "class int, sign int, clause int, clamp int, pos string, neg string")
-
-
 @query
 def string_table(spark, sf_dir):
     """Strings through the counted layout of the files and back."""
-    brands = [r[0] for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand").distinct().orderBy("p_brand").limit(65_535).collect()]
+    brands = [r[0] for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand").distinct().orderBy("p_brand").limit(65_536).collect()]  # the layout counts to 65 535; more are refused
     back = formats.string_table(formats.packed_strings(brands))
     return rows_of(spark, [(s, len(s.encode())) for s in back], "s string, n int")
 
 
 @query
 def scaler_membership(spark, sf_dir):
-    return results(spark).select("model", F.col("model").isin("linear", "svm", "bayes", "knn").alias("scaled")).distinct()
+    """Which of the models with results take scaled features."""
+    return results(spark, sf_dir).select("model", F.col("model").isin(*model_files.SCALED).alias("scaled"))
 
 
 @query

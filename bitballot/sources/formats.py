@@ -40,6 +40,8 @@ class Cursor:
 
 def packed_strings(items: list[str]) -> bytes:
     raw = [s.encode() for s in items]
+    if len(raw) > 65_535 or any(len(b) > 65_535 for b in raw):
+        raise ValueError("at most 65 535 strings of 65 535 bytes")
     return struct.pack("<H", len(raw)) + b"".join(struct.pack("<H", len(b)) + b for b in raw)
 
 
@@ -175,20 +177,44 @@ def decode_tmpy(data: bytes) -> ClauseModel:
     return ClauseModel(feat, thresh, m[:, 0], m[:, 1], m[:, 2], m[:, 3], stack(pos), stack(neg), classes, [], names)
 
 
+#: Where the two JSON shapes keep the rules of the classes, the clauses for and against a class, the
+#: literals, the negated literals and the clamp of clauses without one.
+LISTED = {"rules": "class_rules", "for": "positive_clauses", "against": "negative_clauses", "in": "include", "out": "exclude", "clamp": ("config", "LF")}
+MAPPED = {"rules": "classes", "for": "positive", "against": "negative", "in": "include", "out": "include_inverted", "clamp": ("LF",)}
+#: The clamp where a file names none.
+USUAL_CLAMP = 15
+
+
+def within(spec, path: tuple[str, ...]):
+    for key in path:
+        spec = (spec or {}).get(key)
+    return spec
+
+
 def rules_json(text: str, feat, thresh) -> ClauseModel:
-    """Either JSON shape: a list of classes beside ``class_rules``, or a map of classes."""
+    """Either JSON shape: classes listed beside their rules, or mapped to them.  The shape's own place of the clamp counts before the other's."""
     spec = json.loads(text)
-    if isinstance(spec["classes"], list):
-        names, table, keys = spec["classes"], spec["class_rules"], ("positive_clauses", "negative_clauses", "exclude")
-    else:
-        names, table, keys = list(spec["classes"]), spec["classes"], ("positive", "negative", "include_inverted")
-    default = int((spec.get("config") or {}).get("LF") or spec.get("LF") or 15)
-    rows = []
-    for k, name in enumerate(names):
-        rules = table.get(name) or table.get(str(name)) or {}
-        for sign, key in ((1, keys[0]), (-1, keys[1])):
-            rows += [(k, sign, i, min(int(c.get("clamp") or default), 255), c.get("include") or [], c.get(keys[2]) or []) for i, c in enumerate(rules.get(key, []))]
-    return ClauseModel.of(feat, thresh, rows, len(names), class_names=[str(n) for n in names])
+    shape, other = (LISTED, MAPPED) if isinstance(spec["classes"], list) else (MAPPED, LISTED)
+    clamps = [c for c in (within(spec, s["clamp"]) for s in (shape, other)) if c]
+    usual = int(clamps[0]) if clamps else USUAL_CLAMP
+    names, table = [str(n) for n in spec["classes"]], spec[shape["rules"]]
+    rows = [
+        (k, sign, i, min(255, int(c.get("clamp") or usual)), c.get(shape["in"]) or [], c.get(shape["out"]) or [])
+        for k, name in enumerate(names)
+        for sign, side in ((1, "for"), (-1, "against"))
+        for i, c in enumerate((table.get(name) or {}).get(shape[side]) or [])
+    ]
+    return ClauseModel.of(feat, thresh, rows, len(names), class_names=names)
+
+
+def to_rules_json(model: ClauseModel, listed: bool = True) -> str:
+    """The clauses of a model in either shape, each with its clamp."""
+    shape = LISTED if listed else MAPPED
+    names = model.class_names or [str(k) for k in range(model.classes)]
+    rules = {n: {shape["for"]: [], shape["against"]: []} for n in names}
+    for k, sign, _, clamp, pos, neg in sorted(model.rows(), key=lambda r: (r[0], -r[1], r[2])):
+        rules[names[k]][shape["for" if sign > 0 else "against"]].append({"clamp": clamp, shape["in"]: pos, shape["out"]: neg})
+    return json.dumps({"classes": names, shape["rules"]: rules} if listed else {shape["rules"]: rules})
 
 
 def binariser_json(feat, thresh, n_features: int, n_bins: int, quantise: bool = False) -> str:

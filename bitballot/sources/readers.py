@@ -82,6 +82,41 @@ def npz(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
         return {k: z[k] for k in z.files}
 
 
+def archive_tables(spark: SparkSession, folder: str, pattern: str = "*.npz", leave_out: tuple[str, ...] = ()) -> DataFrame:
+    """file, array, i, j, value of the numeric arrays of every archive of a folder, but those named, decoded on the executors (a vector has j = 0)."""
+
+    def run(batches):
+        import zipfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                name = path.rsplit("/", 1)[-1]
+                with zipfile.ZipFile(io.BytesIO(content)) as entries:  # an array at a time
+                    for entry in entries.namelist():
+                        a = np.atleast_1d(np.lib.format.read_array(io.BytesIO(entries.read(entry)), allow_pickle=False))
+                        if a.dtype.kind not in "biuf":
+                            continue
+                        flat = a.reshape(len(a), -1) if len(a) else a.reshape(0, 1)
+                        for at in range(0, len(flat), max(1, 65_536 // flat.shape[1])):
+                            part = flat[at : at + max(1, 65_536 // flat.shape[1])]
+                            i, j = np.indices(part.shape)
+                            n = part.size
+                            yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array([entry.removesuffix(".npy")] * n, pa.string()), pa.array((i + at).ravel().astype(np.int64)), pa.array(j.ravel().astype(np.int64)), pa.array(part.ravel().astype(np.float64))], ["file", "array", "i", "j", "value"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
+    files = files.where(~F.element_at(F.split("path", "/"), -1).isin(list(leave_out))) if leave_out else files
+    return files.mapInArrow(run, "file string, array string, i long, j long, value double")
+
+
+def write_archive(spark: SparkSession, path: str, arrays: dict[str, np.ndarray]) -> int:
+    """Writes an archive of arrays to any store; returns its bytes."""
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return write_bytes(spark, path, out.getvalue())
+
+
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> int:
     """Writes a small file to any store that Spark writes."""
     jvm = spark.sparkContext._jvm
@@ -99,6 +134,50 @@ def matrix_bytes(x) -> bytes:
     return struct.pack("<II", *x.shape) + x.tobytes()
 
 
+class Sink:
+    """A stream to one file of any store that Spark writes."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        self.out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+
+    def __enter__(self):
+        return self
+
+    def write(self, data: bytes) -> None:
+        self.out.write(bytearray(data))
+
+    def __exit__(self, *_):
+        self.out.close()
+
+
+def chunks(df: DataFrame, size: int):
+    """The rows of an ordered frame, ``size`` at a time: one partition is on the driver at once."""
+    rows = []
+    for r in df.toLocalIterator():
+        rows.append(r)
+        if len(rows) == size:
+            yield rows
+            rows = []
+    if rows:
+        yield rows
+
+
+def write_matrix(spark: SparkSession, df: DataFrame, columns: list[str], path: str) -> None:
+    """The columns of an ordered frame as a raw matrix, a single file by its format, so written as a stream."""
+    with Sink(spark, path) as out:
+        out.write(struct.pack("<II", df.count(), len(columns)))
+        for rows in chunks(df.select(*columns), 65_536):
+            out.write(np.array([tuple(r) for r in rows], "<f4").tobytes())
+
+
+def write_labels(spark: SparkSession, df: DataFrame, column: str, path: str) -> None:
+    """A column of an ordered frame, a line a row."""
+    with Sink(spark, path) as out:
+        for rows in chunks(df.select(column), 65_536):
+            out.write("".join(f"{r[0]}\n" for r in rows).encode())
+
+
 class Rows(InputPartition):
     def __init__(self, start: int, end: int):
         self.start, self.end = start, end
@@ -151,5 +230,12 @@ def matrix(spark: SparkSession, path: str, rows_per_partition: int = 1 << 20) ->
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "Model") -> DataFrame:
-    """Rows of ``old`` whose key is not in ``new``, and those of ``new``."""
-    return old.join(F.broadcast(new.select(key).distinct()), key, "left_anti").select(old.columns).unionByName(new)
+    """Rows of ``old`` whose key is not in ``new``, and those of ``new``.  The planner chooses the join by the sizes."""
+    return old.join(new.select(key).distinct(), key, "left_anti").select(old.columns).unionByName(new)
+
+
+def matched(predictions: DataFrame, labels_: DataFrame, key: str = "row_id") -> DataFrame:
+    """Predictions with the labels of the same rows; an error if either side has rows that the other lacks."""
+    both = predictions.withColumn("_p", F.lit(1)).join(labels_.withColumn("_l", F.lit(1)), key, "full_outer")
+    lost = F.assert_true(F.col("_p").isNotNull() & F.col("_l").isNotNull(), "predictions and labels are of different rows")
+    return both.where(lost.isNull()).drop("_p", "_l")

@@ -147,7 +147,7 @@ def test_metrics_domains(spark):
 
 
 def test_trees_and_forest_tables(spark):
-    from bitballot.plans.queries import shifted_tree
+    from bitballot.plans.files import shifted_tree
 
     x = np.array([[25.0, 20000.0, 0.05, 0.04], [np.nan, 1, 1, 1], [26, 1, 0.03, 0.0]], np.float32)
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "row_id long, a float, b float, c float, d float")
