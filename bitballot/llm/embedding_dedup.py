@@ -1,22 +1,26 @@
 """Operator 1: near-duplicate embeddings by a robust-pruned flat graph.
 
-1. Equal vectors of a label are one point with its copies counted.  2. Centroids of a label come from a bounded,
-weighted sample; each point is home to its nearest centroid's shard and a guest in every shard where a point linked
-to it may be at home.  For unit vectors x at home with c and y with angle(x, y) at most the threshold's, y lies no
-deeper beyond the plane between the centroids than the sine of that angle, so that test loses nothing.  3. Each shard
-builds a flat graph of the points that have it among their two nearest, in growing batches: a greedy search finds
-candidates, robust pruning keeps a spread few of them.
+1. Equal vectors of a label are one point with its copies counted.  2. A label's points are one shard; a shard of more
+than twice ``SHARD`` points at home is dealt to the shards of some SHARD points around centroids of a bounded sample of
+it, and so on, so shards grow in number with the table, not in size.  Each point is home to its nearest centroid's
+shard and a guest in every shard where a point linked to it may be at home.  For unit vectors x at home with c and y
+with angle(x, y) at most the threshold's, y lies no deeper beyond the plane between the centroids than the sine of that
+angle, so that test loses nothing.  3. The points that have a shard among their two nearest get a flat graph there, in
+growing batches: a greedy search finds candidates, robust pruning keeps a spread few of them.
 4. The adjacency lists of a point from all its shards are united.  5. Every point at home searches the united graph of
 its shard from the medoid and from its own place; once a point in range is met, the search expands over all
-neighbours in range.  6. A sample of each block's searches is compared with all points of the shard; while recall is
-short, the beam is doubled, and in the end a block is compared in full.  7. Links are verified in double precision.
-
-A shard too large for a task is cut by blocks of points at home, each against all the shard's rows.  Components come
-from links between points; only a few of a point's links are needed for them: a link to each of its shard's local
+neighbours in range; a link met from either end counts for both.  6. A sample of each block's searches is compared with
+all its points; while the list of any of them lacks a link, the beam is doubled, and in the end, or where the sample
+has too few links to tell, the exact check covers the whole block and adds what is missed.  The recall that the searches had, by
+the points that were compared, is returned.  7. Links are verified in double precision.
+
+A shard that cannot be cut smaller, of vectors that all lie in range of each other, is worked by pairs of a block of
+BLOCK points at home and one of CAP points, so no task holds more than those.  Components come
+from links between points; only a few of a point's links are needed for them: a link to each of its block's local
 components.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite numbers, and rows with a null label, link with
-nothing; vectors of different lengths do not link; a null vec_id gets a row and no component of its own to give;
+nothing; vectors of different lengths do not link; a null vec_id gets a row and no component of its own to give, and is kept;
 repeated rows are vectors like others; an empty table gives an empty result; other columns are not read.
 """
 
@@ -29,8 +33,14 @@ from pyspark.sql import functions as F
 from bitballot.llm._common import Scratch
 from bitballot.llm._graph import components
 
-#: Points for a shard, rows of a label's sample, neighbours of a point, beam of a search, points at home in a block.
-SHARD, SAMPLE, DEGREE, BEAM, BLOCK = 512, 4096, 24, 32, 2048
+#: Points at home in a shard, rows of a shard's sample, neighbours of a point, beam of a search.
+SHARD, SAMPLE, DEGREE, BEAM = 4096, 4096, 24, 32
+#: The most shards that one is dealt to, and how often; points dealt in a task.
+FAN, LEVELS, DEAL = 256, 4, 1 << 15
+#: Points at home that are searched, and points that they are searched among, in a task.
+BLOCK, CAP = 2048, 8192
+#: Searches of a block that are compared in full; with fewer of them that have links, all are.
+AUDIT, TELLING = 64, 8
 
 
 def unit(x):
@@ -187,15 +197,16 @@ def both_ways(graph):
     return np.searchsorted(pairs, np.arange(n + 1) * n), pairs % n
 
 
-def ranged(x, graph, home, cosine: float, width: int):
-    """For each point at home the points in range that the search reaches, as lists of indexes."""
-    entry = np.stack([np.full(len(home), medoid(x)), home], axis=1)
-    entry[entry[:, 0] == home, 1] = -1
-    ids, sim = beam_search(x, graph, x[home], entry, width)
+def ranged(x, graph, queries, own, cosine: float, width: int):
+    """For each query (own: its place among the points, or -1) the points in range that the search reaches, as lists of indexes."""
+    entry = np.stack([np.full(len(queries), medoid(x)), own], axis=1)
+    entry[entry[:, 0] == own, 1] = -1
+    ids, sim = beam_search(x, graph, queries, entry, width)
     off, to = both_ways(graph)
     out = []
-    for q, i, s in zip(home.tolist(), ids, sim):
-        front = np.unique(np.append(i[s >= cosine], q))
+    for q, at, i, s in zip(queries, own.tolist(), ids, sim):
+        front = np.unique(np.append(i[s >= cosine], at))
+        front = front[front >= 0]
         inside = np.zeros(len(x), bool)
         inside[front] = True
         met = inside.copy()
@@ -204,43 +215,60 @@ def ranged(x, graph, home, cosine: float, width: int):
             near = to[np.arange(size.sum()) + np.repeat(off[front] - (np.cumsum(size) - size), size)]
             near = np.unique(near[~met[near]])
             met[near] = True
-            front = near[x[near] @ x[q] >= cosine]
+            front = near[x[near] @ q >= cosine]
             inside[front] = True
-        inside[q] = False
+        if at >= 0:
+            inside[at] = False
         out.append(np.flatnonzero(inside))
+    # a link met from one end only is one of the other end too
+    place = np.full(len(x), -1, np.int64)
+    place[own[own >= 0]] = np.flatnonzero(own >= 0)
+    back = [[] for _ in out]
+    for at, near in zip(own.tolist(), out):
+        if at >= 0:
+            for j in place[near][place[near] >= 0].tolist():
+                back[j].append(at)
+    return [np.union1d(near, b) if b else near for near, b in zip(out, back)]
+
+
+def compared(x, queries, own, cosine: float):
+    """The exact lists of the queries."""
+    out = []
+    for a in range(0, len(queries), 256):
+        for at, s in zip(own[a : a + 256], queries[a : a + 256] @ x.T >= cosine):
+            if at >= 0:
+                s[at] = False
+            out.append(np.flatnonzero(s))
     return out
 
 
-def block_links(x, graph, home, cosine: float, target: float = 0.995, audit: int = 64):
-    """Links of the points at home, audited: (lists, recall of the sample, beam); a beam of 0 means compared in full."""
-    width = BEAM
-    sample = np.linspace(0, len(home) - 1, min(audit, len(home))).astype(int)
-    true = []
-    for i in sample:
-        s = x @ x[home[i]] >= cosine
-        s[home[i]] = False
-        true.append(np.flatnonzero(s))
-    total = sum(map(len, true))
+def block_links(x, graph, queries, own, cosine: float, audit: int | None = None, telling: int | None = None):
+    """Links of the queries, audited: (lists, recall of the searches, beam); a beam of 0 means that all were compared."""
+    audit, telling, width = audit or AUDIT, telling or TELLING, BEAM
+    sample = np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int)
+    true = compared(x, queries[sample], own[sample], cosine)
+
+    def recall(found, true):
+        share = [len(np.intersect1d(f, t, assume_unique=True)) / len(t) for f, t in zip(found, true) if len(t)]
+        return float(np.mean(share)) if share else 1.0
+
     while True:
-        found = ranged(x, graph, home, cosine, width)
-        hit = sum(len(np.intersect1d(found[i], t)) for i, t in zip(sample, true))
-        recall = hit / total if total else 1.0
-        if recall >= target:
-            return found, recall, width
+        found = ranged(x, graph, queries, own, cosine, width)
+        if sum(len(t) > 0 for t in true) < telling:
+            break
+        got = recall([found[i] for i in sample], true)
+        if got == 1.0:
+            return found, got, width
         width *= 2
         if width > 4 * BEAM:
             break
-    found = []
-    for a in range(0, len(home), 256):
-        for q, s in zip(home[a : a + 256], x[home[a : a + 256]] @ x.T >= cosine):
-            s[q] = False
-            found.append(np.flatnonzero(s))
-    return found, 1.0, 0
+    exact = compared(x, queries, own, cosine)
+    return exact, recall(found, exact), 0
 
 
-def joined(n: int, lists, home):
-    """Few links that connect what ``lists`` connect: pairs (a, b) of a spanning forest."""
-    parent = list(range(n))
+def joined(ids, own, lists):
+    """Few links (query, point's number) that connect what ``lists`` connect: a spanning forest."""
+    parent = list(range(len(ids) + len(own)))
 
     def root(a):
         while parent[a] != a:
@@ -248,19 +276,90 @@ def joined(n: int, lists, home):
             a = parent[a]
         return a
 
-    out = []
-    for q, near in zip(home.tolist(), lists):
+    out = [[] for _ in lists]
+    for q, (at, near) in enumerate(zip(own.tolist(), lists)):
         for b in near.tolist():
-            r, s = root(q), root(b)
+            r, s = root(at if at >= 0 else len(ids) + q), root(b)
             if r != s:
                 parent[max(r, s)] = min(r, s)
-                out.append((q, b))
+                out[q].append(int(ids[b]))
     return out
 
 
+DEALT = "shard string, id long, copies long, x binary, home boolean, built boolean"
+
+
+def dealt_out(dealt: DataFrame, over: DataFrame, level: int, cosine: float) -> DataFrame:
+    """The rows of the shards in ``over`` (shard, n at home, m in all), dealt to shards around centroids of a sample.
+
+    Points and centroids meet in blocks of about DEAL points, read as a sorted stream with the centroids first.
+    """
+    rows = dealt.join(over, "shard")
+    chance = F.pmod(F.xxhash64(F.lit(level), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = rows.where("home").where(chance < F.lit(float(SAMPLE)) / F.col("n")).select("shard", "id", "x", "n", F.ceil(F.col("m") / DEAL).alias("blocks"))
+    shard_size, fan = SHARD, FAN
+
+    def centres(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("id")
+        x = np.stack([np.frombuffer(b) for b in pdf["x"]])
+        c = centroids(x, min(fan, max(2, round(pdf["n"].iloc[0] / shard_size)), len(x)))
+        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "blocks": pdf["blocks"].iloc[:1], "c": [c.tobytes()]})
+
+    heads = sample.groupBy("shard").applyInPandas(centres, "shard string, blocks long, c binary")
+    heads = heads.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("copies"), F.col("c").alias("x"), F.lit(True).alias("home"), F.lit(True).alias("built"))
+    rows = rows.select("shard", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / DEAL)).cast("long").alias("block"), "id", "copies", "x", "home", "built")
+    stream = rows.unionByName(heads).repartition("shard", "block").sortWithinPartitions(F.col("shard"), F.col("block"), F.col("id").asc_nulls_first())
+
+    def deal(batches):
+        import pyarrow as pa
+
+        c = None
+        types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_()]
+        for batch in batches:
+            shards, ids, copies, homes, built = (batch.column(k).to_pylist() for k in ("shard", "id", "copies", "home", "built"))
+            vectors, out, at = batch.column("x"), [], 0
+            while at < len(ids):
+                if ids[at] is None:
+                    c = np.frombuffer(vectors[at].as_buffer())
+                    at += 1
+                    continue
+                end = at
+                while end < len(ids) and ids[end] is not None:
+                    end += 1
+                x = np.stack([np.frombuffer(vectors[i].as_buffer()) for i in range(at, end)])
+                home, (p, s), near = places(x, c.reshape(-1, x.shape[1]), cosine)
+                out += [(f"{shards[at + a]}/{b}", ids[at + a], copies[at + a], x[a].tobytes(), homes[at + a] and bool(home[a] == b), built[at + a] and bool(n)) for a, b, n in zip(p.tolist(), s.tolist(), near)]
+                at = end
+            yield pa.RecordBatch.from_arrays([pa.array(list(k), t) for k, t in zip(zip(*out) if out else [[]] * 6, types)], ["shard", "id", "copies", "x", "home", "built"])
+
+    return stream.mapInArrow(deal, DEALT)
+
+
+def shards(points: DataFrame, scratch: Scratch, cosine: float) -> DataFrame:
+    """Rows (DEALT, n, m) of the points in all their shards, n at home and m in all."""
+    def units(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x = [unit([e])[0].tobytes() for e in batch.column("e").to_pylist()]
+            true = pa.array([True] * len(x), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("space"), batch.column("id"), batch.column("copies"), pa.array(x, pa.binary()), true, true], ["shard", "id", "copies", "x", "home", "built"])
+
+    dealt = scratch.save(points.select("space", "e", "id", "copies").mapInArrow(units, DEALT), "dealt")
+    count = lambda df: df.groupBy("shard").agg(F.sum(F.col("home").cast("long")).alias("n"), F.count("*").alias("m"))
+    for level in range(1, LEVELS + 1):
+        over = scratch.save(count(dealt).where(F.col("n") > 2 * SHARD), f"over-{level}")
+        if over.isEmpty():
+            break
+        rest = dealt.join(over, "shard", "left_anti")
+        dealt = scratch.save(rest.unionByName(dealt_out(dealt, over, level, cosine)), f"dealt-{level}")
+    return dealt.join(count(dealt), "shard")
+
+
 def dedup(rows: DataFrame, scratch: Scratch, cosine: float = 0.98) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of ``rows`` (vec_id, embedding, label)."""
-    spark = rows.sparkSession
+    """vec_id, n_links, component_id, kept and recall (of the searches of the row's block) for each row of ``rows`` (vec_id, embedding, label)."""
     v = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.col("label").cast("string").alias("label"))
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     sound = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("e").isNotNull() & finite & F.exists("e", lambda x: x != 0)
@@ -269,80 +368,55 @@ def dedup(rows: DataFrame, scratch: Scratch, cosine: float = 0.98) -> DataFrame:
     points = v.where("sound").groupBy("space", "e").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     points = scratch.save(points, "points")
 
-    sizes = {r[0]: r[1] for r in points.groupBy("space").count().collect()}  # one number per label
-    frames = {}
-    for space, n in sizes.items():
-        k = max(1, round(min(n, 256 * SHARD) / SHARD))
-        share = min(1.0, SAMPLE / n)
-        rows_ = points.where((F.col("space") == space) & (F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1 << 20)) < share * (1 << 20))).select("id", "e").limit(2 * SAMPLE).collect() if k > 1 else []
-        x = unit([r.e for r in sorted(rows_, key=lambda r: r.id)]) if rows_ else None
-        frames[space] = centroids(x, min(k, len(x))) if x is not None and len(x) else None
-    shared = spark.sparkContext.broadcast(frames)  # 256 centroids a label at most
-
-    def deal(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            ids, copies = batch.column("id").to_numpy(), batch.column("copies").to_numpy()
-            spaces, vectors = batch.column("space").to_pylist(), batch.column("e")
-            out = []
-            for space in sorted(set(spaces)):
-                at = np.array([i for i, s in enumerate(spaces) if s == space])
-                x = unit([vectors[int(i)].as_py() for i in at])
-                c = shared.value[space]
-                home, (p, s), near = places(x, c, cosine) if c is not None else (np.zeros(len(at), int), (np.arange(len(at)), np.zeros(len(at), int)), np.ones(len(at), bool))
-                out += [(f"{space}/{b}", int(ids[at[a]]), int(copies[at[a]]), x[a].tobytes(), bool(home[a] == b), bool(n)) for a, b, n in zip(p.tolist(), s.tolist(), near)]
-            types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 6, types)], ["shard", "id", "copies", "x", "home", "built"])
-
-    dealt = scratch.save(points.mapInArrow(deal, "shard string, id long, copies long, x binary, home boolean, built boolean"), "dealt")
+    # blocks: of the points at home that search, and of the points that are searched; one of each but in large shards
+    blocks = lambda n, size, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.greatest(F.lit(1), F.ceil(F.col(n) / size))).cast("int")
+    dealt = shards(points, scratch, cosine)
+    dealt = dealt.withColumn("searching", blocks("n", BLOCK, 1)).withColumn("block", blocks("m", CAP, 2))
 
     def graph_of(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("id")
-        x = np.stack([np.frombuffer(b) for b in pdf["x"]])
         ids = pdf["id"].to_numpy()
-        graph = build(x)
+        graph = build(np.stack([np.frombuffer(b) for b in pdf["x"]]))
         return pd.DataFrame({"id": ids, "near": [ids[g[g >= 0]].tolist() for g in graph]})
 
-    lists = dealt.where("built").groupBy("shard").applyInPandas(graph_of, "id long, near array<long>")
+    lists = dealt.where("built").select("shard", "block", "id", "x").groupBy("shard", "block").applyInPandas(graph_of, "id long, near array<long>")
     united = scratch.save(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "united")
 
-    blocks = dealt.where("home").groupBy("shard").count().select("shard", F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / BLOCK).cast("int"))).alias("block"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    full = dealt.join(united, "id").join(blocks, "shard")
+    last = lambda n, size: F.greatest(F.lit(1), F.ceil(F.col(n) / size)).cast("int") - 1
+    among = F.transform(F.sequence(F.lit(0), last("n", BLOCK)), lambda h: F.struct(h.alias("searching"), F.col("block").alias("block"), F.lit(True).alias("point"), (F.col("home") & (h == F.col("searching"))).alias("query")))
+    alone = F.transform(F.filter(F.sequence(F.lit(0), last("m", CAP)), lambda b: b != F.col("block")), lambda b: F.struct(F.col("searching").alias("searching"), b.alias("block"), F.lit(False).alias("point"), F.lit(True).alias("query")))
+    part = F.explode(F.when(F.col("home"), F.concat(among, alone)).otherwise(among)).alias("p")
+    full = dealt.join(united, "id").select("shard", "id", "copies", "x", "near", part).select("shard", "p.*", "id", "copies", "x", "near")
 
     def search(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("id")
-        ids, copies = pdf["id"].to_numpy(), pdf["copies"].to_numpy()
-        x = np.stack([np.frombuffer(b) for b in pdf["x"]])
+        asked, pdf = pdf[pdf["query"]], pdf[pdf["point"]]
+        if not len(asked) or not len(pdf):
+            none = np.zeros(0, np.int64)
+            return pd.DataFrame({"id": none, "n": none, "to": pd.Series([], dtype=object), "recall": pd.Series([], dtype=float), "beam": pd.Series([], dtype="int32")})
+        vectors = lambda f: np.stack([np.frombuffer(b) for b in f["x"]])
+        ids, copies, x, queries = pdf["id"].to_numpy(), pdf["copies"].to_numpy(), vectors(pdf), vectors(asked)
+        found_at = lambda wanted: np.where(ids[at := np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)] == wanted, at, -1)
         # neighbours that another shard knows count where both points are here
-        flat = np.concatenate([np.asarray(n, np.int64) for n in pdf["near"]]) if len(pdf) else np.zeros(0, np.int64)
         size = np.array([len(n) for n in pdf["near"]])
-        at = np.searchsorted(ids, flat)
-        at = np.where((at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == flat), at, -1)
         graph = np.full((len(ids), max(1, size.max(initial=0))), -1, np.int64)
-        graph[np.repeat(np.arange(len(ids)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = at
-        block, blocks = int(pdf["block"].iloc[0]), int(pdf["blocks"].iloc[0])
-        home = np.flatnonzero(pdf["home"].to_numpy())
-        home = home[ids[home] % blocks == block] if blocks > 1 else home
-        if not len(home):
-            return pd.DataFrame({"id": ids[:0], "n": copies[:0], "to": pd.Series([], dtype=object), "recall": pd.Series([], dtype=float), "beam": pd.Series([], dtype="int32")})
-        found, recall, beam = block_links(x, graph, home, cosine)
-        tree = {}
-        for a, b in joined(len(ids), found, home):
-            tree.setdefault(a, []).append(int(ids[b]))
-        return pd.DataFrame({"id": ids[home], "n": [int(copies[f].sum()) for f in found], "to": [tree.get(q, []) for q in home.tolist()], "recall": recall, "beam": beam})
-
-    links = scratch.save(full.groupBy("shard", "block").applyInPandas(search, "id long, n long, to array<long>, recall double, beam int"), "links")
+        graph[np.repeat(np.arange(len(ids)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = found_at(np.concatenate([np.asarray(n, np.int64) for n in pdf["near"]]))
+        own = found_at(asked["id"].to_numpy())
+        found, recall, beam = block_links(x, graph, queries, own, cosine)
+        return pd.DataFrame({"id": asked["id"].to_numpy(), "n": [int(copies[f].sum()) for f in found], "to": joined(ids, own, found), "recall": recall, "beam": beam})
+
+    links = scratch.save(full.groupBy("shard", "searching", "block").applyInPandas(search, "id long, n long, to array<long>, recall double, beam int"), "links")
     joined_ = components(links.select(F.col("id").alias("a"), F.explode("to").alias("b")), scratch, "parts")
-    counted = points.join(links.select("id", "n"), "id").join(joined_.withColumnRenamed("node", "id"), "id", "left")
-    counted = counted.select("space", "e", (F.col("n") + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("component"))
+    counts = links.groupBy("id").agg(F.sum("n").alias("n"), F.min("recall").alias("recall"))
+    counted = points.join(counts, "id").join(joined_.withColumnRenamed("node", "id"), "id", "left")
+    counted = counted.select("space", "e", (F.col("n") + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("component"), "recall")
     out = v.join(counted.withColumnRenamed("space", "s").withColumnRenamed("e", "f"), F.col("sound") & (F.col("space") == F.col("s")) & (F.col("e") == F.col("f")), "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), "recall")
 
 
 SQL = r"""

@@ -1,10 +1,11 @@
 """Operator 2: language spans by script ranges and a Viterbi pass over per-word scores.
 
-``fit`` learns hashed byte n-gram log-likelihoods and the scripts of each language from a bounded sample
-of labelled rows (``per_language`` rows of at most ``longest`` code points; fitting alone is bounded,
+``fit`` learns hashed n-gram log-likelihoods and the scripts of each language from a bounded sample
+of labelled rows (``per_language`` whole rows are expected; fitting alone is bounded,
 every text is labelled whole).  A word's script ranges narrow the candidates; its score for each of them
 is the sum over its n-grams; a Viterbi pass with a penalty for each switch labels spans of words.  A text
-in which no other language can repay a switch is decided without the pass, with the same result.
+in which no other language can repay a switch is decided without the pass, with the same result.  A long text is
+scored in pieces of words, its Viterbi state carried from piece to piece, so scores are held for one piece at a time.
 
 Cases: a null text or one without a letter is ``und`` with score 0; ties go to the first language by
 name; without any labelled row every text is ``und``; repeated rows are labelled each; an empty table
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from bitballot.llm._common import map_texts
 
 BITS = 16
+#: Code points scored at once; words are whole.
+PIECE = 1 << 17
 #: First and last code point of common scripts' main blocks.
 SCRIPTS = {"latin": ((0x41, 0x24F), (0x1E00, 0x1EFF)), "greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)), "cyrillic": ((0x400, 0x52F),), "armenian": ((0x530, 0x58F),), "hebrew": ((0x590, 0x5FF),), "arabic": ((0x600, 0x6FF), (0x750, 0x77F)), "devanagari": ((0x900, 0x97F),), "thai": ((0xE00, 0xE7F),), "hangul": ((0x1100, 0x11FF), (0xAC00, 0xD7AF)), "kana": ((0x3040, 0x30FF),), "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF))}
 OTHER = len(SCRIPTS)
@@ -65,10 +68,10 @@ class Grams:
         return (two >> np.uint32(32 - BITS)) & np.uint32((1 << BITS) - 1), three >> np.uint32(32 - BITS)
 
 
-def fit(docs: DataFrame, per_language: int = 400, longest: int = 65_536):
+def fit(docs: DataFrame, per_language: int = 400):
     """Languages, their n-gram tables and scripts from rows (doc_id, text, lang) that the caller allows for training."""
-    known = docs.where("lang is not null and text is not null").where(F.length("text") <= longest)
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy("lang").limit(1000).collect()}
+    known = docs.where("lang is not null and text is not null")
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}  # one number per language
     languages = sorted(counts)
     tables = np.zeros((2, 1 << BITS, max(1, len(languages))), np.float32)
     scripts = np.zeros((OTHER + 1, max(1, len(languages))), bool)
@@ -98,48 +101,85 @@ def fit(docs: DataFrame, per_language: int = 400, longest: int = 65_536):
 
 def viterbi(scores, penalty: float):
     """Best label of each word: the sum of scores less ``penalty`` for each switch; exact."""
-    n, m = scores.shape
-    best = int(np.argmax(scores.sum(axis=0)))
-    gain = np.cumsum(scores - scores[:, [best]], axis=0)
-    low = np.minimum.accumulate(np.vstack([np.zeros(m), gain[:-1]]), axis=0)
-    if (gain - low).max(initial=0) <= penalty / 2:  # m stretches away gain at most m * penalty / 2 and cost (m - 1) * penalty at least
+    return best_path(lambda: [scores], penalty)
+
+
+def best_path(pieces, penalty: float):
+    """``viterbi`` over the concatenated ``pieces()`` of scores, which are made anew for each pass over them."""
+    total, n = 0.0, 0
+    for s in pieces():
+        total, n = total + s.sum(axis=0), n + len(s)
+    best = int(np.argmax(total))
+    m = len(total)
+    reached, low, most = np.zeros(m), np.zeros(m), 0.0
+    for s in pieces():
+        gain = reached + np.cumsum(s - s[:, [best]], axis=0)
+        floor = np.minimum.accumulate(np.vstack([low, np.minimum(low, reached), gain[:-1]]), axis=0)[1:]
+        most = max(most, (gain - floor).max(initial=0))
+        reached, low = gain[-1], np.minimum(floor[-1], gain[-1])
+    if most <= penalty / 2:  # m stretches away gain at most m * penalty / 2 and cost (m - 1) * penalty at least
         return np.full(n, best)
-    back, v = np.zeros((n, m), np.int8), [0.0] * m
-    for t, s in enumerate(scores.tolist()):
-        top = max(range(m), key=v.__getitem__)
-        least = v[top] - penalty
-        for k in range(m):
-            if v[k] >= least:
-                back[t, k], v[k] = k, v[k] + s[k]
-            else:
-                back[t, k], v[k] = top, least + s[k]
+    # a word's best path comes from the same label or from the best of all: one bit a label and one number a word
+    stay, tops, v, t = np.zeros((n, (m + 7) // 8), np.uint8), np.zeros(n, np.int32), np.zeros(m), 0
+    for s in pieces():
+        kept = np.empty(s.shape, bool)
+        for i in range(len(s)):
+            top = int(np.argmax(v))
+            least = v[top] - penalty
+            kept[i] = v >= least
+            tops[t + i] = top
+            v = np.maximum(v, least) + s[i]
+        stay[t : t + len(s)] = np.packbits(kept, axis=1)
+        t += len(s)
     path = np.empty(n, np.int64)
-    k = max(range(m), key=v.__getitem__)
+    k = int(np.argmax(v))
     for t in range(n - 1, -1, -1):
         path[t] = k
-        k = back[t, k]
+        if not stay[t, k >> 3] >> (7 - (k & 7)) & 1:
+            k = tops[t]
     return path
 
 
 class Labeller:
     def __init__(self, model, penalty: float):
-        self.languages, self.tables, self.penalty, self.grams = model["languages"], model["tables"].astype(np.float64), penalty, Grams()
+        self.languages, self.tables, self.penalty, self.grams = model["languages"], model["tables"], penalty, Grams()
         self.barred = np.where(model["scripts"] | ~model["scripts"].any(axis=1, keepdims=True), 0.0, -1e4)
 
+    def scores(self, codes, st, en):
+        """A row of scores for each of some words in a row, by language."""
+        a = st[0] - 1
+        codes, st, en = codes[a : en[-1] + 1], st - a, en - a
+        two, three = self.grams.hashes(codes, st, en)
+        scores = self.barred[self.grams.script[codes[st]]]
+        zero = np.zeros((1, len(self.languages)))
+        total = np.vstack([zero, np.cumsum(self.tables[0][two], axis=0, dtype=np.float64)])
+        scores = scores + total[en] - total[st - 1]  # pairs from the space before the word to the space after it
+        total = np.vstack([zero, np.cumsum(self.tables[1][three], axis=0, dtype=np.float64)])
+        return scores + total[np.maximum(en - 1, st)] - total[st - 1]
+
+    def pieces(self, codes, st, en):
+        at = 0
+        while at < len(st):
+            end = max(at + 1, int(np.searchsorted(en, st[at] + PIECE, "right")))
+            yield self.scores(codes, st[at:end], en[at:end])
+            at = end
+
     def spans(self, texts):
         """For each text its words' lengths and labels."""
         codes, row, st, en = self.grams(texts)
         if not self.languages or not len(st):
             return [(np.zeros(0, int), np.zeros(0, int))] * len(texts)
-        two, three = self.grams.hashes(codes, st, en)
-        scores = self.barred[self.grams.script[codes[st]]]
-        zero = np.zeros((1, len(self.languages)))
-        total = np.vstack([zero, np.cumsum(self.tables[0][two], axis=0)])
-        scores = scores + total[en] - total[st - 1]  # pairs from the space before the word to the space after it
-        total = np.vstack([zero, np.cumsum(self.tables[1][three], axis=0)])
-        scores = scores + total[np.maximum(en - 1, st)] - total[st - 1]
-        bounds = np.searchsorted(row, np.arange(len(texts) + 1))
-        return [((en - st)[a:b], viterbi(scores[a:b], self.penalty) if b > a else np.zeros(0, int)) for a, b in zip(bounds, bounds[1:])]
+        bounds, out = np.searchsorted(row, np.arange(len(texts) + 1)), []
+        scores = self.scores(codes, st, en) if len(codes) <= 2 * PIECE else None  # a longer slice is one text
+        for a, b in zip(bounds, bounds[1:]):
+            if a == b:
+                path = np.zeros(0, int)
+            elif scores is not None:
+                path = viterbi(scores[a:b], self.penalty)
+            else:
+                path = best_path(lambda a=a, b=b: self.pieces(codes, st[a:b], en[a:b]), self.penalty)
+            out.append(((en - st)[a:b], path))
+        return out
 
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_spans long"

@@ -2,7 +2,7 @@
 
 Words and character n-grams (of bytes) are hashed to rows of a table of learned vectors; a document is the
 mean of its vectors; a softmax layer gives the labels' probabilities; all is trained by numpy stochastic
-gradient descent on a bounded sample of labelled rows (``rows`` rows of at most ``longest`` code points).
+gradient descent on a bounded sample of labelled rows (``rows`` whole rows are expected, twice as many at most).
 Since the output is linear in the mean, scoring looks up each vector's product with the output layer.
 
 Cases: a null or empty text has no vector and gets the prior of the output layer; without any labelled row
@@ -20,10 +20,12 @@ from bitballot.llm._common import map_texts
 from bitballot.llm._words import Words, mix, utf8
 
 BITS = 17
+#: Steps of the descent, in whole passes over the sample, and the first step's rate, which falls to 0.
+STEPS, RATE = 8000, 1.0
 
 
 class Features:
-    """Hashed features of a slice of texts: every 3 and 4 consecutive bytes, every word, and every repeat of the word before."""
+    """Hashed features of a slice of texts: every 3 and 4 consecutive bytes, every word, and of every pair of words whether they are the same."""
 
     def __init__(self):
         self.words = Words()
@@ -40,23 +42,24 @@ class Features:
         row, _, _, h = self.words(raw, off)
         bounds = np.searchsorted(row, np.arange(len(off)))
         yield (h >> np.uint64(64 - BITS)).astype(np.int64), bounds[:-1], bounds[1:]
+        # of each pair of words only whether both are the same, which holds for any vocabulary
         again = np.zeros(len(h), bool)
         again[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
         repeat = np.where(again, int(mix(np.array([3], np.uint64))[0] >> np.uint64(64 - BITS)), int(mix(np.array([4], np.uint64))[0] >> np.uint64(64 - BITS)))
         yield repeat, bounds[:-1], bounds[1:]
 
 
-def fit(docs: DataFrame, rows: int = 2000, longest: int = 65_536, dim: int = 8, epochs: int = 4, rate: float = 0.5):
+def fit(docs: DataFrame, rows: int = 2000, dim: int = 8, steps: int = STEPS, rate: float = RATE):
     """Vectors, output layer and bias from (doc_id, text, quality) rows that the caller allows for training."""
-    known = docs.where("quality in (0, 1) and text is not null").where(F.length("text") <= longest)
+    known = docs.where("quality in (0, 1) and text is not null")
     count = known.count()
     share = min(1.0, rows / count) if count else 1.0
     chance = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = known.where(chance < share).select("doc_id", "quality", "text").limit(2 * rows).collect()
-    return train([(r.text, int(r.quality)) for r in sorted(sample, key=lambda r: (r.doc_id, r.quality, r.text))], dim, epochs, rate)
+    return train([(r.text, int(r.quality)) for r in sorted(sample, key=lambda r: (r.doc_id, r.quality, r.text))], dim, steps, rate)
 
 
-def train(labelled: list[tuple[str, int]], dim: int = 8, epochs: int = 4, rate: float = 0.5):
+def train(labelled: list[tuple[str, int]], dim: int = 8, steps: int = STEPS, rate: float = RATE):
     import pyarrow as pa
 
     rng = np.random.RandomState(11)
@@ -69,8 +72,9 @@ def train(labelled: list[tuple[str, int]], dim: int = 8, epochs: int = 4, rate:
         ids = np.concatenate([f[a[0] : b[0]].astype(np.int64) for f, a, b in features(*utf8(pa.array([text])))])
         bags.append(np.unique(ids, return_counts=True))
     y = np.array([q for _, q in labelled])
-    steps, done = epochs * len(bags), 0
-    for _ in range(epochs):
+    passes = -(-steps // len(bags))
+    steps, done = passes * len(bags), 0
+    for _ in range(passes):
         for i in rng.permutation(len(bags)):
             ids, n = bags[i]
             total = n.sum()
@@ -82,8 +86,7 @@ def train(labelled: list[tuple[str, int]], dim: int = 8, epochs: int = 4, rate:
             step = rate * (1 - done / steps)
             done += 1
             if total:
-                # normalised by the share of each feature's own mass, so that long texts move their vectors as much as short ones
-                vectors[ids] -= step * np.outer(n / total, p @ out) * min(total, 200)
+                vectors[ids] -= step * np.outer(n / total, p @ out)
             out -= step * np.outer(p, hidden)
             bias -= 0.1 * step * p
     return {"vectors": vectors, "out": out, "bias": bias}

@@ -11,7 +11,7 @@ from bitballot.llm._common import Scratch, table
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"), Scratch(spark))
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"), Scratch(spark)).drop("recall")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark)).drop("rid")
+    return decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark))
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_language_id, op3_token_counts, op4_mixing, op5_quality, op6_ngram_join, op7_sharding, op8_pii, op9_licenses, op10_decontamination)}

@@ -2,7 +2,7 @@
 
 Records are ordered by the hash of their text (so equal texts lie together), then by a hash of the record.  A
 size-weighted sample of keys gives quantile boundaries of fine ranges, a large group of equal texts a range of
-its own; their exact sizes are summed; such a group's range is subdivided by the record's hash into as many parts
+its own; their exact sizes are summed; such a group's range is subdivided by a hash of the row's place into as many parts
 as its size asks for; consecutive ranges then fill the shards evenly.  Slots number a shard's records without gaps: the
 records of the ranges before it, then the place within the range.  No task holds more than a range.
 
@@ -27,7 +27,7 @@ def split_points(sizes: DataFrame, total: int, ranges: int, per_range: int = 8)
     A key that alone fills a range in the sample gets a range of its own.
     """
     want = ranges * per_range
-    chance = F.pmod(F.xxhash64(F.lit(3), "key", "sub"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    chance = F.pmod(F.xxhash64(F.lit(3), "place"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     # a record larger than the step is drawn for each step of it
     draws = F.floor(F.col("size") * F.lit(want / max(1, total)) + chance).cast("int")
     drawn = sizes.where(draws > 0).select("key", F.least(draws, F.lit(want)).alias("n")).groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").limit(4 * want).collect()
@@ -55,17 +55,18 @@ def shard(docs: DataFrame, shards: int, scratch: Scratch, ranges_per_shard: int
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))) + FIXED).cast("long").alias("size"),
-        F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("key"), F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)).alias("sub"))
+        F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("key"), F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)).alias("sub"),
+        F.xxhash64(F.lit(8), F.monotonically_increasing_id()).alias("place"))
     rows = scratch.save(rows, "shard-rows")
     total = rows.agg(F.sum("size")).first()[0] or 0
     ranges = shards * ranges_per_shard
     due = max(1.0, total / ranges)
     rows = rows.withColumn("range", range_of(split_points(rows, total, ranges)))
     sizes = rows.groupBy("range").agg(F.sum("size").alias("bytes"), (F.min("key") == F.max("key")).alias("alone"))
-    # parts of an overfull range of one key: by a hash of the record, so equal texts are dealt evenly; a range of many keys stays whole
+    # parts of an overfull range of one key: by a hash of the row's place in the table, so equal texts and rows that repeat as a whole are dealt evenly; a range of many keys stays whole
     cut = F.when(F.col("alone"), F.floor(F.col("bytes") / (2 * due))).otherwise(F.lit(1))
     parts = scratch.save(sizes.select("range", F.greatest(F.lit(1), cut).cast("int").alias("parts")).coalesce(1), "shard-parts")
-    rows = rows.join(F.broadcast(parts), "range").withColumn("part", F.expr("cast(sub * parts div 1048576 as int)"))
+    rows = rows.join(F.broadcast(parts), "range").withColumn("part", F.expr("cast(pmod(place, 1048576) * parts div 1048576 as int)"))
     filled = rows.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     order = W.orderBy("range", "part").rowsBetween(W.unboundedPreceding, 0)  # one row per range, as many as the parameters say
     filled = filled.withColumn("middle", F.sum("bytes").over(order) - F.col("bytes") / 2)

@@ -2,12 +2,13 @@
 
 ``prove_whole_tokens`` finds offline, from the vocabulary itself, which strings are one pre-token and
 encode alone as one token.  Counting then splits a text into pre-tokens; those strings count one each
-without a merge, and only the rest go through the library's merges.
+without a merge, and only the rest go through the library's merges.  ``unlike`` finds offline, code point by code
+point, where our pattern could split otherwise than the library.
 
 Cases: a null text is empty and has no tokens; special strings inside a text count as the library
-counts them by default (one token each); texts of any length are counted whole; code points on which
-the library's letter, number and space classes could differ from ours send the text to the library as
-it is; repeated rows are counted each; an empty table gives an empty result; other columns are not read.
+counts them by default (one token each); texts of any length are counted whole; code points that were not
+proven to be split as the library splits them (a few thousand recent ones, and those from U+30000 on) send the text to
+the library as it is; repeated rows are counted each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from bitballot.llm._common import map_texts
 
 #: Pre-tokens that are remembered in a worker; beyond it the memory starts anew.
 MEMO = 800_000
-#: Scripts of which the classes are compared with the library's in the tests; other texts are left to the library.
+#: Scripts whose classes are written out for the faster standard module; other texts are split by the pattern itself.
 PLAIN = r"[^\x00-ɏͰ-ϿЀ-ҁҊ-ԯ‐-‧‰-⁞€]"
 
 
@@ -56,6 +57,26 @@ def prove_whole_tokens(vocabulary: str, pattern: str) -> list[str]:
     return [t for t, e in zip(texts, found) if len(e.ids) == 1]
 
 
+def unlike(vocabulary: str, pattern: str, end: int = 0x30000) -> str:
+    """A class of the code points that the library and ``pattern`` do not split alike after a letter, a number, a mark and a space, and of those from ``end`` on."""
+    import regex
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_str(vocabulary).pre_tokenizer, regex.compile(pattern)
+    out, at = [], None
+    for c in range(end + 1):
+        same = c == end or 0xD800 <= c < 0xE000
+        if not same:
+            s = f"a{chr(c)}1{chr(c)}!{chr(c)} {chr(c)}"
+            same = own.findall(s) == [s[a:b] for _, (a, b) in library.pre_tokenize_str(s)]
+        if same and at is not None:
+            out.append(f"\\U{at:08x}-\\U{c - 1:08x}")
+            at = None
+        elif not same and at is None:
+            at = c
+    return f"[{''.join(out)}\\U{end:08x}-\\U0010ffff]"
+
+
 def spelt(pattern: str) -> str:
     """The vocabulary files' pattern with its classes written out for the scripts in PLAIN, for the faster standard module.
 
@@ -82,7 +103,7 @@ def spelt(pattern: str) -> str:
 class Counter:
     """Counts the tokens of a list of texts."""
 
-    def __init__(self, vocabulary: str, whole: list[str], pattern: str):
+    def __init__(self, vocabulary: str, whole: list[str], pattern: str, odd: str):
         import os
         import re
 
@@ -93,8 +114,9 @@ class Counter:
         self.library = Tokenizer.from_str(vocabulary)
         self.merges = Tokenizer.from_str(vocabulary)
         self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.pieces = re.compile(fast).findall if (fast := spelt(pattern)) else regex.compile(pattern).findall
-        self.odd = re.compile(PLAIN).search
+        self.any_script = regex.compile(pattern).findall
+        self.pieces = re.compile(fast).findall if (fast := spelt(pattern)) else self.any_script
+        self.beyond, self.odd = re.compile(PLAIN).search, re.compile(odd).search
         special = [t["content"] for t in json.loads(vocabulary).get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.whole = dict.fromkeys(whole, 1)
@@ -105,15 +127,19 @@ class Counter:
         for i, text in enumerate(texts):
             if not text:
                 split.append([])
-            elif self.odd(text):
+                continue
+            beyond = self.beyond(text)
+            if beyond and self.odd(text):
                 fixed[i] = len(self.library.encode(text, add_special_tokens=False).ids)
                 split.append([])
-            elif self.special and self.special.search(text):
+                continue
+            pieces = self.any_script if beyond else self.pieces
+            if self.special and self.special.search(text):
                 parts = self.special.split(text)
                 fixed[i] = len(parts) - 1
-                split.append([p for part in parts for p in self.pieces(part)])
+                split.append([p for part in parts for p in pieces(part)])
             else:
-                split.append(self.pieces(text))
+                split.append(pieces(text))
         if len(self.memo) > len(self.whole) + MEMO:
             self.memo = dict(self.whole)
         new = list(set().union(*split).difference(self.memo))
@@ -128,7 +154,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 512, patter
     pattern = pattern or split_pattern()
     with open(vocabulary_path, encoding="utf-8") as f:
         vocabulary = f.read()
-    shared = spark.sparkContext.broadcast((vocabulary, prove_whole_tokens(vocabulary, pattern), pattern))  # bounded by the vocabulary
+    shared = spark.sparkContext.broadcast((vocabulary, prove_whole_tokens(vocabulary, pattern), pattern, unlike(vocabulary, pattern)))  # bounded by the vocabulary
 
     def start():
         import pyarrow as pa

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from bitballot.llm import decontamination, embedding_dedup, mixing, sharding
@@ -101,7 +102,7 @@ def test_decontamination(spark):
         a = int(rng.randint(0, max(1, len(w) - 9)))
         rows.append((100 + i, say(20) + ", " + " ".join(w[a : a + int(rng.randint(8, 25))]).upper() + "; " + say(20)))
     rows += [(500, None), (501, ""), (502, "w1-w1 " * 3000), (100, rows[60][1]), (None, items[0][1])]
-    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_hit int")
+    df = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, n_hit int, _rid int")
     bench = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, doc_id string")
     got = decontamination.hits(df, bench, Scratch(spark)).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got), key=repr) == plain_hits(rows, items)
@@ -111,9 +112,10 @@ def test_decontamination(spark):
     assert not any(r.contaminated for r in decontamination.hits(df, bench.limit(0), Scratch(spark)).collect())
 
 
-def test_embeddings(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "SHARD", 100)
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+@pytest.mark.parametrize("sizes", [{}, {"SHARD": 60, "FAN": 3, "DEAL": 50, "SAMPLE": 150}, {"SHARD": 100, "BLOCK": 40, "CAP": 70, "TELLING": 1}])
+def test_embeddings(spark, monkeypatch, sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(embedding_dedup, name, value)
     rng = np.random.RandomState(5)
     base = rng.randn(30, 16)
     x = np.concatenate([base[rng.randint(0, 30, 500)] + rng.randn(500, 16) * rng.choice([0.02, 0.05, 0.12], (500, 1)), rng.randn(100, 16)]).astype(np.float32)
@@ -130,6 +132,8 @@ def test_embeddings(spark, monkeypatch):
     ids = comp.copy()
     for _ in good:
         comp = np.minimum(comp, np.where(link, comp[None, :], 10**9).min(axis=1))
+    recall = embedding_dedup.dedup(df, Scratch(spark)).agg(F.avg("recall")).first()[0]
+    assert recall >= 0.9
     want = {r[0]: (0, r[0], True) for r in rows} | {int(i): (int(n), int(c), bool(i == c)) for i, n, c in zip(ids, link.sum(axis=1), comp)}
     assert got == want
     assert embedding_dedup.dedup(df.limit(0), Scratch(spark)).count() == 0
@@ -171,3 +175,73 @@ def test_a_hot_text_leaves_its_neighbours_together(spark):
         sizes[r.shard] += r.size
     assert len(got) == len(rows) and max(sizes.values()) < 1.1 * min(sizes.values())
     assert all(len(shards) == 1 for text, shards in places.items() if text.startswith("group"))
+
+
+def test_a_label_of_many_vectors_loses_no_link(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SHARD", 512)
+    rng = np.random.RandomState(8)
+    base = rng.randn(600, 32)
+    x = base[rng.randint(0, 600, 6000)] + rng.randn(6000, 32) * rng.choice([0.05, 0.1, 0.14], (6000, 1))
+    df = spark.createDataFrame([(i, v.tolist(), "one") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.dedup(df, Scratch(spark)).collect()}
+    u = embedding_dedup.unit(x)
+    link = u @ u.T >= 0.98
+    np.fill_diagonal(link, False)
+    comp = np.arange(len(x))
+    while True:
+        new = np.minimum(comp, np.where(link, comp[None, :], 10**9).min(axis=1))
+        if (new == comp).all():
+            break
+        comp = new
+    assert got == {i: (int(n), int(c)) for i, (n, c) in enumerate(zip(link.sum(axis=1), comp))}
+
+
+def test_inclusion_follows_size(spark):
+    """Pareto's order takes a size class about as often as its inclusion probability says; the largest sizes for certain."""
+    n = {1: 4000, 5: 2000, 20: 800, 400: 20}
+    rows = [(i, " ".join(["w"] * s), "a") for s, k in n.items() for i in range(10_000 * s, 10_000 * s + k)]
+    rows += [(-1 - i, "w " * 100, "b") for i in range(900)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), Scratch(spark)).where("source = 'a'").collect()
+    size, target = got[0].source_size, got[0].target
+    whole, left = divmod(target, size)
+    low, high = 0.0, 1.0
+    for _ in range(200):  # the factor by bisection
+        c = (low + high) / 2
+        low, high = (c, high) if sum(k * s * min(1, c * s) for s, k in n.items()) < left - whole * 0 else (low, c)
+    taken = Counter()
+    for r in got:
+        taken[r.size] += r.copies - int(target // size)
+    for s, k in n.items():
+        p = min(1.0, c * s)
+        assert abs(taken[s] - k * p) <= 5 * (k * p * (1 - p)) ** 0.5 + 2, (s, taken[s], k * p)
+    assert abs(sum(r.taken for r in got) - target) <= 200
+
+
+def test_ranges_lie_in_order_and_repeated_rows_are_dealt(spark):
+    """Equal texts have one shard, shards follow the order of the texts' hashes, and a hot row that repeats as a whole fills several."""
+    rows = [(i, f"text {i % 900} " + "y" * (i % 50)) for i in range(5000)] + [(77, "the same row " * 4)] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard(df, 5, Scratch(spark))
+    sizes = Counter()
+    for r in got.collect():
+        sizes[r.shard] += r.size
+    due = sum(sizes.values()) / 5
+    assert max(sizes.values()) < 1.05 * due and min(sizes.values()) > 0.95 * due and got.where("doc_id = 77").select("shard").distinct().count() > 1
+    keys = df.distinct().select("doc_id", F.xxhash64(F.col("text").cast("binary")).alias("key"))
+    ends = got.where("doc_id <> 77").join(keys, "doc_id").groupBy("shard").agg(F.min("key").alias("a"), F.max("key").alias("b")).orderBy("shard").collect()
+    assert all(x.b < y.a for x, y in zip(ends, ends[1:]))
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = docs.limit(5).withColumn("text", F.lit(None).cast("string")).unionByName(docs.limit(3).withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType)))
+    odd = odd.unionByName(docs.limit(2).withColumn("source", F.lit(None).cast("string")).withColumn("text", F.lit("")))
+    for frame in (docs.limit(0), spark.createDataFrame(odd.collect(), docs.schema)):
+        out = frame
+        for _, stage in pipeline.STAGES:
+            before, out = out, stage(spark, out, sf)
+            out = spark.createDataFrame(out.collect(), out.schema)
+        assert set(out.columns) == {"doc_id", "size", "text_crc32", "shard", "slot"} and out.count() == before.count()
