@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from bitballot.llm import decontamination, mixing, ngram_join, quality, sharding
-from bitballot.llm._common import Scratch, shared_folder, table
+from bitballot.llm._common import Scratch, table
 from bitballot.llm.queries import quality_model
 
 SHARDS = 24
@@ -45,9 +43,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, kept = table(spark, sf_dir, "documents"), Scratch(spark)
     for i, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
-        docs = spark.read.parquet(f"{folder}/{i}")
+        docs = kept.save(stage(spark, docs, sf_dir), f"stage-{i}")
+        if i:
+            kept.drop(f"stage-{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
