@@ -54,3 +54,26 @@ def mismatches_xor(words_: list[Column], lits: list[Column], xor: list[Column])
 def indexes(words_: Column, n: int) -> Column:
     """Array of the set bits below n of an array of words."""
     return F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.getbit(F.element_at(words_, (i / 64).cast("int") + 1), i % 64) == 1)
+
+
+def booleanize(columns: list[Column], thresholds: list[float]) -> list[Column]:
+    """Every column strictly above every threshold, all columns for the first threshold first."""
+    return [above(c, F.lit(t).cast("float")) for t in thresholds for c in columns]
+
+
+def packed_bytes(bits: list[Column]) -> Column:
+    """A binary column of Boolean columns, eight a byte, the first the highest bit; zeros fill the last byte."""
+    filled = [*bits, *[F.lit(False)] * (-len(bits) % 8)]
+    told = [F.concat(*[b.cast("int").cast("string") for b in filled[i : i + 8]]) for i in range(0, len(filled), 8)]
+    return F.unhex(F.concat(*[F.lpad(F.conv(t, 2, 16), 2, "0") for t in told]))
+
+
+def words_of_bytes(data: Column, n: int) -> list[Column]:
+    """n BIGINT words of a binary column, the lowest byte of each first; zeros beyond its end."""
+    digits = F.rpad(F.hex(data), 16 * n, "0")
+    out = []
+    for i in range(n):
+        highest_first = F.concat(*[F.substring(digits, 16 * i + 2 * j + 1, 2) for j in range(7, -1, -1)])
+        high, low = (F.conv(F.substring(highest_first, at, 8), 16, 10).cast("long") for at in (1, 9))
+        out.append(F.shiftleft(high, 32).bitwiseOR(low))
+    return out

@@ -159,6 +159,12 @@ def packed(df: DataFrame, columns: list[str], model: ClauseModel) -> DataFrame:
     return with_counts.select(*df.columns, *words)
 
 
+def bit_cells(cells: DataFrame, thresholds: DataFrame, key: str = "row_id") -> DataFrame:
+    """key, bit, on of long cells (key, feat, val), by an equi-join with the thresholds (bit, feat, thresh) of each feature."""
+    few = F.broadcast(thresholds.select("bit", "feat", "thresh"))  # 65 535 at most
+    return cells.join(few, "feat").select(key, "bit", B.at_least(F.col("val"), F.col("thresh")).alias("on"))
+
+
 def packed_batches(df: DataFrame, columns: list[str], model: ClauseModel, keep: tuple[str, ...] = ("row_id",)) -> DataFrame:
     """``keep`` columns with w0, w1, ... from Arrow batches.
 

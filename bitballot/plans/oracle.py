@@ -155,6 +155,8 @@ SQL |= {
     "report_sorted": f"SELECT row_number() OVER (ORDER BY round(acc, 4) DESC, model)::INT AS place, printf('%-10s|%8.4f', model, round(acc, 4)) AS line FROM ({RESULTS})",
     "model_gap": f"WITH r AS ({RESULTS}) SELECT b.model, round(a.acc / b.acc, 6) AS ratio, round(a.acc - b.acc, 6) AS gain FROM r a JOIN r b ON a.model = 'clauses' AND b.model <> 'clauses'",
     "scaler_membership": f"SELECT model, model IN ('linear', 'bayes', 'neighbours') AS scaled FROM ({RESULTS})",
+    "bit_counts": q(BITS, "SELECT bit, sum(o::INT)::BIGINT AS n FROM bits GROUP BY bit"),
+    "bytes_to_words": q(MODEL, ", s AS (SELECT cl.k, cl.sg, cl.c, coalesce(sum(power(2::DOUBLE, bit % 64)::HUGEINT) FILTER (NOT negated AND bit < 64), 0) AS a, coalesce(sum(power(2::DOUBLE, bit % 64)::HUGEINT) FILTER (NOT negated AND bit >= 64), 0) AS b FROM cl LEFT JOIN lit USING (k, sg, c) GROUP BY ALL) SELECT k::INT AS class, (1 - 2 * sg)::INT AS sign, c::INT AS clause, (CASE WHEN a >= 9223372036854775808 THEN a - 18446744073709551616 ELSE a END)::BIGINT AS w0, (CASE WHEN b >= 9223372036854775808 THEN b - 18446744073709551616 ELSE b END)::BIGINT AS w1 FROM s"),
     "parameter_counts": q(MODEL, "SELECT k::INT AS class, (count(*) * 2 * (SELECT count(*) FROM th))::BIGINT AS before, sum(n)::BIGINT AS after FROM cl GROUP BY k"),
     "deploy_scores": f"SELECT * FROM ({SQL['tm_predict']}) ORDER BY row_id LIMIT 10",
     "full_convolution": "WITH a AS (SELECT n_regionkey::INT AS i, (n_nationkey % 5)::INT AS j, sum(n_nationkey - 7) AS v FROM nation GROUP BY ALL), k AS (SELECT r_regionkey % 2 AS p, r_regionkey // 2 AS q, r_regionkey - 1 AS w FROM region) SELECT (i + p)::INT AS i, (j + q)::INT AS j, sum(v * w)::BIGINT AS v FROM a, k GROUP BY ALL",

@@ -76,15 +76,13 @@ def pack_words(spark, sf_dir):
 @query
 def pack_bytes_msb(spark, sf_dir):
     df, m = with_model(spark, sf_dir)
-    bits = [b.cast("int").cast("string") for b in clauses.feature_bits(COLUMNS, m.feat, m.thresh)]
-    bits += [F.lit("0")] * (-len(bits) % 8)
-    return df.select("row_id", F.concat(*[F.lpad(F.conv(F.concat(*bits[i : i + 8]), 2, 16), 2, "0") for i in range(0, len(bits), 8)]).alias("bytes"))
+    return df.select("row_id", F.hex(B.packed_bytes(clauses.feature_bits(COLUMNS, m.feat, m.thresh))).alias("bytes"))
 
 
 @query
 def booleanize_strict(spark, sf_dir):
     df = fx.line(spark, sf_dir)
-    bits = [B.above(F.col(c), F.lit(t).cast("float")) for t in (0.04, 25.0, 30000.0) for c in COLUMNS]
+    bits = B.booleanize([F.col(c) for c in COLUMNS], [0.04, 25.0, 30000.0])
     return df.select("row_id", F.concat(*[b.cast("int").cast("string") for b in bits]).alias("bits"))
 
 
@@ -96,6 +94,14 @@ def bit_get_set(spark, sf_dir):
     return clauses.packed(df, COLUMNS, m).select("row_id", B.get(w, 0).alias("b0"), B.get(w, 63).alias("b63"), count(w, "ones"), count(B.put(w, 5, True), "ones_put"), count(B.put(w, 63, False), "ones_cut"))
 
 
+@query
+def bit_counts(spark, sf_dir):
+    """Rows that reach each threshold, by the join of cells with thresholds."""
+    df, m = with_model(spark, sf_dir)
+    on = clauses.bit_cells(fx.cells(df), m.threshold_table(spark))
+    return on.groupBy("bit").agg(F.sum(F.col("on").cast("long")).alias("n"))
+
+
 @query
 def bit_density(spark, sf_dir):
     df, m = with_model(spark, sf_dir)
@@ -308,6 +314,16 @@ def index_to_mask(spark, sf_dir):
     return d.groupBy("class", "sign", "clause", "negated", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit % 64)")).alias("mask"))
 
 
+@query
+def bytes_to_words(spark, sf_dir):
+    """The masks of the clauses as the bytes of a dense file, back in words."""
+    m = with_model(spark, sf_dir)[1]
+    size = (len(m.feat) + 7) // 8
+    rows = [(k, s, c, bytearray(formats.mask(p, size))) for k, s, c, _, p, _ in m.rows()]
+    d = rows_of(spark, rows, "class int, sign int, clause int, data binary")
+    return d.select("class", "sign", "clause", *[w.alias(f"w{i}") for i, w in enumerate(B.words_of_bytes(F.col("data"), m.words))])
+
+
 @query
 def dense_sparse_match(spark, sf_dir):
     """Predictions of a model from its dense file and from its sparse file, row by row."""
@@ -490,8 +506,7 @@ def stratified_split(spark, sf_dir):
 
 @query
 def class_weight_lookup(spark, sf_dir):
-    w = rows_of(spark, [(0, 2.0), (2, 0.5)], "y int, w double")
-    return fx.line(spark, sf_dir).groupBy("y").agg(F.count("*").alias("n")).join(F.broadcast(w), "y", "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
+    return metrics.class_weights(fx.line(spark, sf_dir).groupBy("y").agg(F.count("*").alias("n")), {0: 2.0, 2: 0.5})
 
 
 #: The most rows that a training reads: each class's task walks all of them in order, once an epoch.

@@ -6,6 +6,7 @@ batch data source of its own, which splits a file by rows.
 
 from __future__ import annotations
 
+import gzip
 import io
 import struct
 
@@ -19,8 +20,9 @@ from bitballot.sources import formats
 
 
 def model(spark: SparkSession, path: str, layout: str = "fbz") -> ClauseModel:
-    """A model file: fbz (dense or sparse), flat or tmpy."""
+    """A model file: fbz (dense or sparse), flat or tmpy; a path that ends in .gz is unpacked first."""
     data = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+    data = gzip.decompress(data) if path.endswith(".gz") else data
     return {"fbz": formats.decode, "flat": formats.decode_flat, "tmpy": formats.decode_tmpy}[layout](data)
 
 

@@ -147,3 +147,25 @@ def test_files_written_as_streams(spark, tmp_path):
     with pytest.raises(ValueError):
         formats.packed_strings(["s"] * 65_536)
     assert perceptron()[0][0].shape == (64, 8)
+
+
+def test_bytes_bits_and_packed_files(spark, tmp_path):
+    import gzip
+
+    from bitballot.functions import bits as B
+    from bitballot.operators import metrics
+
+    data = bytes(range(200, 211))
+    df = spark.createDataFrame([(bytearray(data), 3.0, 0.5)], "d binary, a float, b float")
+    got = df.select(*[w.alias(f"w{i}") for i, w in enumerate(B.words_of_bytes(F.col("d"), 2))]).first()
+    assert list(got) == np.frombuffer(data + bytes(5), "<i8").tolist()
+    on = [F.lit(c == "1") for c in "1000000111"]
+    assert bytes(df.select(B.packed_bytes(on)).first()[0]) == bytes([0b10000001, 0b11000000])
+    assert list(df.select(*B.booleanize([F.col("a"), F.col("b")], [0.5, 3.0])).first()) == [True, False, False, False]
+    m = ClauseModel.of([0, 1], [0.0, 1.0], [(0, 1, 0, 3, [0], [1])], 1)
+    readers.write_bytes(spark, str(tmp_path / "m.fbz.gz"), gzip.compress(formats.encode(m), 9))
+    assert readers.model(spark, str(tmp_path / "m.fbz.gz")).rows() == m.rows()
+    told_ = metrics.timed(lambda: None, 10)
+    assert set(told_) == {"seconds", "us_per_row", "rows_per_s"} and told_["seconds"] >= 0
+    cells = spark.createDataFrame([(0, 0, 1.0), (0, 1, float("nan"))], "row_id long, feat int, val float")
+    assert sorted(tuple(r) for r in clauses.bit_cells(cells, m.threshold_table(spark)).collect()) == [(0, 0, True), (0, 1, False)]
