@@ -148,9 +148,33 @@ UNION ALL SELECT 'bayes.npz', 'class_log_prior', count(*), sum(p) FROM ({q(LINE,
 UNION ALL SELECT 'perceptron.npz', 'n_layers', 1, 2 UNION ALL SELECT 'perceptron.npz', 'b0', 8, 0 UNION ALL SELECT 'perceptron.npz', 'b1', 10, 0
 UNION ALL SELECT 'perceptron.npz', 'W0', 512, sum(((i * 7 + o * 3) % 11 - 5) / 8.0) FROM range(64) a(i), range(8) b(o) UNION ALL SELECT 'perceptron.npz', 'W1', 80, sum(((i * 5 + o) % 7 - 3) / 4.0) FROM range(8) a(i), range(10) b(o))
 SELECT file, "array", n::BIGINT AS n, round(total::DOUBLE, 3) AS total FROM found"""
+#: The fit without its refill, which is sequential: the result wherever no bit is dropped, as on these tables.  The bounded
+#: sample is the fit's own; values of categorical features are those of all rows.
+FIT = WIDECELLS + r""",
+sam AS (SELECT * FROM fx ORDER BY row_id LIMIT 30000),
+ss AS (SELECT 0 AS feat, quantity::DOUBLE AS val FROM sam UNION ALL SELECT 1, price::DOUBLE FROM sam UNION ALL SELECT 2, discount::DOUBLE FROM sam UNION ALL SELECT 3, tax::DOUBLE FROM sam
+ UNION ALL SELECT 4, CASE WHEN quantity > 35 THEN price ELSE 0 END::DOUBLE FROM sam UNION ALL SELECT 5, -CASE WHEN quantity > 35 THEN price ELSE 0 END::DOUBLE FROM sam UNION ALL SELECT 6, 1.0::DOUBLE FROM sam),
+st AS (SELECT feat, count(DISTINCT val) AS u, avg((val = 0)::INT) AS z, count(DISTINCT val) FILTER (val <> 0) AS nz, count(*) FILTER (val > 0) AS np, min(val) FILTER (val > 0) AS lo, max(val) FILTER (val > 0) AS hi FROM ss GROUP BY feat),
+plan AS (SELECT feat, CASE WHEN z > 0.3 THEN greatest(1, least(ceil(log2(greatest(nz * greatest(1 - z, 0.01) ** 2, 2))) + 2, 15)) ELSE 15 END::INT AS k, z > 0.3 AND np > 10 AND lo < hi AS upper, lo / 2 AS prefix FROM st WHERE u > 15),
+work AS (SELECT feat, val FROM ss JOIN plan USING (feat) WHERE NOT upper OR val > 0),
+lists AS (SELECT feat, list(val ORDER BY val) AS l, count(*) AS n, min(val) AS first, max(val) AS last FROM work GROUP BY feat),
+places AS (SELECT feat, l, i / (k - upper::INT + 1) * (n - 1) AS h FROM lists JOIN plan USING (feat), range(1, 16) r(i) WHERE i <= k - upper::INT),
+e0 AS (SELECT feat, l[floor(h)::INT + 1] + (h - floor(h)) * (l[least(floor(h)::INT + 2, len(l))] - l[floor(h)::INT + 1]) AS edge FROM places),
+gaps AS (SELECT feat, median(gap) AS typical, max(gap) AS widest FROM (SELECT feat, lead(val) OVER (PARTITION BY feat ORDER BY val) - val AS gap FROM (SELECT DISTINCT feat, val FROM work)) GROUP BY feat),
+mids AS (SELECT feat, (val + lead(val) OVER (PARTITION BY feat ORDER BY val)) / 2 AS mid FROM (SELECT DISTINCT feat, val FROM work)),
+bands AS (SELECT feat, mid, (mid + lag(mid) OVER (PARTITION BY feat ORDER BY mid)) / 2 AS border FROM mids WHERE mid IS NOT NULL),
+e1 AS (SELECT DISTINCT feat, CASE WHEN 5 * typical > 0 AND 5 * typical < widest THEN (SELECT max(mid) FROM bands b WHERE b.feat = e0.feat AND (border IS NULL OR border <= edge)) ELSE edge END AS edge FROM e0 JOIN gaps USING (feat)),
+e2 AS (SELECT feat, edge, n, coalesce(lag(edge) OVER w, first) AS a, coalesce(lead(edge) OVER w, last) AS b FROM e1 JOIN lists USING (feat) WINDOW w AS (PARTITION BY feat ORDER BY edge)),
+cands AS (SELECT feat, edge, n, unnest([edge - 0.25::DOUBLE * (edge - a), edge, edge + 0.25::DOUBLE * (b - edge)]) AS c, unnest([0, 1, 2]) AS side FROM e2),
+shares AS (SELECT feat, edge, c, side, 1 - (SELECT count(*) FROM work w WHERE w.feat = cands.feat AND w.val < c)::DOUBLE / n AS p FROM cands),
+nudged AS (SELECT feat, c FROM (SELECT *, row_number() OVER (PARTITION BY feat, edge ORDER BY p * (1 - p) DESC, side) AS r FROM shares) WHERE r = 1),
+dense AS (SELECT feat, t FROM (SELECT feat, t, k, row_number() OVER (PARTITION BY feat ORDER BY t) AS r FROM (SELECT feat, c AS t FROM nudged UNION SELECT feat, prefix FROM plan WHERE upper) JOIN plan USING (feat)) WHERE r <= k),
+few AS (SELECT DISTINCT feat, val AS t FROM sc JOIN st USING (feat) WHERE u BETWEEN 2 AND 15 AND val > (SELECT min(val) FROM sc x WHERE x.feat = sc.feat))
+SELECT (row_number() OVER (ORDER BY d, feat, t) - 1)::INT AS bit, feat, t AS thresh FROM (SELECT true AS d, feat, t::FLOAT AS t FROM dense UNION ALL SELECT false, feat, t::FLOAT FROM few)"""
 SUPPLIER = "s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS row_id, s_suppkey, s_nationkey, s_acctbal, (s_nationkey % 3)::INT AS y, CASE WHEN s_acctbal::FLOAT <= 0 THEN 0 WHEN s_acctbal::FLOAT <= 5000 THEN 1 ELSE 2 END AS pred FROM supplier)"
 PREDICTED = {"tree": "dt_predict", "forest": "rf_vote", "linear": "linear_multi", "bayes": "gnb_predict", "perceptron": "mlp_predict"}
 SQL |= {
+    "fit_thresholds": f"WITH {FIT}",
     "summary_upsert": RESULTS,
     "report_sorted": f"SELECT row_number() OVER (ORDER BY round(acc, 4) DESC, model)::INT AS place, printf('%-10s|%8.4f', model, round(acc, 4)) AS line FROM ({RESULTS})",
     "model_gap": f"WITH r AS ({RESULTS}) SELECT b.model, round(a.acc / b.acc, 6) AS ratio, round(a.acc - b.acc, 6) AS gain FROM r a JOIN r b ON a.model = 'clauses' AND b.model <> 'clauses'",

@@ -120,7 +120,7 @@ def threshold_table(spark, sf_dir):
 
 @query
 def fit_thresholds(spark, sf_dir):
-    """The whole fit; its refill of dead bits is sequential, so there is no SQL for it.
+    """The whole fit; its refill of dead bits is sequential, so its SQL holds where no bit is dropped.
 
     Routing and numeric edges come from a bounded sample, categorical values from all rows, as in the reference.
     """
