@@ -34,7 +34,7 @@ from bitballot.llm._common import Scratch
 from bitballot.llm._graph import components
 
 #: Points at home in a shard, rows of a shard's sample, neighbours of a point, beam of a search.
-SHARD, SAMPLE, DEGREE, BEAM = 4096, 4096, 24, 32
+SHARD, SAMPLE, DEGREE, BEAM = 2048, 4096, 24, 32
 #: The most shards that one is dealt to, and how often; points dealt in a task.
 FAN, LEVELS, DEAL = 256, 4, 1 << 15
 #: Points at home that are searched, and points that they are searched among, in a task.
