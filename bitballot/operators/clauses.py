@@ -246,13 +246,13 @@ def class_sums(df: DataFrame, columns: list[str], model: ClauseModel, key: str =
             terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
         sums.append(terms[0].cast("long").alias(f"v{k}"))
     # a lambda keeps this projection out of whole-stage code, whose one method for all clauses would be too large to compile
-    apart = F.exists(F.array(key), lambda x: x.isNull()).alias("_apart")
+    apart = F.size(F.filter(F.array(key), lambda x: x.isNotNull())).alias("_apart")
     return packed(df, columns, model).select(key, *sums, apart)
 
 
 def votes_expression(df: DataFrame, columns: list[str], model: ClauseModel, key: str = "row_id") -> DataFrame:
     """key, class, votes by ``class_sums``."""
-    return class_sums(df, columns, model, key).where(~F.col("_apart") | F.col("_apart")).select(key, F.posexplode(F.array(*[F.col(f"v{k}") for k in range(model.classes)])).alias("class", "votes"))
+    return class_sums(df, columns, model, key).where("_apart >= 0").select(key, F.posexplode(F.array(*[F.col(f"v{k}") for k in range(model.classes)])).alias("class", "votes"))
 
 
 def first_most(names: list[str]) -> Column:
@@ -266,7 +266,7 @@ def first_most(names: list[str]) -> Column:
 
 def predict_expression(df: DataFrame, columns: list[str], model: ClauseModel, key: str = "row_id") -> DataFrame:
     """key, pred by ``class_sums``, without a shuffle."""
-    return class_sums(df, columns, model, key).select(key, F.when(F.col("_apart").isNotNull(), first_most([f"v{k}" for k in range(model.classes)])).alias("pred"))
+    return class_sums(df, columns, model, key).select(key, F.when(F.col("_apart") >= 0, first_most([f"v{k}" for k in range(model.classes)])).alias("pred"))
 
 
 def predict_relational(df: DataFrame, columns: list[str], model: ClauseModel, key: str = "row_id") -> DataFrame:
