@@ -115,7 +115,7 @@ def parse_bool_text(spark, sf_dir):
     lines = [" ".join(words[(k + b) % 3][k >> b & 1] for b in range(5)) for k in keys]
     path = Folder(spark).path("bits.txt")
     readers.write_bytes(spark, path, "\n".join([*lines, ""]).encode())
-    return readers.bool_rows(spark, path).withColumnRenamed("on", "on_")
+    return readers.bool_rows(spark, path).select(F.col("row_id").cast("int").alias("row_id"), "bit", F.col("on").alias("on_"))
 
 
 def supplier_files(spark, sf_dir) -> tuple[str, str]:
@@ -139,7 +139,7 @@ def file_scores(spark, sf_dir):
     x, y = supplier_files(spark, sf_dir)
     tree = {0: (0, 0.0, 1, 2, 0), 1: (-1, 0.0, -1, -1, 0), 2: (0, 5000.0, 3, 4, 0), 3: (-1, 0.0, -1, -1, 1), 4: (-1, 0.0, -1, -1, 2)}
     found = baselines.predict_tree(readers.matrix(spark, x).select("row_id", F.col("x")[2].alias("b")), tree, ["b"])
-    c = metrics.confusion(readers.matched(found, readers.labels(spark, y).withColumn("row_id", F.col("row_id").cast("long"))))
+    c = metrics.confusion(readers.matched(found, readers.labels(spark, y)))
     told = c.agg(F.sum("n").alias("n_rows")).crossJoin(metrics.macro(c).select("f1"))  # one row each
     right = c.agg((F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
     return told.crossJoin(right).select("n_rows", F.round("accuracy", 9).alias("accuracy"), F.round("f1", 9).alias("f1"))

@@ -12,6 +12,7 @@ import struct
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -53,9 +54,15 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """row_id, value: the lines of one file (a file's lines are one row until they are split, so the order is the file's)."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\r?\n\z", "").alias("value"))
-    return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("row_id", "value"))
+    """row_id (from 0), value: the lines of one file in its order.
+
+    The file is read in splits; the lines of the splits before it, a number a split, number the lines of each.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_m"))
+    splits = lines.groupBy("_at").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("_at", (before - F.col("_first")).alias("_shift"))
+    return lines.join(F.broadcast(splits), "_at").select((F.col("_m") + F.col("_shift")).alias("row_id"), "value")
 
 
 def bool_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -67,7 +74,7 @@ def bool_rows(spark: SparkSession, path: str) -> DataFrame:
 def binariser_tsv(spark: SparkSession, path: str) -> DataFrame:
     """bit, feat, thresh: a feature and a threshold a line."""
     parts = F.split("value", "\t")
-    return numbered_lines(spark, path).select(F.col("row_id").alias("bit"), parts[0].cast("int").alias("feat"), parts[1].cast("float").alias("thresh"))
+    return numbered_lines(spark, path).select(F.col("row_id").cast("int").alias("bit"), parts[0].cast("int").alias("feat"), parts[1].cast("float").alias("thresh"))
 
 
 def binariser_json(spark: SparkSession, path: str) -> DataFrame:
@@ -227,10 +234,34 @@ class MatrixSource(DataSource):
 
 
 def matrix(spark: SparkSession, path: str, rows_per_partition: int = 1 << 20) -> DataFrame:
+    """row_id, x of a raw matrix: split by rows where executors can open the path, else (any store) read whole, 2 GB at most."""
+    scheme = path.split(":", 1)[0] if ":" in path else "file"
+    if scheme != "file":
+        return matrix_content(spark.read.format("binaryFile").load(path).select("content"))
     spark.dataSource.register(MatrixSource)
     return spark.read.format("raw_matrix").option("rowsPerPartition", rows_per_partition).load(path)
 
 
+def matrix_content(files: DataFrame) -> DataFrame:
+    """row_id, x of the bytes (content) of a raw matrix."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for content in batch.column("content").to_pylist():
+                n, d = struct.unpack_from("<II", content)
+                if len(content) < 8 + 4 * n * d:
+                    raise ValueError("the file ends early")
+                for at in range(0, n, 4096):
+                    m = min(4096, n - at)
+                    flat = np.frombuffer(content, "<f4", m * d, 8 + 4 * d * at)
+                    x = pa.ListArray.from_arrays(np.arange(0, d * m + 1, d, dtype=np.int32) if d else np.zeros(m + 1, np.int32), pa.array(flat))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + m)), x], ["row_id", "x"])
+
+    return files.mapInArrow(run, "row_id long, x array<float>")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "Model") -> DataFrame:
     """Rows of ``old`` whose key is not in ``new``, and those of ``new``.  The planner chooses the join by the sizes."""
     return old.join(new.select(key).distinct(), key, "left_anti").select(old.columns).unionByName(new)

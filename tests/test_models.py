@@ -169,3 +169,20 @@ def test_bytes_bits_and_packed_files(spark, tmp_path):
     assert set(told_) == {"seconds", "us_per_row", "rows_per_s"} and told_["seconds"] >= 0
     cells = spark.createDataFrame([(0, 0, 1.0), (0, 1, float("nan"))], "row_id long, feat int, val float")
     assert sorted(tuple(r) for r in clauses.bit_cells(cells, m.threshold_table(spark)).collect()) == [(0, 0, True), (0, 1, False)]
+
+
+def test_lines_keep_their_order_over_splits(spark, tmp_path):
+    (tmp_path / "y.txt").write_text("\n".join(str(i * 7 % 1000) for i in range(3000)) + "\n")
+    (tmp_path / "e.txt").write_text("1\r\n\r\n3")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        lines = readers.numbered_lines(spark, str(tmp_path / "y.txt"))
+        assert lines.rdd.getNumPartitions() > 5
+        assert [(r.row_id, r.value) for r in lines.orderBy("row_id").collect()] == [(i, str(i * 7 % 1000)) for i in range(3000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.value for r in readers.numbered_lines(spark, str(tmp_path / "e.txt")).orderBy("row_id").collect()] == ["1", "", "3"]
+    x = np.arange(30_000, dtype=np.float32).reshape(10_000, 3)
+    whole = readers.matrix_content(spark.createDataFrame([(bytearray(readers.matrix_bytes(x)),)], "content binary"))
+    assert [list(r.x) for r in whole.orderBy("row_id").collect()] == x.tolist()
