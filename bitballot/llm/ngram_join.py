@@ -181,9 +181,9 @@ def plausible(pairs: DataFrame, made: DataFrame, percent: int) -> DataFrame:
 def beside(pairs: DataFrame, texts: DataFrame, k: int, each, schema: str) -> DataFrame:
     """Applies ``each``(rows (a, centre's set, list of (b and more of a pair, member's set))) to the written ``pairs`` (a, b, ia, ib, m, more).
 
-    m: about how many members a has.  The texts of the classes in pairs go to Python by a join on their numbers, their
-    sets are shuffled to blocks of about BLOCK members, each with a copy of its centre, and read there as a sorted
-    stream: no task holds more than a batch.
+    m: about how many members a has.  The texts of the classes in pairs go to Python once each, chosen by their numbers; a
+    task gives the set of a class once, however often its row is repeated.  The sets are shuffled to blocks of about BLOCK
+    members, each with a copy of its centre, and read there as a sorted stream: no task holds more than a batch.
     """
     more = ["b", *[c for c in pairs.columns if c not in ("a", "b", "ia", "ib", "m")]]
     kinds = {c: t for c, t in pairs.dtypes if c in more}
@@ -191,10 +191,9 @@ def beside(pairs: DataFrame, texts: DataFrame, k: int, each, schema: str) -> Dat
     members = cut.select("a", "block", F.col("b").alias("cls"), F.col("ib").alias("id"), *more)
     hubs = cut.select("a", "block", F.col("a").alias("cls"), F.col("ia").alias("id")).distinct().select("a", "block", "cls", "id", *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
     roles = members.unionByName(hubs)
-    roles = F.broadcast(roles) if pairs.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2 else roles
-    rows = texts.join(roles, F.col("doc_id") == F.col("id")).drop("doc_id", "id")
+    few = F.broadcast if pairs.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2 else lambda df: df
+    chosen = texts.join(few(roles.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi").select("text")
     names = ["a", "block", "shingles", *more]
-    types = ", ".join(f"{c} {kinds[c]}" for c in more)
 
     def start():
         import numpy as np
@@ -203,17 +202,14 @@ def beside(pairs: DataFrame, texts: DataFrame, k: int, each, schema: str) -> Dat
         words, seen = Words(), set()
 
         def work(part):
-            keep, packed = [], []
+            cls, packed = [], []
             row, _, _, h = words(*utf8(part.column("text")))
-            named = zip(part.column("cls").to_pylist(), part.column("a").to_pylist(), part.column("block").to_pylist(), part.column("b").to_pylist())
-            for s, key in zip(shingles(row, h, len(part), k), named):
-                # another text with the same number, or a row repeated
-                keep.append(len(s) > 0 and key not in seen and class_of(s) == key[0])
-                if keep[-1]:
-                    seen.add(key)
-                    packed.append(s.tobytes())
-            kept = part.filter(pa.array(keep, pa.bool_()))
-            return pa.RecordBatch.from_arrays([kept.column("a"), kept.column("block"), pa.array(packed, pa.binary()), *[kept.column(c) for c in more]], names)
+            for s in shingles(row, h, len(part), k):
+                name = class_of(s) if len(s) else None
+                if name is not None and name not in seen:
+                    seen.add(name)
+                    cls.append(name), packed.append(s.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(packed, pa.binary())], ["cls", "shingles"])
 
         return work
 
@@ -237,7 +233,8 @@ def beside(pairs: DataFrame, texts: DataFrame, k: int, each, schema: str) -> Dat
                 out.append((at[0], centre, inside))
             yield from each(out)
 
-    sets = map_texts(rows, start, f"a long, block long, shingles binary, {types}")
+    # a text that shares its number with a chosen one has another class, or is as good
+    sets = map_texts(chosen, start, "cls long, shingles binary").join(few(roles.drop("id")), "cls").select(names)
     return sets.repartition("a", "block").sortWithinPartitions(F.col("a"), F.col("block"), F.col("b").asc_nulls_first()).mapInArrow(run, schema)
 
 
