@@ -165,13 +165,13 @@ def allowed_column(n: str, m: str, percent: int):
     return total - 2 * F.ceil(total * percent / F.lit(100 + percent))
 
 
-def plausible(pairs: DataFrame, made: DataFrame, percent: int) -> DataFrame:
+def plausible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b, more) whose bitmaps differ in no more bits than the sets may differ in elements, with a number of a row of each, ia and ib.
 
     Each element that only one of two sets has changes one bit of its bitmap, so the bits that differ are at most
-    those elements: no linked pair goes.
+    those elements: no linked pair goes.  ``marks``: written, a row (cls, n, mark, id) a class, so that a centre with many
+    members can be split in the join.
     """
-    marks = made.select("cls", "n", "mark", "id").dropDuplicates(["cls"])
     right = pairs.join(marks.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("mark").alias("y"), F.col("id").alias("ib")), "b")
     both = right.join(marks.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("mark").alias("x"), F.col("id").alias("ia")), "a")
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, c: s + c)
@@ -337,6 +337,7 @@ def linked(docs: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame
     classes = scratch.save(rows.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("id")), "classes")
     made = scratch.save(prefixes(texts, k, percent, table), "prefixes")
 
+    marks = scratch.save(made.select("cls", "n", "mark", "id").dropDuplicates(["cls"]), "marks")
     # shingles in two prefixes at least; n, usual (16 bits), level and ell (8 bits each) of a posting in one number
     pos = made.select("cls", "n", "ell", "usual", F.posexplode_outer("prefix").alias("pos", "token"))
     level = F.greatest(F.lit(1), F.col("pos") - F.col("n") + F.ceil(F.col("n") * percent / F.lit(100)) + 1)
@@ -353,7 +354,7 @@ def linked(docs: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame
     stars = groups.where("cls <> a").select("a", F.col("cls").alias("b"), "c", size("meta").alias("n"), size("am").alias("n_"), F.least(ell("meta"), ell("am")).alias("asked"))
     stars = stars.where(fits("n", "n_", percent) & fits("n_", "n", percent)).groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("asked").alias("asked"), F.max("c").alias("m"))
     stars = stars.where((F.col("shared") >= F.col("asked")) | (F.col("m") > GROUP)).select("a", "b", "m")
-    stars = scratch.save(plausible(stars, made, percent), "stars")
+    stars = scratch.save(plausible(stars, marks, percent), "stars")
     links = scratch.save(verified(stars, texts, k, percent), "links-1")
     # 2. pairs of groups that are not yet one by these links
     label = labels(links)
@@ -370,14 +371,14 @@ def linked(docs: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame
     # larger groups by their differences from the centre
     large = open_.where(F.col("c") > GROUP).groupBy("a", F.col("cls").alias("b"), "label").agg(F.max("c").alias("m"))
     large = large.join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.col("a") == F.col("b")))
-    ids = made.select("cls", "id").dropDuplicates(["cls"])
+    ids = marks.select("cls", "id")
     large = large.join(ids.toDF("b", "ib"), "b").join(ids.toDF("a", "ia"), "a")
     large = scratch.save(large, "large")
     apart = scratch.save(differences(large, texts, k, percent, table), "differences")
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     met = met.unionByName(recentred(apart, percent)).distinct().join(done, ["a", "b"], "left_anti")
-    met = scratch.save(plausible(met.withColumn("m", F.lit(8 * BLOCK)), made, percent), "met")
-    scratch.drop("open", "prefixes", "large")
+    met = scratch.save(plausible(met.withColumn("m", F.lit(8 * BLOCK)), marks, percent), "met")
+    scratch.drop("open", "prefixes", "large", "marks")
     last = scratch.save(verified(met, texts, k, percent), "links-2")
     table.destroy()
 
