@@ -9,10 +9,10 @@ angle, so that test loses nothing.  3. The points that have a shard among their
 growing batches: a greedy search finds candidates, robust pruning keeps a spread few of them.
 4. The adjacency lists of a point from all its shards are united.  5. Every point at home searches the united graph of
 its shard from the medoid and from its own place; once a point in range is met, the search expands over all
-neighbours in range; a link met from either end counts for both.  6. A sample of each block's searches is compared with
-all its points; while the list of any of them lacks a link, the beam is doubled, and in the end, or where the sample
-has too few links to tell, the exact check covers the whole block and adds what is missed.  The recall that the searches had, by
-the points that were compared, is returned.  7. Links are verified in double precision.
+neighbours in range; a link met from either end counts for both.  6. A sample of each block's searches is audited against all its points, and
+the beam is doubled, four times BEAM at most, while their recall is short.  7. An exact check of the block in double
+precision verifies the links and adds what the searches missed, so no link within a block is lost; the recall that the
+searches had against it is returned.
 
 A shard that cannot be cut smaller, of vectors that all lie in range of each other, is worked by pairs of a block of
 BLOCK points at home and one of CAP points, so no task holds more than those.  Components come
@@ -34,13 +34,13 @@ from bitballot.llm._common import Scratch
 from bitballot.llm._graph import components
 
 #: Points at home in a shard, rows of a shard's sample, neighbours of a point, beam of a search.
-SHARD, SAMPLE, DEGREE, BEAM = 2048, 4096, 24, 32
+SHARD, SAMPLE, DEGREE, BEAM = 2048, 4096, 16, 24
 #: The most shards that one is dealt to, and how often; points dealt in a task.
 FAN, LEVELS, DEAL = 256, 4, 1 << 15
 #: Points at home that are searched, and points that they are searched among, in a task.
 BLOCK, CAP = 2048, 8192
-#: Searches of a block that are compared in full; with fewer of them that have links, all are.
-AUDIT, TELLING = 64, 8
+#: Searches of a block that are audited, and the recall below which the beam is doubled.
+AUDIT, TARGET = 64, 0.99
 
 
 def unit(x):
@@ -242,28 +242,23 @@ def compared(x, queries, own, cosine: float):
     return out
 
 
-def block_links(x, graph, queries, own, cosine: float, audit: int | None = None, telling: int | None = None):
-    """Links of the queries, audited: (lists, recall of the searches, beam); a beam of 0 means that all were compared."""
-    audit, telling, width = audit or AUDIT, telling or TELLING, BEAM
-    sample = np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int)
-    true = compared(x, queries[sample], own[sample], cosine)
+def recall_of(found, true) -> float:
+    """Mean share of a point's links that were found, over the points that have links; 1 without such points."""
+    share = [len(np.intersect1d(f, t, assume_unique=True)) / len(t) for f, t in zip(found, true) if len(t)]
+    return float(np.mean(share)) if share else 1.0
 
-    def recall(found, true):
-        share = [len(np.intersect1d(f, t, assume_unique=True)) / len(t) for f, t in zip(found, true) if len(t)]
-        return float(np.mean(share)) if share else 1.0
 
+def block_links(x, graph, queries, own, cosine: float):
+    """(lists, recall of the searches, beam): searched with a beam that a sample finds wide enough, then checked exactly, which adds what is missed."""
+    sample = np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int)
+    true, width = compared(x, queries[sample], own[sample], cosine), BEAM
     while True:
         found = ranged(x, graph, queries, own, cosine, width)
-        if sum(len(t) > 0 for t in true) < telling:
+        if width >= 4 * BEAM or recall_of([found[i] for i in sample], true) >= TARGET:
             break
-        got = recall([found[i] for i in sample], true)
-        if got == 1.0:
-            return found, got, width
         width *= 2
-        if width > 4 * BEAM:
-            break
     exact = compared(x, queries, own, cosine)
-    return exact, recall(found, exact), 0
+    return exact, recall_of(found, exact), width
 
 
 def joined(ids, own, lists):

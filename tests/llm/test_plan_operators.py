@@ -112,7 +112,7 @@ def test_decontamination(spark):
     assert not any(r.contaminated for r in decontamination.hits(df, bench.limit(0), Scratch(spark)).collect())
 
 
-@pytest.mark.parametrize("sizes", [{}, {"SHARD": 60, "FAN": 3, "DEAL": 50, "SAMPLE": 150}, {"SHARD": 100, "BLOCK": 40, "CAP": 70, "TELLING": 1}])
+@pytest.mark.parametrize("sizes", [{}, {"SHARD": 60, "FAN": 3, "DEAL": 50, "SAMPLE": 150}, {"SHARD": 100, "BLOCK": 40, "CAP": 70}])
 def test_embeddings(spark, monkeypatch, sizes):
     for name, value in sizes.items():
         monkeypatch.setattr(embedding_dedup, name, value)
