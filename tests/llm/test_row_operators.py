@@ -175,11 +175,15 @@ def test_token_counts_of_every_script(spark):
     assert sum(bool(count.odd(t)) for t in texts) < 100 and not count.odd("日本語 العربية हिन्दी \U0001f600") and count.odd("\U00030001")
 
 
+SCRIPT_OF = language_id.Grams().script
+
+
 def plain_scores(model, word):
     """Log-likelihoods of a word's pairs and triples of code points by language, one by one."""
     c = [32, *map(ord, word), 32]
     mask = 0xFFFFFFFF
-    out = np.where(model["scripts"][language_id.Grams().script[c[1]]], 0.0, -1e4) if model["scripts"][language_id.Grams().script[c[1]]].any() else np.zeros(len(model["languages"]))
+    allowed = model["scripts"][SCRIPT_OF[c[1]]]
+    out = np.where(allowed, 0.0, -1e4) if allowed.any() else np.zeros(len(model["languages"]))
     for i in range(len(c) - 1):
         two = (c[i] * 0x9E3779B1 + c[i + 1] * 0x85EBCA77) & mask
         out = out + model["tables"][0][two >> (32 - language_id.BITS)]
@@ -196,7 +200,9 @@ def odd_model(m, seed=1):
 @pytest.mark.parametrize("m", [3, 200])
 def test_labels_equal_a_plain_pass(monkeypatch, m):
     """Whole texts and texts in pieces, with few and with many languages."""
-    model, texts = odd_model(m), ["Guten tag, my friend, this is ein text", "αβγ δε жук 日本 x", "a", "12 ?", "x y " * 40, "été naïf " * 30]
+    model = odd_model(m)
+    labeller = language_id.Labeller(model, 4.0)
+    texts = ["Guten tag, my friend, this is ein text", "αβγ δε жук 日本 x", "a", "12 ?", "x y " * 40, "été naïf " * 30]
     plain = []
     for t in texts:
         s = np.array([plain_scores(model, w) for w in re.findall(r"[^\W\d_]+", t.lower())]).reshape(-1, m)
@@ -206,7 +212,7 @@ def test_labels_equal_a_plain_pass(monkeypatch, m):
         plain.append((s, v.max()))
     for piece in (1 << 17, 16):
         monkeypatch.setattr(language_id, "PIECE", piece)
-        for (s, best), (_, path) in zip(plain, language_id.Labeller(model, 4.0).spans(texts) if piece > 99 else [language_id.Labeller(model, 4.0).spans([t])[0] for t in texts]):
+        for (s, best), (_, path) in zip(plain, labeller.spans(texts) if piece > 99 else [labeller.spans([t])[0] for t in texts]):
             got = sum(s[i, k] for i, k in enumerate(path)) - 4.0 * sum(a != b for a, b in zip(path, path[1:]))
             assert len(path) == len(s) and (not len(s) or abs(got - best) < 1e-3)
 
