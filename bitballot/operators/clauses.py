@@ -220,8 +220,8 @@ def mismatch(model: ClauseModel, xor: bool = False) -> Column:
 
 
 def votes_relational(df: DataFrame, columns: list[str], model: ClauseModel, key: str = "row_id") -> DataFrame:
-    """row_id, class, votes by a grouped sum over the clause table."""
-    out = with_clauses(packed_batches(df, columns, model, (key,)), model).withColumn("out", F.greatest(F.col("clamp") - mismatch(model), F.lit(0)))
+    """row_id, class, votes by a grouped sum over the clause table; the narrow rows are shuffled before they meet the clauses."""
+    out = with_clauses(packed_batches(df, columns, model, (key,)).repartition(key), model).withColumn("out", F.greatest(F.col("clamp") - mismatch(model), F.lit(0)))
     return out.groupBy(key, "class").agg(F.sum(F.col("sign") * F.col("out")).alias("votes"))
 
 
@@ -270,8 +270,8 @@ def predict_expression(df: DataFrame, columns: list[str], model: ClauseModel, ke
 
 
 def predict_relational(df: DataFrame, columns: list[str], model: ClauseModel, key: str = "row_id") -> DataFrame:
-    """key, pred by one grouped sum over the clause table: a column of votes for each class, so rows meet once."""
-    out = with_clauses(packed_batches(df, columns, model, (key,)), model).withColumn("out", F.col("sign") * F.greatest(F.col("clamp") - mismatch(model), F.lit(0)))
+    """key, pred by one grouped sum over the clause table: a column of votes for each class, and the narrow rows are shuffled before they meet the clauses, so that is the only shuffle."""
+    out = with_clauses(packed_batches(df, columns, model, (key,)).repartition(key), model).withColumn("out", F.col("sign") * F.greatest(F.col("clamp") - mismatch(model), F.lit(0)))
     sums = [F.sum(F.when(F.col("class") == k, F.col("out")).otherwise(0)).alias(f"v{k}") for k in range(model.classes)]
     return out.groupBy(key).agg(*sums).select(key, first_most([f"v{k}" for k in range(model.classes)]).alias("pred"))
 
