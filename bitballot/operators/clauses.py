@@ -3,8 +3,8 @@
 A clause's output is max(clamp - mismatches, 0); a class's votes are the outputs of its positive clauses less
 those of its negative ones; the prediction is the class with most votes, the least index on ties.
 All ways give the same integers: ``predict`` (Arrow batches, no shuffle; the default), ``votes_relational``
-(packed words against a broadcast clause table, then a grouped sum), ``votes_sparse`` (bits joined to
-literals) and ``votes_expression`` (one expression per class, no shuffle).
+(packed words against a broadcast clause table, then a grouped sum), ``votes_sparse`` (bits met by the clauses'
+lists of literals in Arrow batches, no shuffle) and ``votes_expression`` (one expression per class, no shuffle).
 """
 
 from __future__ import annotations
@@ -71,6 +71,14 @@ class ClauseModel:
     def threshold_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(i, int(f), float(t), f"{float(t):.4g}") for i, (f, t) in enumerate(zip(self.feat, self.thresh))], "bit int, feat int, thresh float, told string")
 
+    def literal_lists(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The literals in use (a bit, its negation as that plus the number of bits), and each clause's places among them."""
+        n = len(self.feat)
+        on = lambda m: np.flatnonzero(np.unpackbits(m.view(np.uint8), bitorder="little")[:n])
+        each = [np.concatenate([on(p), n + on(q)]) for p, q in zip(self.pos, self.neg)]
+        used, at = np.unique(np.concatenate([np.zeros(0, np.int64), *each]), return_inverse=True)
+        return used, np.split(at, np.cumsum([len(e) for e in each])[:-1])
+
     def pruned(self) -> tuple[ClauseModel, np.ndarray]:
         """An equal model with fewer clauses, and constant votes by class.
 
@@ -113,6 +121,28 @@ class ClauseModel:
             out[:, k] += s * np.maximum(m - wrong, 0)
         return out
 
+    def votes_by_literals(self, x: dict[int, np.ndarray], n: int, used: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
+        """The same from ``literal_lists`` and n values of each feature: contradicted literals are counted by clause; NaN is below every threshold."""
+        out = np.zeros((self.classes, n), np.int64)
+        step = max(1, (1 << 24) // max(1, len(used)))  # rows at once: 16 MB of literals
+        for start in range(0, n, step):
+            part = slice(start, min(n, start + step))
+            against = np.empty((len(used), part.stop - start), np.uint8)
+            with np.errstate(invalid="ignore"):
+                for row, literal in zip(against, used.tolist()):
+                    negated, b = divmod(literal, len(self.feat))
+                    on = x[int(self.feat[b])][part] >= self.thresh[b]
+                    row[:] = on if negated else ~on
+            for k, s, m, at in zip(self.cls.tolist(), self.sign.tolist(), self.clamp.tolist(), lists):
+                wrong = np.zeros(part.stop - start, np.int64)
+                for i in range(0, len(at), 255):  # as many as a byte can count
+                    few = against[at[i]].copy()
+                    for j in at[i + 1 : i + 255]:
+                        few += against[j]
+                    wrong += few
+                out[k, part] += s * np.maximum(m - wrong, 0)
+        return out.T
+
 
 def feature_bits(columns: list[str], feat, thresh) -> list[Column]:
     return [B.at_least(F.col(columns[f]), F.lit(float(t)).cast("float")) for f, t in zip(feat.tolist(), thresh.tolist())]
@@ -225,14 +255,42 @@ def votes_relational(df: DataFrame, columns: list[str], model: ClauseModel, key:
     return out.groupBy(key, "class").agg(F.sum(F.col("sign") * F.col("out")).alias("votes"))
 
 
+def scored_sparse(df: DataFrame, columns: list[str], model: ClauseModel, key: str = "row_id") -> DataFrame:
+    """key with votes (by class) and pred from literals, in Arrow batches of a map-only plan.
+
+    Within a batch each bit meets the clauses that include it or its negation. As rows of joined tables those would be
+    hundreds for each row of data, and their counts by clause would have to be shuffled.
+    """
+    used, lists = model.literal_lists()
+    shared = df.sparkSession.sparkContext.broadcast((vars(model), used, lists))  # 65 535 clauses a class and sign at most
+    read = {f: f"x{f}" for f in sorted({int(model.feat[i % len(model.feat)]) for i in used})}
+
+    def run(batches):
+        import pyarrow as pa
+
+        fields, used, lists = shared.value
+        model = ClauseModel(**fields)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = {f: batch.column(c).to_numpy(zero_copy_only=False) for f, c in read.items()}
+            votes = np.ascontiguousarray(model.votes_by_literals(x, batch.num_rows, used, lists))
+            flat = pa.ListArray.from_arrays(np.arange(0, votes.size + 1, model.classes, dtype=np.int32), pa.array(votes.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), flat, pa.array(votes.argmax(axis=1).astype(np.int32))], [key, "votes", "pred"])
+
+    # doubles keep their digits: a value is compared with the float threshold as Spark compares them
+    values = [F.col(columns[f]).cast("float" if df.schema[columns[f]].dataType.simpleString() == "float" else "double").alias(c) for f, c in read.items()]
+    return df.select(F.col(key).alias("key"), *values).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, votes array<long>, pred int")
+
+
 def votes_sparse(df: DataFrame, columns: list[str], model: ClauseModel, key: str = "row_id") -> DataFrame:
-    """The same from literals: each row's contradicted literals are counted by clause; clauses without one count in full."""
-    spark = df.sparkSession
-    bits = df.select(key, F.posexplode(F.array(*feature_bits(columns, model.feat, model.thresh))).alias("bit", "on"))
-    wrong = bits.join(F.broadcast(model.literal_table(spark)), "bit").where(F.col("on") == F.col("negated")).groupBy(key, "class", "sign", "clause").agg(F.count("*").alias("wrong"))
-    each = df.select(key).join(F.broadcast(model.clause_table(spark).select("class", "sign", "clause", "clamp")))
-    out = each.join(wrong, [key, "class", "sign", "clause"], "left").withColumn("out", F.greatest(F.col("clamp") - F.coalesce("wrong", F.lit(0)), F.lit(0)))
-    return out.groupBy(key, "class").agg(F.sum(F.col("sign") * F.col("out")).alias("votes"))
+    """key, class, votes by ``scored_sparse``."""
+    return scored_sparse(df, columns, model, key).select(key, F.posexplode("votes").alias("class", "votes"))
+
+
+def predict_sparse(df: DataFrame, columns: list[str], model: ClauseModel, key: str = "row_id") -> DataFrame:
+    """key, pred by ``scored_sparse``."""
+    return scored_sparse(df, columns, model, key).select(key, "pred")
 
 
 def class_sums(df: DataFrame, columns: list[str], model: ClauseModel, key: str = "row_id") -> DataFrame:
@@ -276,10 +334,6 @@ def predict_relational(df: DataFrame, columns: list[str], model: ClauseModel, ke
     return out.groupBy(key).agg(*sums).select(key, first_most([f"v{k}" for k in range(model.classes)]).alias("pred"))
 
 
-def argmax(votes: DataFrame, key: str = "row_id") -> DataFrame:
-    return votes.groupBy(key).agg(F.max_by("class", F.struct("votes", -F.col("class"))).alias("pred"))
-
-
 def decoded(model: ClauseModel, spark: SparkSession) -> DataFrame:
     """class, sign, clause, text of each clause; a bit's condition before its negation, bits in order; thresholds to four digits."""
     names = F.create_map(*[v for i in range(len(model.feat)) for v in (F.lit(i), F.lit(model.feature_names[i] if i < len(model.feature_names) else f"bit_{i}"))]) if len(model.feat) else None

@@ -252,7 +252,7 @@ def tm_predict_relational(spark, sf_dir):
 
 @query
 def tm_predict_sparse(spark, sf_dir):
-    return clauses.argmax(clauses.votes_sparse(*_args(spark, sf_dir)))
+    return clauses.predict_sparse(*_args(spark, sf_dir))
 
 
 @query

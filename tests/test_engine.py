@@ -226,3 +226,32 @@ def test_training_reads_a_named_number_of_rows(spark, monkeypatch):
     monkeypatch.setattr(train, "train", lambda rows, *a, **k: seen.append(rows) or rows)
     queries.train_model(spark, SF)
     assert queries.TRAIN_ROWS == 20_000 and seen[0].count() == 6_000
+
+
+def test_sparse_scoring_makes_no_rows_of_literals(spark):
+    from bitballot.plans import queries
+
+    got = queries.tm_predict_sparse(spark, SF)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not any(x in plan for x in ("Exchange", "Join", "Generate"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, queries.tm_predict(spark, SF).collect()))
+
+
+def test_sparse_scoring_of_odd_models(spark):
+    every = list(range(700))
+    thresh = np.full(700, 0.1)
+    many = [(0, 1, 0, 900, every, every), (0, -1, 0, 255, every[:300], []), (2, 1, 0, 5, [], every[:3]), (2, 1, 1, 4, [], [])]  # class 1 has no clause
+    m = ClauseModel.of(np.arange(700) % 2, thresh, many, 3)
+    x = [(0, 0.1, 1.0), (1, float(np.float32(0.1)), -1.0), (2, None, 1.0), (None, math.nan, 0.0)]  # 0.1 is below its float
+    df = spark.createDataFrame(x, "key long, x0 double, x1 double")
+    want = []
+    for key, a, b in x:
+        on = [v is not None and v >= float(np.float32(0.1)) for v in (a, b)]
+        want.append((key, [200 - max(0, 255 - 150 * on.count(False)), 0, max(0, 5 - 2 * on[0] - on[1]) + 4]))
+    got = clauses.scored_sparse(df, ["x0", "x1"], m, "key").collect()
+    assert sorted((str(r.key), list(r.votes)) for r in got) == sorted((str(k), v) for k, v in want)
+    assert all(r.pred == int(np.argmax(r.votes)) for r in got)
+    assert {(r.key, r["class"]): r.votes for r in clauses.votes_sparse(df, ["x0", "x1"], m, "key").collect()} == {(k, i): v[i] for k, v in want for i in range(3)}
+    none = ClauseModel.of([], [], [(1, 1, 0, 3, [], [])], 2)
+    assert [list(r.votes) for r in clauses.scored_sparse(df, [], none, "key").collect()] == [[0, 3]] * 4
+    assert {tuple(r.votes) for r in clauses.scored_sparse(df, [], ClauseModel.of([], [], [], 2), "key").collect()} == {(0, 0)}
