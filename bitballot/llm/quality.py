@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitballot.llm._common import map_texts
+from bitballot.llm._common import give_back, map_texts
 from bitballot.llm._words import Words, mix, utf8
 
 BITS = 17
@@ -56,7 +56,10 @@ def fit(docs: DataFrame, rows: int = 2000, dim: int = 8, steps: int = STEPS, rat
     share = min(1.0, rows / count) if count else 1.0
     chance = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = known.where(chance < share).select("doc_id", "quality", "text").limit(2 * rows).collect()
-    return train([(r.text, int(r.quality)) for r in sorted(sample, key=lambda r: (r.doc_id, r.quality, r.text))], dim, steps, rate)
+    model = train([(r.text, int(r.quality)) for r in sorted(sample, key=lambda r: (r.doc_id, r.quality, r.text))], dim, steps, rate)
+    del sample
+    give_back(docs.sparkSession)
+    return model
 
 
 def train(labelled: list[tuple[str, int]], dim: int = 8, steps: int = STEPS, rate: float = RATE):
@@ -67,17 +70,23 @@ def train(labelled: list[tuple[str, int]], dim: int = 8, steps: int = STEPS, rat
     out, bias = np.zeros((2, dim)), np.zeros(2)
     if not labelled:
         return {"vectors": vectors, "out": out, "bias": bias}
-    features, bags = Features(), []
+    # numbers and counts of the features in two buffers, counts in as few bytes as a text's largest needs: as arrays for
+    # each text they would take three times as much and fragment the driver's memory, which is then not given back
+    features, bags, flat, counts = Features(), [], bytearray(), bytearray()
     for text, _ in labelled:
-        ids = np.concatenate([f[a[0] : b[0]].astype(np.int64) for f, a, b in features(*utf8(pa.array([text])))])
-        bags.append(np.unique(ids, return_counts=True))
+        ids, n = np.unique(np.concatenate([f[a[0] : b[0]].astype(np.int32) for f, a, b in features(*utf8(pa.array([text])))]), return_counts=True)
+        n = n.astype(np.min_scalar_type(n.max(initial=0)))
+        bags.append((len(ids), len(flat), n.dtype, len(counts)))
+        flat += ids.tobytes()
+        counts += n.tobytes()
     y = np.array([q for _, q in labelled])
     passes = -(-steps // len(bags))
     steps, done = passes * len(bags), 0
     for _ in range(passes):
         for i in rng.permutation(len(bags)):
-            ids, n = bags[i]
-            total = n.sum()
+            size, at, kind, first = bags[i]
+            ids, n = np.frombuffer(flat, np.int32, size, at), np.frombuffer(counts, kind, size, first)
+            total = int(n.sum())
             hidden = n @ vectors[ids] / total if total else np.zeros(dim)
             z = out @ hidden + bias
             p = np.exp(z - z.max())

@@ -263,3 +263,37 @@ def test_quality_equals_a_plain_form():
     grad = (p / p.sum() - [0, 1]) @ after["out"]
     share = np.bincount(ids, minlength=1 << quality.BITS) / len(ids)
     assert np.allclose(again["vectors"], before["vectors"] - 0.15 * np.outer(share, grad))
+
+
+def test_quality_training_is_compact():
+    """Less than 10 bytes of the driver for each feature of a text, where arrays for each text took 16 and more."""
+    import tracemalloc
+
+    rng = np.random.RandomState(5)
+    texts = ["".join(chr(c) for c in rng.randint(32, 127, 4000)) for _ in range(200)]
+    quality.train(list(zip(texts[:2], (0, 1))), steps=2)
+    tracemalloc.start()
+    try:
+        quality.train([], steps=1)
+        empty = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        quality.train([(t, i % 2) for i, t in enumerate(texts)], steps=1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    features = sum(len(set(plain_features(t))) for t in texts[:5]) / 5 * len(texts)
+    assert peak - empty < 10 * features
+
+
+def test_driver_gives_back_free_memory(spark, tmp_path, monkeypatch):
+    """Written tables make the driver return what it has freed."""
+    from bitballot.llm import _common
+
+    assert "Trim native heap" in _common.give_back(spark)
+    calls = []
+    monkeypatch.setattr(_common, "give_back", calls.append)
+    monkeypatch.setattr(_common.Scratch, "given_back", 0.0)
+    kept = _common.Scratch(spark)
+    for name in ("a", "b"):
+        assert kept.save(spark.range(3), name).count() == 3
+    assert calls == [spark]  # soon after, not again
